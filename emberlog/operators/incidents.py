@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.fingerprint import fingerprint, level_rank
-from emberlog.functions.normalize import DEFAULT_PROFILE, normalize
+from emberlog.functions.normalize import DEFAULT_PROFILE, with_normalized
 from emberlog.schema import INCIDENT_KEY, MAX_EXAMPLES
 
 
 def with_template(logs: DataFrame, profile=DEFAULT_PROFILE) -> DataFrame:
-    return logs.withColumn("normalized_msg", normalize("msg", profile))
+    return with_normalized(logs, profile)
 
 
 def with_fingerprint(df: DataFrame) -> DataFrame:
@@ -66,15 +66,21 @@ def incidents(
              "first_seen", "last_seen", "streams", "normalized_msg")
 
 
-def examples(logs: DataFrame, profile=DEFAULT_PROFILE, n: int = MAX_EXAMPLES) -> DataFrame:
-    """The first ``n`` distinct raw messages of each incident, one row each.
+def examples(
+    logs: DataFrame, profile=DEFAULT_PROFILE, n: int = MAX_EXAMPLES, only: DataFrame | None = None
+) -> DataFrame:
+    """The first ``n`` distinct raw messages of each incident, one row each;
+    with ``only``, for the incidents of that table.
 
     Repeats collapse map-side in a hash aggregation, then the planner limits
     each incident to ``n`` rows before the ranking shuffle, so no incident's
     messages are ever collected.
     """
     n = max(1, n)
-    firsts = with_template(logs, profile).groupBy(*INCIDENT_KEY, "msg").agg(
+    records = with_template(logs, profile)
+    if only is not None:
+        records = records.join(only.select(*INCIDENT_KEY), list(INCIDENT_KEY), "left_semi")
+    firsts = records.groupBy(*INCIDENT_KEY, "msg").agg(
         F.min("event_time").alias("first_seen")
     )
     order = Window.partitionBy(*INCIDENT_KEY).orderBy(*_order_of_arrival("msg"))
