@@ -14,7 +14,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -159,26 +159,24 @@ def compile_profile(rules) -> list[tuple[str, str, tuple[str, ...]]]:
 
 
 def normalize(msg: Column | str, profile=DEFAULT_PROFILE) -> Column:
-    """Template of a message as one expression. An empty profile changes nothing."""
-    col = F.col(msg) if isinstance(msg, str) else msg
-    return reduce(
-        lambda c, r: F.regexp_replace(c, F.lit(r[0]), F.lit(r[1])), compile_profile(profile), col
-    )
+    """Template of a message. An empty profile changes nothing.
 
+    Each rule is applied to the bound variable of a one-element ``transform``.
+    That way a rule can look at its input before it decodes it for the regex
+    engine, while the whole stays one expression whose size is linear in the
+    number of rules, also when a filter on it is pushed down.
+    """
+    text = F.array(F.col(msg) if isinstance(msg, str) else msg)
+    for rule in compile_profile(profile):
+        text = F.transform(text, _step(*rule))
+    return F.element_at(text, 1)
 
-def with_normalized(df: DataFrame, profile=DEFAULT_PROFILE, source="msg", target="normalized_msg") -> DataFrame:
-    """Add the template of ``source`` as ``target``.
 
-    Same result as ``normalize``, at a third of the cost: the rules run as
-    successive projections, so each can be skipped for messages without its
-    needed texts before any text is decoded for the regex engine.
-    """
-    df = df.withColumn(target, F.col(source))
-    for pattern, replacement, needs in compile_profile(profile):
-        text = F.col(target)
-        replaced = F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
-        if needs:
-            present = reduce(Column.__and__, [text.contains(n) for n in needs])
-            replaced = F.when(present, replaced).otherwise(text)
-        df = df.withColumn(target, replaced)
-    return df
+def _step(pattern: str, replacement: str, needs: tuple[str, ...]):
+    def apply(t: Column) -> Column:
+        replaced = F.regexp_replace(t, F.lit(pattern), F.lit(replacement))
+        if not needs:
+            return replaced
+        return F.when(reduce(Column.__and__, [t.contains(n) for n in needs]), replaced).otherwise(t)
+
+    return apply

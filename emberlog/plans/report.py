@@ -115,7 +115,7 @@ def report_lines(
                 _t("link", F.col("cnt"), F.col("link")), blank, _t("examples"), blank),
     )
     # examples follow their incident: 0 = the incident, 1..M = examples, then the end
-    place = F.col("rank") * 1000
+    place = F.col("rank") * 1_000_000
     shown = examples.join(top.select("host", "fingerprint", "rank"), ["host", "fingerprint"])
 
     parts = [
@@ -124,7 +124,7 @@ def report_lines(
         _lines(reported, 2, F.lit(0), list_head),
         _lines(top, 3, place, incident),
         _lines(shown, 3, place + F.col("example_no"), F.array(_t("fence"), F.col("msg"), _t("fence"), blank)),
-        _lines(top, 3, place + 999, F.array(blank, blank)),
+        _lines(top, 3, place + 999_999, F.array(blank, blank)),
         _lines(reported, 4, F.lit(0), tail),
     ]
     lines = parts[0]

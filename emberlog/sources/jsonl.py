@@ -15,6 +15,7 @@ WIRE_FIELDS = {
 TIME_FIELD = "_time"
 # RFC 3339 with any fraction and a zone
 RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
+END_MARK = "end of line 6f1c2b"
 
 
 def _is_text(v: Column) -> Column:
@@ -34,16 +35,21 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """
     line = F.btrim("value", F.lit("\t\r\n "))
     # Variants keep the JSON type: a number where a text is expected makes the
-    # line a bad one instead of turning into text.
-    doc = F.try_parse_json(line)
+    # line a bad one instead of turning into text. The parser ignores what
+    # follows a document, so the line is parsed as the first of two elements:
+    # the mark is the second only if the line is one whole document.
+    doc = F.try_parse_json(F.concat(F.lit("["), line, F.lit(f',"{END_MARK}"]')))
     wire = lines.filter(line != "").select(
-        *lines.columns, doc.alias("_doc"), F.schema_of_variant(doc).alias("_type")
+        *lines.columns,
+        F.try_variant_get(doc, "$[0]", "variant").alias("_doc"),
+        F.try_variant_get(doc, "$[1]", "string").alias("_end"),
     )
     fields = {name: F.try_variant_get("_doc", f"$.{name}", "variant") for name in (TIME_FIELD, *WIRE_FIELDS.values())}
-    wire = wire.select(*lines.columns, "_type", *[v.alias(f"_f_{n}") for n, v in fields.items()])
+    whole = F.schema_of_variant("_doc").startswith("OBJECT") & (F.col("_end") == END_MARK)
+    wire = wire.select(*lines.columns, whole.alias("_whole"), *[v.alias(f"_f_{n}") for n, v in fields.items()])
     raw_time = _text(F.col(f"_f_{TIME_FIELD}"))
     time = F.try_to_timestamp(F.when(raw_time.rlike(RFC3339), raw_time)).cast("timestamp_ntz")
-    good = F.col("_type").startswith("OBJECT") & (raw_time.isNull() | time.isNotNull())
+    good = F.col("_whole") & (raw_time.isNull() | time.isNotNull())
     for name in fields:
         good = good & _is_text(F.col(f"_f_{name}"))
     return wire.select(
