@@ -6,6 +6,7 @@ incident table twice stage it first.
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 from typing import Callable
 
@@ -27,6 +28,9 @@ from emberlog.sources.collect import union_sources
 from emberlog.sources.tables import (
     conversation_logs, document_logs, event_logs, ledger_events, table,
 )
+from emberlog.streaming.alerts import new_critical_alerts, throttled_alerts
+from emberlog.streaming.ingest import incident_counts
+from emberlog.streaming.run import drain
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,7 +88,7 @@ def _daily(spark: SparkSession, folder: str) -> DataFrame:
 # --- sources -----------------------------------------------------------------
 
 def read_jsonl(spark, folder):
-    path = f"{scratch_dir(spark)}/jsonl/{datetime.now():%H%M%S%f}"
+    path = f"{scratch_dir(spark)}/jsonl/{uuid.uuid4().hex}"
     jsonl.as_jsonl(event_logs(spark, folder)).write.text(path)
     return jsonl.read_jsonl(spark, path).records
 
@@ -409,6 +413,24 @@ def alert_throttle(spark, folder):
     return pat.throttle_alerts(event_logs(spark, folder))
 
 
+def _streamed(spark, logs, transform):
+    base = f"{scratch_dir(spark)}/stream/{uuid.uuid4().hex}"
+    logs.write.parquet(f"{base}/in")
+    return drain(spark, f"{base}/in", transform, f"{base}/out", f"{base}/checkpoint")
+
+
+def stream_incident_counts(spark, folder):
+    return _streamed(spark, _alerts(spark, folder), incident_counts)
+
+
+def stream_new_critical(spark, folder):
+    return _streamed(spark, _alerts(spark, folder), new_critical_alerts)
+
+
+def stream_throttled_alerts(spark, folder):
+    return _streamed(spark, event_logs(spark, folder), throttled_alerts)
+
+
 # --- ledger ------------------------------------------------------------------
 
 def _without_nulls(runs: DataFrame) -> DataFrame:
@@ -596,6 +618,9 @@ QUERIES: dict[str, Query] = {
     "new_critical": new_critical,
     "doc_new_critical": doc_new_critical,
     "alert_throttle": alert_throttle,
+    "stream_incident_counts": stream_incident_counts,
+    "stream_new_critical": stream_new_critical,
+    "stream_throttled_alerts": stream_throttled_alerts,
     "run_status": run_status,
     "begin_run_actions": begin_run_actions,
     "completed_run": completed_run,

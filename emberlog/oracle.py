@@ -135,11 +135,14 @@ EDGE_ROWS = "edges(edge_no, le, upper) AS (VALUES " + ", ".join(
     f"({i}, '{e}', {e}::DOUBLE)" for i, e in enumerate(EDGES)) + f", ({len(EDGES)}, '+Inf', 'inf'::DOUBLE))"
 
 
-def _new_criticals(source: str, days: int) -> str:
+def _seen(source: str) -> str:
     # record by record, without buckets
     return f"""seen AS (SELECT *, lag(event_time) OVER (PARTITION BY host, app, normalized_msg
-      ORDER BY event_time, level <> 'critical') AS previous_seen FROM {source})
-SELECT host, app, {_FP} AS fingerprint, event_time, previous_seen FROM seen
+      ORDER BY event_time, level <> 'critical') AS previous_seen FROM {source})"""
+
+
+def _new_criticals(days: int, columns: str = ", previous_seen") -> str:
+    return f"""SELECT host, app, {_FP} AS fingerprint, event_time{columns} FROM seen
 WHERE level = 'critical' AND (previous_seen IS NULL OR event_time - previous_seen > INTERVAL {days} DAY)"""
 
 
@@ -352,9 +355,16 @@ FROM (SELECT kind, id, turn, {_LINE} AS line FROM (SELECT 'd' AS kind, doc_id AS
     "report_files": _with(LOGS) + """SELECT host, strftime(max(event_time) + INTERVAL 3 HOUR, '%Y-%m-%d') AS report_date,
   host || '_' || strftime(max(event_time) + INTERVAL 3 HOUR, '%Y-%m-%d') || '.md' AS file_name FROM logs GROUP BY host""",
     "daily_incidents": _with(*DAILY) + "SELECT window_start, host, app, fingerprint, level, module, cnt, first_seen, last_seen, streams FROM inc",
-    "new_critical": _with(*BASE, _new_criticals("norm", 7).split("\nSELECT", 1)[0]) + "SELECT" + _new_criticals("norm", 7).split("\nSELECT", 1)[1],
-    "doc_new_critical": _with(*DOC, _new_criticals("norm", 1).split("\nSELECT", 1)[0]) + "SELECT" + _new_criticals("norm", 1).split("\nSELECT", 1)[1],
+    "new_critical": _with(*BASE, _seen("norm")) + _new_criticals(7),
+    "doc_new_critical": _with(*DOC, _seen("norm")) + _new_criticals(1),
     "alert_throttle": "WITH RECURSIVE " + ",\n".join((LOGS, _norm("logs"))) + ",\n" + _THROTTLE,
+    "stream_incident_counts": _with(*BASE) + f"""SELECT date_trunc('hour', event_time)::TIMESTAMP AS window_start, host, app,
+  {_FP} AS fingerprint, level, count(*) AS cnt, min(event_time) AS first_seen, max(event_time) AS last_seen FROM norm
+GROUP BY date_trunc('hour', event_time), host, app, normalized_msg, level
+HAVING date_trunc('hour', event_time) + INTERVAL 1 HOUR <= (SELECT max(event_time) FROM norm) - INTERVAL 10 MINUTE""",
+    "stream_new_critical": _with(*BASE, _seen("norm")) + _new_criticals(7, ""),
+    "stream_throttled_alerts": "SELECT host, app, fingerprint, alert_at FROM (WITH RECURSIVE "
+    + ",\n".join((LOGS, _norm("logs"))) + ",\n" + _THROTTLE + ")",
     "run_status": _with(*RUNS) + NO_NULLS,
     "begin_run_actions": _with(*EARLY_RUNS) + """SELECT window_from, window_to,
   coalesce(run_id, md5(strftime(window_from, '%Y-%m-%d %H:%M:%S') || '|' || strftime(window_to, '%Y-%m-%d %H:%M:%S'))) AS run_id,

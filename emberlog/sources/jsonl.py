@@ -16,6 +16,9 @@ TIME_FIELD = "_time"
 # RFC 3339 with any fraction and a zone
 RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 END_MARK = "end of line 6f1c2b"
+# Variants keep the JSON type: a number where a text is expected makes the line
+# a bad one instead of turning into text.
+_WIRE = f"line STRUCT<{', '.join(f'`{n}`: VARIANT' for n in (TIME_FIELD, *WIRE_FIELDS.values()))}>, end STRING"
 
 
 def _is_text(v: Column) -> Column:
@@ -34,28 +37,24 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     fields are ignored. Blank lines are dropped.
     """
     line = F.btrim("value", F.lit("\t\r\n "))
-    # Variants keep the JSON type: a number where a text is expected makes the
-    # line a bad one instead of turning into text. The parser ignores what
-    # follows a document, so the line is parsed as the first of two elements:
-    # the mark is the second only if the line is one whole document.
-    doc = F.try_parse_json(F.concat(F.lit("["), line, F.lit(f',"{END_MARK}"]')))
+    # The parser ignores what follows a document, so the line becomes the first
+    # field of an object: the mark after it is found only if the line is one
+    # whole document.
+    wrapped = F.concat(F.lit('{"line":'), line, F.lit(f',"end":"{END_MARK}"}}'))
+    # inline() parses once per line; filters on the result stay above it.
     wire = lines.filter(line != "").select(
-        *lines.columns,
-        F.try_variant_get(doc, "$[0]", "variant").alias("_doc"),
-        F.try_variant_get(doc, "$[1]", "string").alias("_end"),
+        *lines.columns, F.inline(F.array(F.from_json(wrapped, _WIRE)))
     )
-    fields = {name: F.try_variant_get("_doc", f"$.{name}", "variant") for name in (TIME_FIELD, *WIRE_FIELDS.values())}
-    whole = F.schema_of_variant("_doc").startswith("OBJECT") & (F.col("_end") == END_MARK)
-    wire = wire.select(*lines.columns, whole.alias("_whole"), *[v.alias(f"_f_{n}") for n, v in fields.items()])
-    raw_time = _text(F.col(f"_f_{TIME_FIELD}"))
+    fields = {n: F.col("line")[n] for n in (TIME_FIELD, *WIRE_FIELDS.values())}
+    raw_time = _text(fields[TIME_FIELD])
     time = F.try_to_timestamp(F.when(raw_time.rlike(RFC3339), raw_time)).cast("timestamp_ntz")
-    good = F.col("_whole") & (raw_time.isNull() | time.isNotNull())
-    for name in fields:
-        good = good & _is_text(F.col(f"_f_{name}"))
+    good = F.col("line").isNotNull() & (F.col("end") == END_MARK) & (raw_time.isNull() | time.isNotNull())
+    for value in fields.values():
+        good = good & _is_text(value)
     return wire.select(
         *lines.columns,
         time.alias("event_time"),
-        *[F.coalesce(_text(F.col(f"_f_{w}")), F.lit("")).alias(c) for c, w in WIRE_FIELDS.items()],
+        *[F.coalesce(_text(fields[w]), F.lit("")).alias(c) for c, w in WIRE_FIELDS.items()],
         F.coalesce(good, F.lit(False)).alias("is_good"),
     )
 
