@@ -104,8 +104,10 @@ def java_pattern(pattern: str) -> str:
             tok = _java_class(tok)
         out.append(tok)
     java = "".join(out)
+    # Python's engine checks the syntax; it lacks \z, \p{..} and (?<name>
+    check = re.sub(r"\\[pP](?:\{\w+\}|\w)", r"\\w", java.replace(r"\z", r"\Z"))
     try:
-        re.compile(java.replace(r"\z", r"\Z").replace(r"\p{XDigit}", "[0-9a-f]").replace("(?<", "(?P<").replace("(?P<=", "(?<=").replace("(?P<!", "(?<!"))
+        re.compile(re.sub(r"\(\?<(?=\w)", "(?P<", check))
     except re.error as e:
         raise ValueError(f"bad pattern {pattern!r}: {e}") from e
     return "(?d)" + java

@@ -20,7 +20,9 @@ from emberlog.schema import INCIDENT_KEY, MAX_EXAMPLES
 
 
 def with_template(logs: DataFrame, profile=DEFAULT_PROFILE) -> DataFrame:
-    return logs.withColumn("normalized_msg", normalize("msg", profile))
+    # Never null, so a join on the template needs no null filter, which would
+    # run the rules a second time.
+    return logs.withColumn("normalized_msg", F.coalesce(normalize("msg", profile), F.lit("")))
 
 
 def with_fingerprint(df: DataFrame) -> DataFrame:
@@ -33,13 +35,16 @@ def _order_of_arrival(*ties: str):
 
 
 def incidents(
-    logs: DataFrame, profile=DEFAULT_PROFILE, extra_key: tuple[str, ...] = (), approx_streams: bool = False
+    logs: DataFrame, profile=DEFAULT_PROFILE, extra_key: tuple[str, ...] = (),
+    approx_streams: bool = False, level_counts: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per incident (and per value of ``extra_key``, such as a day).
 
     * level: the highest rank seen; of equal ranks the earliest;
     * module: that of the earliest record, even if empty;
-    * streams: distinct non-empty stream ids, exact unless ``approx_streams``.
+    * streams: distinct non-empty stream ids, exact unless ``approx_streams``;
+    * ``level_counts`` adds the records of each named level as ``n_<level>``,
+      from which totals by record level follow without another pass.
     """
     key = [*extra_key, *INCIDENT_KEY]
     reduced = (
@@ -61,9 +66,10 @@ def incidents(
             F.min_by("level", F.struct(-level_rank(), *_order_of_arrival("level"))).alias("level"),
             F.min_by("module", F.struct(*_order_of_arrival("module"))).alias("module"),
             streams.alias("streams"),
+            *[F.sum(F.when(F.col("level") == lv, F.col("cnt")).otherwise(0)).alias(f"n_{lv}") for lv in level_counts],
         )
-    ).select(*extra_key, "host", "app", "fingerprint", "level", "module", "cnt",
-             "first_seen", "last_seen", "streams", "normalized_msg")
+    ).select(*extra_key, "host", "app", "fingerprint", "level", "module", "cnt", "first_seen", "last_seen",
+             "streams", *[f"n_{lv}" for lv in level_counts], "normalized_msg")
 
 
 def examples(

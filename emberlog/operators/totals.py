@@ -31,6 +31,21 @@ def host_totals(logs: DataFrame) -> DataFrame:
     )
 
 
+def host_summary(incidents: DataFrame, k: int = NOISE_K) -> DataFrame:
+    """All per-host numbers of a report in one aggregation over incidents with
+    level counts."""
+    below = F.col("cnt") < max(1, k)
+    return incidents.groupBy("host").agg(
+        F.sum("n_error").alias("error"),
+        F.sum("n_critical").alias("critical"),
+        F.sum("cnt").alias("total"),
+        F.count("*").alias("incidents"),
+        F.count_if(~below).alias("above"),
+        F.count_if(below).alias("below"),
+        _sum_if(below).alias("below_records"),
+    )
+
+
 def noise_summary(incidents: DataFrame, k: int = NOISE_K) -> DataFrame:
     below = F.col("cnt") < max(1, k)
     return incidents.groupBy("host").agg(

@@ -16,7 +16,7 @@ from emberlog.operators.filters import digest_records
 from emberlog.operators.incidents import examples, incidents
 from emberlog.operators.ranking import top_incidents
 from emberlog.operators.totals import (
-    app_totals, host_list, host_totals, noise_summary, top_app_per_host, with_labels, zero_filled,
+    app_totals, host_list, host_summary, top_app_per_host, with_labels, zero_filled,
 )
 from emberlog.plans.ledger import RunLedger
 from emberlog.plans.report import cover, report_bodies, report_lines
@@ -66,12 +66,11 @@ class Digest:
 def build_digest(
     logs: DataFrame, window: Window, cfg: DigestConfig, generated_at: datetime, partial: bool = False
 ) -> Digest:
-    """Two passes over the records: one for incidents and host totals feeds
-    everything else, one fetches the examples of the listed incidents only."""
+    """Two passes over the records: the incident table of the first feeds all
+    numbers, the second fetches the examples of the listed incidents only."""
     spark = logs.sparkSession
     records = digest_records(logs, cfg.hosts, cfg.levels, window)
-    incs = stage(incidents(records, cfg.profile))
-    by_host = stage(host_totals(records))
+    incs = stage(incidents(records, cfg.profile, level_counts=("error", "critical")))
     apps = app_totals(incs)
     lo, hi = window.bounds
 
@@ -79,11 +78,10 @@ def build_digest(
     listed = top_incidents(incs, cfg.noise_k, cfg.top_n)
     top = stage(listed.withColumn("link", explore_link(cfg.link, incident_expr(), start, end)))
 
+    counts = ("error", "critical", "total", "incidents", "above", "below", "below_records")
     configured = with_labels(host_list(spark, cfg.hosts), cfg.labels)
-    hosts = zero_filled(configured, by_host)
-    hosts = zero_filled(hosts, noise_summary(incs, cfg.noise_k).select(
-        "host", "incidents", "below", "below_records"), ("incidents", "below", "below_records"))
-    hosts = zero_filled(hosts, top.groupBy("host").agg(F.count("*").alias("listed")), ("listed",))
+    hosts = zero_filled(configured, host_summary(incs, cfg.noise_k), counts)
+    hosts = hosts.withColumn("listed", F.least("above", F.lit(cfg.top_n).cast("long")))
     hosts = hosts.join(top_app_per_host(apps).select("host", F.col("app").alias("top_app")), "host", "left")
     hosts = stage(
         hosts.withColumn("top_app", F.coalesce("top_app", F.lit("")))

@@ -14,6 +14,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table of long texts that has fewer splits than there
+    are cores, such as one file with a single row group: normalising a long
+    text costs far more than moving it. Inputs with enough splits, that is all
+    large ones, are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _numbered(prefix: str, n: Column) -> Column:
     return F.concat(F.lit(prefix), n.cast("string"))
 
@@ -64,7 +73,7 @@ def event_logs(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_logs(spark: SparkSession, folder: str) -> DataFrame:
     """One record per line of every document; the level comes from ``labels``."""
-    lines = table(spark, folder, "documents").select(
+    lines = spread(table(spark, folder, "documents")).select(
         "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "msg")
     )
     label = table(spark, folder, "labels")
