@@ -125,7 +125,7 @@ def _throttle(gap_s: int):
         chosen, i = [], 0
         while i < len(at):
             chosen.append(i)
-            i = int(np.searchsorted(at, at[i] + gap_s, side="left"))
+            i = max(i + 1, int(np.searchsorted(at, at[i] + gap_s, side="left")))
         return rows.iloc[chosen].assign(records=np.add.reduceat(rows["records"].to_numpy(), chosen))
 
     return pick

@@ -13,9 +13,11 @@ def write_reports(reports: DataFrame, path: str) -> None:
     bounded by the list length and the number of examples. Days that are
     written again replace only their own folders.
     """
+    # the writer ends the row with the newline the report ends with
+    text = F.when(F.endswith("body", F.lit("\n")), F.left("body", F.length("body") - 1)).otherwise(F.col("body"))
     (
-        reports.select(F.col("body").alias("value"), "report_date", "file_name")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("lineSep", "")
+        reports.select(text.alias("value"), "report_date", "file_name")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("report_date", "file_name").text(path)
     )
 
