@@ -92,7 +92,7 @@ def examples(
     order = Window.partitionBy(*INCIDENT_KEY).orderBy(*_order_of_arrival("msg"))
     return with_fingerprint(
         firsts.withColumn("example_no", F.row_number().over(order)).filter(F.col("example_no") <= n)
-    ).select("host", "fingerprint", "example_no", "first_seen", "msg")
+    ).select("host", "fingerprint", F.col("example_no").cast("long").alias("example_no"), "first_seen", "msg")
 
 
 def incident_levels(logs: DataFrame, profile=DEFAULT_PROFILE) -> DataFrame:

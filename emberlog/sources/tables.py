@@ -73,10 +73,11 @@ def event_logs(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_logs(spark: SparkSession, folder: str) -> DataFrame:
     """One record per line of every document; the level comes from ``labels``."""
-    lines = spread(table(spark, folder, "documents")).select(
-        "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "msg")
+    # labels are joined to documents, before these become many lines
+    labelled = spread(table(spark, folder, "documents")).join(table(spark, folder, "labels"), "doc_id", "left")
+    lines = labelled.select(
+        "doc_id", "lang", "source", "quality", "toxic", F.posexplode(F.split("text", "\n")).alias("pos", "msg")
     )
-    label = table(spark, folder, "labels")
     level = (
         F.when(F.col("toxic") == 1, "critical")
         .when(F.col("quality") == 0, "error")
@@ -84,7 +85,7 @@ def document_logs(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise("warn")
     )
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    return lines.join(label, "doc_id", "left").select(
+    return lines.select(
         (start + F.make_dt_interval(mins=F.col("doc_id").cast("int"), secs=F.col("pos"))).alias("event_time"),
         F.md5(_numbered("d", F.col("doc_id"))).alias("stream_id"),
         F.lit("").alias("stream"),

@@ -37,10 +37,20 @@ def canonical(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values(list(pdf.columns)).reset_index(drop=True)
 
 
+DUCK_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN",
+              "timestamp_ntz": "TIMESTAMP"}
+
+
 def compare(spark, con, folder: str, name: str) -> str:
-    """'' if both sides agree, else what differs."""
-    got = canonical(entry_module.queries()[name](spark, folder).toPandas())
-    want = canonical(con.execute(entry_module.oracle_sql()[name]).df())
+    """'' if both sides agree in columns, types and values, else what differs."""
+    df = entry_module.queries()[name](spark, folder)
+    sql = entry_module.oracle_sql()[name]
+    types = {c: DUCK_TYPES.get(t, t) for c, t in df.dtypes}
+    duck = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    if types != duck:
+        return f"types differ: {sorted(set(types.items()) ^ set(duck.items()))}"
+    got = canonical(df.toPandas())
+    want = canonical(con.execute(sql).df())
     if list(got.columns) != list(want.columns):
         return f"columns {list(got.columns)} != {list(want.columns)}"
     if len(got) != len(want):
