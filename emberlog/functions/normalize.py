@@ -53,7 +53,7 @@ EXTENDED_PROFILE = (
     Rule("ipv4", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<ip>", (".",)),
     Rule("business_id", r"(?i)\b(trade|order|deal)(_id=|[ _#\-]+)(?:[A-Za-z]+-)?\d+(?:-[0-9A-Za-z]+)*", "${1}${2}<id>"),
     Rule("path", r"(?:/[0-9A-Za-z._\-]+){2,}", "<path>", ("/",)),
-    Rule("hex8plus", r"\b[0-9a-fA-F]*\d[0-9a-fA-F]{7,}\b|\b[0-9a-fA-F]{7,}\d[0-9a-fA-F]*\b", "<hex>"),
+    Rule("hex8plus", r"\b[0-9a-fA-F]{8,}\b", "<hex>"),
     Rule("numbers", r"\b\d+(?:\.\d+)?", "<num>"),
     Rule("trailing_space", r"\s+$", ""),
 )
