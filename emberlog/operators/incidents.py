@@ -36,7 +36,7 @@ def _order_of_arrival(*ties: str):
 
 def incidents(
     logs: DataFrame, profile=DEFAULT_PROFILE, extra_key: tuple[str, ...] = (),
-    approx_streams: bool = False, level_counts: tuple[str, ...] = (),
+    approx_streams: bool = False, level_counts: tuple[str, ...] = (), examples_for: int = 0,
 ) -> DataFrame:
     """One row per incident (and per value of ``extra_key``, such as a day).
 
@@ -44,18 +44,28 @@ def incidents(
     * module: that of the earliest record, even if empty;
     * streams: distinct non-empty stream ids, exact unless ``approx_streams``;
     * ``level_counts`` adds the records of each named level as ``n_<level>``,
-      from which totals by record level follow without another pass.
+      from which totals by record level follow without another pass;
+    * ``examples_for`` adds ``examples_until``, a time by which that many
+      distinct messages were seen, or null if that is not certain. Messages
+      are split by hash into a few buckets; messages of different buckets
+      differ, so the n-th of the buckets' first times is such a time.
     """
     key = [*extra_key, *INCIDENT_KEY]
+    buckets = [f"_b{i}" for i in range(2 * examples_for + 2)] if examples_for else []
+    records = with_template(logs, profile)
+    if buckets:
+        records = records.withColumn("_bucket", F.pmod(F.xxhash64("msg"), F.lit(len(buckets))))
     reduced = (
-        with_template(logs, profile)
+        records
         .groupBy(*key, "level", "module", "stream_id")
         .agg(
             F.count("*").alias("cnt"),
             F.min("event_time").alias("first_seen"),
             F.max("event_time").alias("last_seen"),
+            *[F.min(F.when(F.col("_bucket") == i, F.col("event_time"))).alias(b) for i, b in enumerate(buckets)],
         )
     )
+    until = F.get(F.sort_array(F.array_compact(F.array(*buckets))), F.lit(examples_for - 1)) if buckets else None
     stream = F.when(F.col("stream_id") != "", F.col("stream_id"))
     streams = F.approx_count_distinct(stream) if approx_streams else F.count_distinct(stream)
     return with_fingerprint(
@@ -67,16 +77,20 @@ def incidents(
             F.min_by("module", F.struct(*_order_of_arrival("module"))).alias("module"),
             streams.alias("streams"),
             *[F.sum(F.when(F.col("level") == lv, F.col("cnt")).otherwise(0)).alias(f"n_{lv}") for lv in level_counts],
+            *[F.min(b).alias(b) for b in buckets],
         )
     ).select(*extra_key, "host", "app", "fingerprint", "level", "module", "cnt", "first_seen", "last_seen",
-             "streams", *[f"n_{lv}" for lv in level_counts], "normalized_msg")
+             "streams", *[f"n_{lv}" for lv in level_counts],
+             *([until.alias("examples_until")] if buckets else []), "normalized_msg")
 
 
 def examples(
     logs: DataFrame, profile=DEFAULT_PROFILE, n: int = MAX_EXAMPLES, only: DataFrame | None = None
 ) -> DataFrame:
     """The first ``n`` distinct raw messages of each incident, one row each;
-    with ``only``, for the incidents of that table.
+    with ``only``, for the incidents of that table. Where it has
+    ``examples_until`` (for at least ``n``), later records cannot matter and
+    are dropped before the shuffle.
 
     Repeats collapse map-side in a hash aggregation, then the planner limits
     each incident to ``n`` rows before the ranking shuffle, so no incident's
@@ -84,7 +98,11 @@ def examples(
     """
     n = max(1, n)
     records = with_template(logs, profile)
-    if only is not None:
+    if only is not None and "examples_until" in only.columns:
+        records = records.join(only.select(*INCIDENT_KEY, "examples_until"), list(INCIDENT_KEY)).filter(
+            F.col("examples_until").isNull() | (F.col("event_time") <= F.col("examples_until"))
+        )
+    elif only is not None:
         records = records.join(only.select(*INCIDENT_KEY), list(INCIDENT_KEY), "left_semi")
     firsts = records.groupBy(*INCIDENT_KEY, "msg").agg(
         F.min("event_time").alias("first_seen")

@@ -70,7 +70,9 @@ def build_digest(
     numbers, the second fetches the examples of the listed incidents only."""
     spark = logs.sparkSession
     records = digest_records(logs, cfg.hosts, cfg.levels, window)
-    incs = stage(incidents(records, cfg.profile, level_counts=("error", "critical")))
+    incs = stage(incidents(
+        records, cfg.profile, level_counts=("error", "critical"), examples_for=cfg.max_examples
+    ))
     apps = app_totals(incs)
     lo, hi = window.bounds
 

@@ -14,7 +14,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, 4, "4g")
+    session = local_session(8, 4, "8g")
     yield session
     session.stop()
 

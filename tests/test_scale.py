@@ -130,6 +130,25 @@ def test_examples_of_the_hot_template(make_logs):
     assert [r["msg"] for r in got] == ["id 0 gone", "id 1 gone", "id 2 gone"]
 
 
+@pytest.mark.parametrize("n", [1, 3, 5])
+def test_example_bound_is_exact_and_prunes(make_logs, n):
+    rnd = random.Random(n)
+    rows = []
+    for i in range(3000):
+        kind = rnd.choice(["all differ", "few", "same"])
+        msg = {"all differ": f"all differ {i}", "few": f"few {rnd.randrange(4)}", "same": "same"}[kind]
+        rows.append({"event_time": T0 + timedelta(seconds=rnd.randrange(900)), "host": "h", "msg": msg})
+    rows.append({"event_time": None, "host": "h", "msg": "few 77"})
+    logs = stage(make_logs(rows).repartition(6))
+    incs = stage(inc.incidents(logs, examples_for=n))
+    order = ["fingerprint", "example_no"]
+    assert inc.examples(logs, n=n, only=incs).orderBy(*order).collect() == inc.examples(logs, n=n).orderBy(*order).collect()
+    until = {r["normalized_msg"]: r["examples_until"] for r in incs.collect()}
+    assert until["all differ <N>"] < T0 + timedelta(seconds=60)
+    assert n == 1 or until["same"] is None
+    assert sorted(inc.incidents(logs).collect()) == sorted(incs.drop("examples_until").collect())
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
