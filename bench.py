@@ -11,6 +11,7 @@ import json
 import os
 import sys
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -30,6 +31,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "1"))
+    sf = os.path.basename(folder.rstrip("/"))
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cpus, int(cpus) if cpus.isdigit() else 8, "16g")
     if repeat > 1:
@@ -42,14 +44,14 @@ def main() -> None:
             times[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({
         "metric": "headline queries, total", "value": round(sum(times.values()), 3), "unit": "sec",
-        "queries": times, "sf": os.path.basename(folder.rstrip("/")), "repeat": repeat, "cpus": cpus,
+        "queries": times, "sf": sf, "repeat": repeat, "cpus": cpus,
         "events": spark.read.parquet(f"{folder}/events.parquet").count(),
     }))
 
 
 def repeated(spark, folder: str, n: int) -> str:
     """Folder with ``n`` shifted copies of every event; other tables as they are."""
-    out = f"{scratch_dir(spark)}/bench"
+    out = f"{scratch_dir(spark)}/bench/{uuid.uuid4().hex}"
     copy = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("copy")
     events = spark.read.parquet(f"{folder}/events.parquet")
     total = events.count()
