@@ -15,12 +15,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table of long texts that has far fewer splits than
-    there are cores, such as one file with a single row group: normalising a
-    long text costs much more than moving it. Large tables have enough splits
-    and are left as they are."""
+    """Use all cores on a table of long texts that has fewer splits than there
+    are cores, such as one file with a single row group (whose other splits are
+    empty): normalising a long text costs much more than moving it. Large
+    tables have enough splits and are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _numbered(prefix: str, n: Column) -> Column:
