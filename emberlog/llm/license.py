@@ -145,7 +145,9 @@ def _template_score(t: Template, weight: dict[str, float]) -> Column:
     total = sum(weight[w] for w in t.words if w)
 
     def agreed(x: Column) -> Column:
-        near = F.slice(hits, F.greatest(x["k"] - size + 2, F.lit(1)), 2 * size)
+        # by index: a slice would copy all hits for every alignment
+        around = F.sequence(F.greatest(x["k"] - size + 1, F.lit(0)), F.least(x["k"] + size - 1, F.size(hits) - 1))
+        near = F.transform(around, lambda j: F.get(hits, j))
 
         def agrees(y: Column) -> Column:
             at = y["i"] - x["o"]
@@ -156,7 +158,9 @@ def _template_score(t: Template, weight: dict[str, float]) -> Column:
         cover = F.aggregate(places, F.lit(0.0), lambda s, p: s + F.get(weights, p)) / total
         return F.when(missing == 0, F.least(cover, F.lit(1.0))).otherwise(0.0)
 
-    return F.coalesce(F.array_max(F.transform(look, agreed)), F.lit(0.0))
+    key = F.array(*[F.lit(t.words[i]) for i in t.key_places])
+    complete = F.size(F.array_except(key, present)) == 0
+    return F.when(complete, F.coalesce(F.array_max(F.transform(look, agreed)), F.lit(0.0))).otherwise(0.0)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

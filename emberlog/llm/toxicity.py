@@ -26,11 +26,15 @@ from emberlog.llm.common import stage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: labelled rows the model is fitted on, at most
-SAMPLE_ROWS = 40_000
+SAMPLE_ROWS = 20_000
 #: entries of the lexicon and of the exception phrases, at most
 LEXICON, EXCEPTIONS = 2_000, 2_000
 #: evidence an entry needs: log-likelihood ratio, lift over the base rate, toxic documents
 MIN_LLR, MIN_LIFT, MIN_DOCS = 30.0, 2.5, 5
+#: lengths of word starts that may be entries, next to whole words
+STARTS = range(4, 8)
+#: documents whose terms are counted together
+COUNTED_DOCS = 512
 TOXIC_FROM = 0.7
 
 # fixed values: signs that stand for Latin letters
@@ -70,25 +74,33 @@ def _weight(a: int, b: int, pos: int, neg: int) -> float:
     return math.log((a + 0.5) / (pos - a + 0.5)) - math.log((b + 0.5) / (neg - b + 0.5))
 
 
+def _terms(words: set[str]) -> list[str]:
+    """Words, and starts of longer words marked by a star."""
+    return [*words, *{w[:n] + "*" for w in words for n in STARTS if n < len(w)}]
+
+
 def _phrases(words: list[str], lexicon: set[str]) -> set[str]:
-    """Word pairs that hold a lexicon word."""
-    return {f"{a} {b}" for a, b in zip(words, words[1:]) if a in lexicon or b in lexicon}
+    """Word pairs that hold a word of the lexicon."""
+    found = [w in lexicon or any(w[:n] + "*" in lexicon for n in STARTS if n < len(w)) for w in words]
+    return {f"{a} {b}" for a, b, x, y in zip(words, words[1:], found, found[1:]) if x or y}
 
 
 def _counted(rows: DataFrame, lexicon: set[str] | None) -> DataFrame:
-    """(term, a, b): toxic and other documents with the term; summed per batch
-    before the shuffle, which then carries one row per term and batch."""
+    """(term, a, b): toxic and other documents with the term; summed over
+    COUNTED_DOCS documents before the shuffle."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            counts = (Counter(), Counter())
-            for text, toxic in zip(frame["text"], frame["toxic"]):
-                words = _WORD.findall(fold(text))
-                counts[0 if toxic else 1].update(set(words) if lexicon is None else _phrases(words, lexicon))
-            terms = list(counts[0] | counts[1])
-            yield pd.DataFrame({
-                "term": terms, "a": [counts[0][t] for t in terms], "b": [counts[1][t] for t in terms]
-            })
+            for at in range(0, len(frame), COUNTED_DOCS):
+                part = frame.iloc[at : at + COUNTED_DOCS]
+                counts = (Counter(), Counter())
+                for text, toxic in zip(part["text"], part["toxic"]):
+                    words = _WORD.findall(fold(text))
+                    counts[0 if toxic else 1].update(_terms(set(words)) if lexicon is None else _phrases(words, lexicon))
+                terms = list(counts[0].keys() | counts[1].keys())
+                yield pd.DataFrame({
+                    "term": terms, "a": [counts[0][t] for t in terms], "b": [counts[1][t] for t in terms]
+                })
 
     parts = rows.select("text", "toxic").mapInPandas(task, "term string, a bigint, b bigint")
     return parts.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
@@ -103,11 +115,15 @@ def raw_scores(docs: DataFrame, weights: dict[str, float], exceptions: list[str]
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
-        automaton = ahocorasick.Automaton()
-        for word, weight in entries.items():
-            automaton.add_word(word, (weight, len(word)))
+        # per text: weight of the word, weight of the start, whether it is an exception
+        table: dict[str, list] = {}
+        for term, weight in entries.items():
+            table.setdefault(term.rstrip("*"), [None, None, False])[term.endswith("*")] = weight
         for phrase in excused:
-            automaton.add_word(phrase, (None, len(phrase)))
+            table.setdefault(phrase, [None, None, False])[2] = True
+        automaton = ahocorasick.Automaton()
+        for term, kinds in table.items():
+            automaton.add_word(term, (len(term), *kinds))
         if len(automaton):
             automaton.make_automaton()
 
@@ -115,26 +131,29 @@ def raw_scores(docs: DataFrame, weights: dict[str, float], exceptions: list[str]
             if not text or not len(automaton):
                 return 0.0, 0
             low = fold(text)
-            hits, free = [], []
-            for end, (weight, size) in automaton.iter(low):
+            hits: dict[int, tuple[int, float]] = {}
+            free = []
+            for end, (size, word, start_of, excuse) in automaton.iter(low):
                 start = end - size + 1
-                if (start and low[start - 1].isalpha()) or (end + 1 < len(low) and low[end + 1].isalpha()):
+                if start and low[start - 1].isalpha():
                     continue  # inside a longer word
-                if weight is None:
+                ends = end + 1 == len(low) or not low[end + 1].isalpha()
+                weight = word if ends else start_of
+                # of the entries that fit a word the strongest counts
+                if weight is not None and (start not in hits or weight > hits[start][1]):
+                    hits[start] = (end, weight)
+                if excuse and ends:
                     free.append((start, end))
-                else:
-                    hits.append((start, end, weight))
-            if free and hits:  # both ascend by end, so one walk finds who covers whom
-                spans, at, kept = sorted(free), 0, []
-                reach = -1
-                for start, end, weight in sorted(hits):
-                    while at < len(spans) and spans[at][0] <= start:
-                        reach = max(reach, spans[at][1])
+            if free and hits:
+                free.sort()
+                at, reach = 0, -1
+                for start in sorted(hits):
+                    while at < len(free) and free[at][0] <= start:
+                        reach = max(reach, free[at][1])
                         at += 1
-                    if end > reach:
-                        kept.append((start, end, weight))
-                hits = kept
-            total = sum(h[2] for h in hits)
+                    if hits[start][0] <= reach:
+                        del hits[start]
+            total = sum(w for _, w in hits.values())
             return total / math.log2(2 + low.count(" ") + low.count("\n")), len(hits)
 
         for frame in frames:

@@ -135,7 +135,8 @@ def scored(rows: DataFrame, model: DataFrame, url: str = "url") -> DataFrame:
 
 def threshold(rows: DataFrame) -> float:
     """Cut (score >= cut is accepted) with the best balanced accuracy on rows
-    (accepted boolean, score), in steps of 0.01; 0 if a class is missing."""
+    (accepted boolean, score), in steps of 0.01, halfway between the steps it
+    parts; 0 if a class is missing."""
     step = F.greatest(F.lit(-2000), F.least(F.lit(2000), F.floor(F.col("score") * 100)))
     bins = rows.groupBy(step.alias("b")).agg(
         F.count(F.when(F.col("accepted"), 1)).alias("a"), F.count(F.when(~F.col("accepted"), 1)).alias("r")
@@ -143,12 +144,12 @@ def threshold(rows: DataFrame) -> float:
     a, r = sum(x["a"] for x in bins), sum(x["r"] for x in bins)
     if not a or not r:
         return 0.0
-    best, cut, kept_a, kept_r = 0.0, 0.0, a, r
+    best, cut, kept_a, kept_r, below = 0.0, 0.0, a, r, None
     for x in sorted(bins, key=lambda x: x["b"]):
         balanced = kept_a / a + 1 - kept_r / r
         if balanced > best + 1e-12:
-            best, cut = balanced, x["b"] / 100
-        kept_a, kept_r = kept_a - x["a"], kept_r - x["r"]
+            best, cut = balanced, (x["b"] + (x["b"] if below is None else below + 1)) / 200
+        kept_a, kept_r, below = kept_a - x["a"], kept_r - x["r"], x["b"]
     return cut
 
 
