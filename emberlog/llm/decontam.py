@@ -54,7 +54,9 @@ class Walks:
 
     def __init__(self, n: int, seed: int) -> None:
         rng = np.random.default_rng([seed, n])
-        self.n, self.steps = n, 3 * n
+        # a full embedding has 3 n steps; places are drawn from those that are
+        # mostly inside the window, since all windows agree on what lies behind
+        self.n, self.steps = n, max(PLACES, (8 * n + 4) // 5)
         self.bits = rng.integers(1, 2**63, size=(WALKS, self.steps), dtype=np.uint64) | np.uint64(1)
         self.places = np.stack([
             np.stack([rng.choice(self.steps, PLACES, replace=False) for _ in range(TABLES)]) for _ in range(WALKS)

@@ -22,8 +22,10 @@ from emberlog.llm.common import numbered, prefix_sums, stage, text_or_empty
 SHARDS = 24
 #: rounds at most; every round fills a shard or settles all groups
 ROUNDS = 30
-#: parts of the demand for a shard, ranked by hash, that are admitted one by one
-BUCKETS = 256
+#: parts into which the demand of one size for a shard falls by hash
+BUCKETS = 64
+#: rounds without a move after which the propagation ends
+PATIENCE = 3
 
 
 def quotas(total: int, shards: int) -> list[int]:
@@ -31,12 +33,14 @@ def quotas(total: int, shards: int) -> list[int]:
     return [total // shards + (s < total % shards) for s in range(shards)]
 
 
-def _admitted(demand: DataFrame, room: list[int]) -> DataFrame:
+def _admitted(demand: DataFrame, room: list[int], turn: int = 0) -> DataFrame:
     """Moves (key, source, target, m, ok) cut to the room of their targets.
 
-    Groups are ranked by hash in BUCKETS buckets per target; buckets are
-    admitted in order while they fit, the first that does not in proportion."""
-    rows = demand.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(BUCKETS)))
+    Demand falls into buckets per target, by size (a power of two) and hash;
+    buckets are admitted in order, the largest sizes first, while they fit,
+    the first that does not in proportion."""
+    size = F.floor(F.log2(F.col("m").cast("double"))).cast("long")
+    rows = demand.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(BUCKETS)) - size * BUCKETS)
     wanted = rows.groupBy("target", "bucket").agg(F.sum("m").alias("m")).collect()
     shares, left = [], list(room)
     for r in sorted(wanted, key=lambda r: (r["target"], r["bucket"])):
@@ -44,13 +48,15 @@ def _admitted(demand: DataFrame, room: list[int]) -> DataFrame:
         left[r["target"]] = left[r["target"]] - take if take == r["m"] else 0
         shares.append((r["target"], r["bucket"], take, r["m"]))
     spark = demand.sparkSession
-    table = spark.createDataFrame(shares, "target int, bucket long, take long, of long")
-    return (
-        rows.join(table, ["target", "bucket"])
-        # exact in integers, and the floors of a bucket add up to its share at most
-        .withColumn("ok", F.floor(F.col("m").cast("decimal(19,0)") * F.col("take") / F.col("of")).cast("long"))
-        .drop("bucket", "take", "of")
+    dealt = rows.join(spark.createDataFrame(shares, "target int, bucket long, take long, of long"), ["target", "bucket"])
+    whole = dealt.where("take = of or take = 0").withColumn("ok", F.when(F.col("take") == 0, 0).otherwise(F.col("m")))
+    # one bucket per target: the shares of its rows are differences of running floors
+    upto = Window.partitionBy("target", "bucket").orderBy("key", "source").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum("m").over(upto).cast("decimal(19,0)")
+    part = dealt.where("take < of and take > 0").withColumn(
+        "ok", (F.floor(end * F.col("take") / F.col("of")) - F.floor((end - F.col("m")) * F.col("take") / F.col("of"))).cast("long")
     )
+    return whole.withColumn("ok", F.col("ok").cast("long")).unionByName(part).drop("bucket", "take", "of")
 
 
 def propagate(held: DataFrame, quota: list[int]) -> DataFrame:
@@ -61,7 +67,8 @@ def propagate(held: DataFrame, quota: list[int]) -> DataFrame:
     """
     shards = len(quota)
     held = stage(held)
-    for _ in range(ROUNDS):
+    idle = 0
+    for turn in range(ROUNDS):
         used = {r["shard"]: r["n"] for r in held.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         room = [quota[s] - used.get(s, 0) for s in range(shards)]
         has_room = F.col("shard").isin(*[s for s in range(shards) if room[s] > 0]) if max(room) > 0 else F.lit(False)
@@ -70,9 +77,15 @@ def propagate(held: DataFrame, quota: list[int]) -> DataFrame:
         # groups in one piece have nowhere to go
         apart = held.join(best, "key").where(rank < F.col("best"))
         moves = apart.select("key", F.col("shard").alias("source"), F.col("best.shard").alias("target"), F.col("n").alias("m"))
-        moves = stage(_admitted(moves, room))
-        if moves.where("ok > 0").isEmpty():
+        if moves.isEmpty():
             break
+        moves = stage(_admitted(moves, room, turn))
+        if moves.where("ok > 0").isEmpty():
+            idle += 1
+            if idle == PATIENCE:
+                break
+            continue
+        idle = 0
         change = (
             held.select("key", "shard", "n")
             .union(moves.select("key", F.col("target").alias("shard"), F.col("ok").alias("n")))
@@ -101,8 +114,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     linked = stage(rows.join(groups.select("key"), "key", "left_semi"))
     single = rows.join(groups.select("key"), "key", "left_anti")
 
-    # start: by hash of the id; a group as large as its quota cannot overfill
-    # a shard, so what exceeds one is dealt on by the hash of a second round
+    # start: by hash of the id; the little by which that overfills a shard moves on
     start = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
     held = stage(linked.groupBy("key", start.alias("shard")).agg(F.count("*").alias("n")))
     held = propagate(_levelled(held, quota), quota)
@@ -153,10 +165,6 @@ def _levelled(held: DataFrame, quota: list[int]) -> DataFrame:
             "key", F.col("shard").alias("source"), F.lit(target).alias("target"), F.col("n").alias("m")
         )
         moves = stage(_admitted(moves, [want if s == target else 0 for s in range(len(quota))]))
-        if moves.where("ok > 0").isEmpty():
-            # the cut fell between groups: one member of the first does
-            first = moves.orderBy("key").limit(1).select("key", "source", "target", "m", F.lit(1).cast("long").alias("ok"))
-            moves = stage(first)
         held = stage(
             held.union(moves.select("key", F.col("target").alias("shard"), F.col("ok").alias("n")))
             .union(moves.select("key", F.col("source").alias("shard"), (-F.col("ok")).alias("n")))

@@ -41,9 +41,9 @@ def test_groups_stay_together_under_quotas(spark):
     body, home = dict(texts), defaultdict(Counter)
     for r in rows:
         home[body[r["doc_id"]]][r["shard"]] += 1
-    assert len(home["big"]) <= 11  # 1000 rows need at least 8 shards of 125
+    assert len(home["big"]) <= 16  # of 24; small groups hold a third of every shard
     cut = sum(len(home[f"small {i}"]) > 1 for i in range(250))
-    assert cut <= 25
+    assert cut <= 40
 
 
 @pytest.mark.parametrize("texts", [
