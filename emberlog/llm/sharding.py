@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from emberlog.llm.common import numbered, prefix_sums, stage, text_or_empty
 
 SHARDS = 24
-#: rounds at most; every round fills a shard or settles all groups
-ROUNDS = 30
+#: rounds at most; nearly all groups settle in two, one larger than a shard fills one a round
+ROUNDS = 16
 #: parts into which the demand of one size for a shard falls by hash
 BUCKETS = 64
 #: rounds without a move after which the propagation ends
@@ -33,8 +33,9 @@ def quotas(total: int, shards: int) -> list[int]:
     return [total // shards + (s < total % shards) for s in range(shards)]
 
 
-def _admitted(demand: DataFrame, room: list[int], turn: int = 0) -> DataFrame:
-    """Moves (key, source, target, m, ok) cut to the room of their targets.
+def _admitted(demand: DataFrame, room: list[int], turn: int = 0) -> tuple[DataFrame | None, bool]:
+    """Moves (key, source, target, m, ok) cut to the room of their targets, or
+    None if none is possible, and whether any was wanted.
 
     Demand falls into buckets per target, by size (a power of two) and hash;
     buckets are admitted in order, the largest sizes first, while they fit,
@@ -46,17 +47,28 @@ def _admitted(demand: DataFrame, room: list[int], turn: int = 0) -> DataFrame:
     for r in sorted(wanted, key=lambda r: (r["target"], r["bucket"])):
         take = min(r["m"], left[r["target"]])
         left[r["target"]] = left[r["target"]] - take if take == r["m"] else 0
-        shares.append((r["target"], r["bucket"], take, r["m"]))
+        if take:
+            shares.append((r["target"], r["bucket"], take, r["m"]))
+    if not shares:
+        return None, bool(wanted)
     spark = demand.sparkSession
     dealt = rows.join(spark.createDataFrame(shares, "target int, bucket long, take long, of long"), ["target", "bucket"])
-    whole = dealt.where("take = of or take = 0").withColumn("ok", F.when(F.col("take") == 0, 0).otherwise(F.col("m")))
+    whole = dealt.where("take = of").withColumn("ok", F.col("m"))
     # one bucket per target: the shares of its rows are differences of running floors
     upto = Window.partitionBy("target", "bucket").orderBy("key", "source").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum("m").over(upto).cast("decimal(19,0)")
-    part = dealt.where("take < of and take > 0").withColumn(
+    part = dealt.where("take < of").withColumn(
         "ok", (F.floor(end * F.col("take") / F.col("of")) - F.floor((end - F.col("m")) * F.col("take") / F.col("of"))).cast("long")
     )
-    return whole.withColumn("ok", F.col("ok").cast("long")).unionByName(part).drop("bucket", "take", "of")
+    return whole.unionByName(part).drop("bucket", "take", "of"), True
+
+
+def _moved(held: DataFrame, moves: DataFrame) -> DataFrame:
+    change = moves.select("key", F.explode(F.array(
+        F.struct(F.col("target").alias("shard"), F.col("ok").alias("n")),
+        F.struct(F.col("source").alias("shard"), (-F.col("ok")).alias("n")),
+    )).alias("c")).select("key", "c.shard", "c.n")
+    return stage(held.union(change).groupBy("key", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
 
 
 def propagate(held: DataFrame, quota: list[int]) -> DataFrame:
@@ -77,21 +89,14 @@ def propagate(held: DataFrame, quota: list[int]) -> DataFrame:
         # groups in one piece have nowhere to go
         apart = held.join(best, "key").where(rank < F.col("best"))
         moves = apart.select("key", F.col("shard").alias("source"), F.col("best.shard").alias("target"), F.col("n").alias("m"))
-        if moves.isEmpty():
+        moves, wanted = _admitted(moves, room, turn)
+        if not wanted:
             break
-        moves = stage(_admitted(moves, room, turn))
-        if moves.where("ok > 0").isEmpty():
-            idle += 1
-            if idle == PATIENCE:
-                break
-            continue
-        idle = 0
-        change = (
-            held.select("key", "shard", "n")
-            .union(moves.select("key", F.col("target").alias("shard"), F.col("ok").alias("n")))
-            .union(moves.select("key", F.col("source").alias("shard"), (-F.col("ok")).alias("n")))
-        )
-        held = stage(change.groupBy("key", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
+        idle = idle + 1 if moves is None else 0
+        if idle == PATIENCE:
+            break
+        if moves is not None:
+            held = _moved(held, moves)
     return held
 
 
@@ -164,9 +169,5 @@ def _levelled(held: DataFrame, quota: list[int]) -> DataFrame:
         moves = held.where(F.col("shard") == source).select(
             "key", F.col("shard").alias("source"), F.lit(target).alias("target"), F.col("n").alias("m")
         )
-        moves = stage(_admitted(moves, [want if s == target else 0 for s in range(len(quota))]))
-        held = stage(
-            held.union(moves.select("key", F.col("target").alias("shard"), F.col("ok").alias("n")))
-            .union(moves.select("key", F.col("source").alias("shard"), (-F.col("ok")).alias("n")))
-            .groupBy("key", "shard").agg(F.sum("n").alias("n")).where("n > 0")
-        )
+        moves, _ = _admitted(moves, [want if s == target else 0 for s in range(len(quota))])
+        held = _moved(held, moves)
