@@ -24,6 +24,7 @@ HEADLINE = (
     "incidents", "incident_examples", "incident_sections", "incident_rank", "normalize", "doc_incidents",
     "daily_incidents", "host_totals", "app_totals", "noise_summary", "patterns", "hits_histogram",
     "new_critical", "alert_throttle", "fingerprint_history", "burn_rate", "run_status", "report_bodies",
+    "read_jsonl", "doc_examples", "host_cap", "normalize_extended", "stream_incident_counts",
 )
 
 
@@ -42,10 +43,11 @@ def main() -> None:
             start = time.perf_counter()
             catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             times[name] = round(time.perf_counter() - start, 3)
+    events = spark.read.parquet(f"{folder}/events.parquet").count()
     print(json.dumps({
         "metric": "headline queries, total", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": sf, "repeat": repeat, "cpus": cpus,
-        "events": spark.read.parquet(f"{folder}/events.parquet").count(),
+        "events": events, "events_per_sec": {n: round(events / t) for n, t in times.items()},
     }))
 
 

@@ -7,7 +7,7 @@ incident table twice stage it first.
 from __future__ import annotations
 
 import uuid
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,17 +16,18 @@ from pyspark.sql import functions as F
 from emberlog.functions import links, text
 from emberlog.functions.fingerprint import fingerprint, level_rank, short_fingerprint
 from emberlog.functions.normalize import DEFAULT_PROFILE, EXTENDED_PROFILE, Rule, normalize
-from emberlog.functions.windows import Window, timestamp
+from emberlog.functions.windows import Window, digest_window_at, digest_window_for, timestamp
 from emberlog.operators import filters, incidents as inc, patterns as pat, ranking, stats, totals
-from emberlog.plans import ledger, metrics
+from emberlog.plans import history, ledger, metrics
 from emberlog.plans.digest import DigestConfig, build_digest
 from emberlog.plans.report import cover_rows
-from emberlog.schema import ALERT_LEVELS, LOG_SCHEMA
+from emberlog.schema import ALERT_LEVELS, LOG_SCHEMA, MAX_EXAMPLES
 from emberlog.session import scratch_dir, stage
 from emberlog.sources import jsonl
 from emberlog.sources.collect import union_sources
+from emberlog.sources.sinks import write_daily
 from emberlog.sources.tables import (
-    conversation_logs, document_logs, event_logs, ledger_events, table,
+    conversation_logs, cycle_events, document_logs, event_logs, ledger_events, table,
 )
 from emberlog.streaming.alerts import new_critical_alerts, throttled_alerts
 from emberlog.streaming.ingest import incident_counts
@@ -39,7 +40,8 @@ ZONE = "Europe/Moscow"  # UTC+3 all year
 NOW = datetime(2024, 1, 30, 23, 0)
 MIDDLE = datetime(2024, 1, 16)
 WINDOW = Window(datetime(2024, 1, 1, 5), datetime(2024, 1, 31, 5))
-DAY = Window(datetime(2024, 1, 10, 5), datetime(2024, 1, 11, 5))
+DAY = digest_window_for("2024-01-11", ZONE)
+LAST_DAY = digest_window_at(datetime(2024, 1, 20, 9, 41, tzinfo=timezone.utc), ZONE)
 HOSTS = ("h1", "h2", "h3", "h4", "h5", "h6")
 LABELS = {"h1": "Primary", "h3": "Backup"}
 TARGET = links.LinkTarget("https://logs.example.com/view/", 2, "ds1", "logs")
@@ -109,15 +111,17 @@ def quarantine(spark, folder):
     return jsonl.split_lines(e.select(value.alias("value"), "event_id")).quarantine.select("event_id")
 
 
-def union_of_sources(spark, folder):
-    sources = {
+def _collected(spark, folder):
+    return union_sources(spark, {
         "events": lambda: event_logs(spark, folder),
         "documents": lambda: document_logs(spark, folder),
         "conversations": lambda: conversation_logs(spark, folder),
         "missing": lambda: spark.read.schema(LOG_SCHEMA).parquet(f"{folder}/no_such_source"),
-    }
-    records = union_sources(spark, sources).records
-    return records.groupBy("host", "app", "level").agg(
+    })
+
+
+def union_of_sources(spark, folder):
+    return _collected(spark, folder).records.groupBy("host", "app", "level").agg(
         F.count("*").alias("records"), F.sum(F.octet_length("msg").cast("long")).alias("bytes"))
 
 
@@ -125,6 +129,19 @@ def source_freshness(spark, folder):
     return stats.source_freshness(event_logs(spark, folder), NOW)
 
 
+def source_status(spark, folder):
+    """One of the sources is not there; the others are whole."""
+    return _collected(spark, folder).status.select("source", "failed")
+
+
+def source_partial(spark, folder):
+    return _collected(spark, folder).is_partial()
+
+
+def has_recent(spark, folder):
+    return stats.has_recent(event_logs(spark, folder), NOW).select((F.col("event_time") <= timestamp(NOW)).alias("found"))
+
+
 # --- filters -----------------------------------------------------------------
 
 def logs_by_host(spark, folder):
@@ -139,8 +156,12 @@ def logs_window(spark, folder):
     return filters.in_window(event_logs(spark, folder), DAY)
 
 
+def logs_scheduled_window(spark, folder):
+    return filters.in_window(event_logs(spark, folder), LAST_DAY)
+
+
 def logs_extra_filter(spark, folder):
-    query = filters.LogQuery(WINDOW, host="h3", levels=("error",), extra=(
+    query = filters.LogQuery(WINDOW, host="h3", levels=("error", "critical"), extra=(
         F.col("app") == "app1", F.col("msg").rlike("refused|модуле")))
     return query.apply(event_logs(spark, folder))
 
@@ -189,12 +210,17 @@ def doc_incidents(spark, folder):
     return inc.incidents(document_logs(spark, folder))
 
 
+def _examples(logs):
+    """Only records up to the time by which enough messages are known."""
+    return inc.examples(logs, only=stage(inc.incidents(logs, examples_for=MAX_EXAMPLES)))
+
+
 def incident_examples(spark, folder):
-    return inc.examples(_alerts(spark, folder))
+    return _examples(_alerts(spark, folder))
 
 
 def doc_examples(spark, folder):
-    return inc.examples(document_logs(spark, folder))
+    return _examples(document_logs(spark, folder))
 
 
 def incident_streams(spark, folder):
@@ -218,9 +244,8 @@ def noise_summary(spark, folder):
 
 
 def cover_totals(spark, folder):
-    host_rows = totals.host_totals(_alerts(spark, folder)).join(
-        metrics.host_incidents(_incidents(spark, folder)), "host")
-    return totals.cover_totals(host_rows)
+    rows = inc.incidents(_alerts(spark, folder), level_counts=("error", "critical"))
+    return totals.cover_totals(totals.host_summary(rows, K))
 
 
 def hosts(spark, folder):
@@ -235,8 +260,8 @@ def hits_series(spark, folder):
     series = stats.hits_series(_alerts(spark, folder), "1 hour", ("host", "app"))
     return series.select(
         F.col("fields")["host"].alias("host"), F.col("fields")["app"].alias("app"), "total",
-        F.size("timestamps").cast("long").alias("buckets"), F.array_max("values").alias("peak"),
-        F.array_min("timestamps").alias("first_bucket"), F.element_at("timestamps", -1).alias("last_bucket"))
+        F.posexplode(F.arrays_zip("timestamps", "values")).alias("no", "p"),
+    ).select("host", "app", "total", "no", F.col("p.timestamps").alias("bucket"), F.col("p.values").alias("hits"))
 
 
 def stats_by_host_level(spark, folder):
@@ -262,7 +287,7 @@ def incident_level_map(spark, folder):
 
 
 def app_share(spark, folder):
-    return totals.app_share(totals.app_totals(_incidents(spark, folder)))
+    return totals.app_share(stage(totals.app_totals(_incidents(spark, folder))))
 
 
 def top_pattern_others(spark, folder):
@@ -299,13 +324,21 @@ def top_apps(spark, folder):
     return totals.top_apps(event_logs(spark, folder), 2)
 
 
+def _with_gaps(logs):
+    """Signups lose their time, clicks their host."""
+    return logs.withColumns({
+        "event_time": F.when(F.col("level") != "warn", F.col("event_time")),
+        "host": F.when(F.col("level") != "debug", F.col("host")),
+    })
+
+
 def host_cap(spark, folder):
-    kept, _ = ranking.host_cap(event_logs(spark, folder), 1000)
+    kept, _ = ranking.host_cap(_with_gaps(event_logs(spark, folder)), 1000)
     return kept.select("host", "event_time", "msg")
 
 
 def host_cap_summary(spark, folder):
-    return ranking.host_cap(event_logs(spark, folder), 1000)[1]
+    return ranking.host_cap(_with_gaps(event_logs(spark, folder)), 1000)[1]
 
 
 # --- scalar functions --------------------------------------------------------
@@ -470,11 +503,25 @@ def retained_runs(spark, folder):
 
 
 def history_by_version(spark, folder):
+    """A table that holds two profiles, stored and read again."""
     logs = _alerts(spark, folder)
-    old = pat.as_history(inc.incidents(_before(logs), EXTENDED_PROFILE)).withColumn("profile_version", F.lit(1))
-    new = pat.as_history(inc.incidents(_after(logs))).withColumn("profile_version", F.lit(2))
-    return pat.history_of_version(old.unionByName(new), 2).select(
-        "host", "app", "fingerprint", "first_seen", "last_seen", "count_total")
+    empty = spark.createDataFrame([], history.HISTORY_COLUMNS)
+    half = Window(WINDOW.start, MIDDLE)
+    old = history.merged(empty, inc.incidents(_before(logs), EXTENDED_PROFILE), half, EXTENDED_PROFILE)
+    new = history.merged(empty, inc.incidents(_after(logs)), WINDOW)
+    stored = history.FingerprintHistory(spark, f"{scratch_dir(spark)}/history/{uuid.uuid4().hex}")
+    stored._write(old.unionByName(new))
+    return stored.current().select("host", "app", "fingerprint", "first_seen", "last_seen", "count_total")
+
+
+def history_kept(spark, folder):
+    """Two digests, the second of which sweeps what the first alone has seen."""
+    logs = _alerts(spark, folder)
+    stored = history.FingerprintHistory(spark, f"{scratch_dir(spark)}/history/{uuid.uuid4().hex}")
+    stored.update(inc.incidents(_before(logs)), Window(WINDOW.start, MIDDLE))
+    stored.update(inc.incidents(_after(logs)), WINDOW)
+    stored.sweep(NOW, 10)
+    return stored.current().drop("profile_version", "sample_msg", "updated_at")
 
 
 # --- reports and metrics -----------------------------------------------------
@@ -501,7 +548,11 @@ def cover(spark, folder):
 
 
 def cycle_outcomes(spark, folder):
-    return ledger.cycle_outcomes(_runs(spark, folder))
+    return ledger.cycle_outcomes(cycle_events(spark, folder))
+
+
+def metric_partial_errors(spark, folder):
+    return ledger.partial_errors(cycle_events(spark, folder))
 
 
 def duration_histogram(spark, folder):
@@ -520,8 +571,12 @@ def patterns(spark, folder):
     return pat.patterns(_incidents(spark, folder))
 
 
+def pattern_hosts(spark, folder):
+    return pat.pattern_hosts(stage(_incidents(spark, folder)))
+
+
 def pattern_flags(spark, folder):
-    return pat.flag_patterns(_incidents(spark, folder)).select(
+    return pat.flag_patterns(stage(_incidents(spark, folder))).select(
         "host", "app", "fingerprint", "cnt", "host_count", "is_pattern")
 
 
@@ -530,11 +585,11 @@ def new_patterns_per_day(spark, folder):
 
 
 def slo_success_rate(spark, folder):
-    return metrics.success_rate(_runs(spark, folder))
+    return metrics.success_rate(cycle_events(spark, folder))
 
 
 def slo_failed_share(spark, folder):
-    return metrics.failed_share(_runs(spark, folder))
+    return metrics.failed_share(cycle_events(spark, folder))
 
 
 def slo_latency(spark, folder):
@@ -550,8 +605,12 @@ def burn_rate(spark, folder):
 
 
 def incident_browse(spark, folder):
+    """Over the table by digest day, whose folders ``since`` prunes."""
+    path = f"{scratch_dir(spark)}/daily/{uuid.uuid4().hex}"
+    write_daily(_daily(spark, folder), path)
+    kept = pat.since_day(spark.read.parquet(path), NOW - timedelta(days=10))
     return pat.browse(
-        _daily(spark, folder), host="h2", level="critical", pattern="<ip>", since=timestamp(NOW - timedelta(days=30))
+        kept, host="h2", level="critical", pattern="<ip>", since=timestamp(NOW - timedelta(days=10))
     ).select("window_start", "host", "app", "fingerprint", "cnt")
 
 
@@ -560,6 +619,13 @@ QUERIES: dict[str, Query] = {
     "quarantine": quarantine,
     "union_sources": union_of_sources,
     "source_freshness": source_freshness,
+    "source_status": source_status,
+    "source_partial": source_partial,
+    "has_recent": has_recent,
+    "logs_scheduled_window": logs_scheduled_window,
+    "metric_partial_errors": metric_partial_errors,
+    "history_kept": history_kept,
+    "pattern_hosts": pattern_hosts,
     "logs_by_host": logs_by_host,
     "logs_by_level": logs_by_level,
     "logs_window": logs_window,

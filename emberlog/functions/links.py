@@ -91,12 +91,31 @@ def _levels_clause(levels) -> str:
     return "".join(" " + n for n in names)
 
 
-def _quoted(text: Column) -> Column:
-    return F.concat(
-        F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')
+# Short escapes of control characters in a quoted text.
+_ESCAPES = {"\\": "\\\\", '"': '\\"', "\a": "\\a", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\v": "\\v"}
+_PRINTABLE = r"\p{L}\p{M}\p{N}\p{P}\p{S} "
+
+
+def _escaped(c: Column) -> Column:
+    code, out = F.ascii(c), F.when(F.lit(False), c)
+    for raw, short in _ESCAPES.items():
+        out = out.when(c == raw, F.lit(short))
+    return (
+        out.when(c.rlike(f"^[{_PRINTABLE}]$"), c)
+        .when(code < 0x80, F.concat(F.lit("\\x"), F.lpad(F.lower(F.hex(code)), 2, "0")))
+        .when(code < 0x10000, F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0")))
+        .otherwise(F.concat(F.lit("\\U"), F.lpad(F.lower(F.hex(code)), 8, "0")))
     )
 
 
+def _quoted(text: Column) -> Column:
+    """Text in double quotes; quotes, backslashes and what cannot be printed
+    are escaped. Texts without the latter take the short way."""
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    full = F.array_join(F.transform(F.split(text, ""), _escaped), "")
+    return F.concat(F.lit('"'), F.when(text.rlike(f"[^{_PRINTABLE}]"), full).otherwise(plain), F.lit('"'))
+
+
 def host_expr(host: Column | str, levels=()) -> Column:
     """``{host="x"} (level:=a OR level:=b)``"""
     return F.concat(F.lit("{host="), _quoted(_col(host)), F.lit("}" + _levels_clause(levels)))

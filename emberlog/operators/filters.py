@@ -73,5 +73,7 @@ def digest_records(df: DataFrame, hosts, levels, window: Window) -> DataFrame:
 
 
 def first_n(df: DataFrame, n: int) -> DataFrame:
-    """Stop after ``n`` records."""
-    return df.limit(n)
+    """The first ``n`` records by time, ties by all other columns; records
+    without a time come last. Every task keeps ``n`` rows at most."""
+    ties = [F.col(c) for c in df.columns if c != "event_time"]
+    return df.orderBy(F.col("event_time").asc_nulls_last(), *ties).limit(n)

@@ -42,7 +42,8 @@ def incidents(
 
     * level: the highest rank seen; of equal ranks the earliest;
     * module: that of the earliest record, even if empty;
-    * streams: distinct non-empty stream ids, exact unless ``approx_streams``;
+    * streams: distinct non-empty stream ids, exact unless ``approx_streams``,
+      which sends a sketch instead of a row per stream;
     * ``level_counts`` adds the records of each named level as ``n_<level>``,
       from which totals by record level follow without another pass;
     * ``examples_for`` adds ``examples_until``, a time by which that many
@@ -52,22 +53,23 @@ def incidents(
     """
     key = [*extra_key, *INCIDENT_KEY]
     buckets = [f"_b{i}" for i in range(2 * examples_for + 2)] if examples_for else []
+    stream = F.when(F.col("stream_id") != "", F.col("stream_id"))
     records = with_template(logs, profile)
     if buckets:
         records = records.withColumn("_bucket", F.pmod(F.xxhash64("msg"), F.lit(len(buckets))))
     reduced = (
         records
-        .groupBy(*key, "level", "module", "stream_id")
+        .groupBy(*key, "level", "module", *([] if approx_streams else ["stream_id"]))
         .agg(
             F.count("*").alias("cnt"),
             F.min("event_time").alias("first_seen"),
             F.max("event_time").alias("last_seen"),
             *[F.min(F.when(F.col("_bucket") == i, F.col("event_time"))).alias(b) for i, b in enumerate(buckets)],
+            *([F.hll_sketch_agg(stream).alias("_streams")] if approx_streams else []),
         )
     )
     until = F.get(F.sort_array(F.array_compact(F.array(*buckets))), F.lit(examples_for - 1)) if buckets else None
-    stream = F.when(F.col("stream_id") != "", F.col("stream_id"))
-    streams = F.approx_count_distinct(stream) if approx_streams else F.count_distinct(stream)
+    streams = F.hll_sketch_estimate(F.hll_union_agg("_streams")) if approx_streams else F.count_distinct(stream)
     return with_fingerprint(
         reduced.groupBy(*key).agg(
             F.sum("cnt").alias("cnt"),

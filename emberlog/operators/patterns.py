@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 from datetime import timedelta
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,10 @@ from emberlog.functions.normalize import DEFAULT_PROFILE
 from emberlog.operators.incidents import incidents, with_template
 from emberlog.functions.windows import digest_bucket
 from emberlog.schema import INCIDENT_KEY
+from emberlog.session import stage
+
+# workers need not be able to import this module
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed values.
 PATTERN_COUNT = 10
@@ -23,25 +31,32 @@ THROTTLE = timedelta(minutes=10)
 
 
 def patterns(incidents: DataFrame, min_count: int = PATTERN_COUNT, min_hosts: int = PATTERN_HOSTS) -> DataFrame:
-    """Templates across hosts. An incident is unique per host, so a group
-    holds at most one row per host."""
+    """Templates across hosts. An incident is unique per host, so the rows of
+    a template are its hosts; ``pattern_hosts`` lists them."""
     return (
         incidents.groupBy("app", "normalized_msg")
         .agg(
             F.sum("cnt").alias("cnt"),
             F.max("cnt").alias("max_cnt"),
             F.count("*").alias("host_count"),
-            F.array_join(F.sort_array(F.collect_list("host")), ",").alias("hosts"),
         )
         .withColumn("is_pattern", (F.col("max_cnt") >= min_count) | (F.col("host_count") >= min_hosts))
     )
 
 
+def pattern_hosts(incidents: DataFrame, min_count: int = PATTERN_COUNT, min_hosts: int = PATTERN_HOSTS) -> DataFrame:
+    """One row per host of every pattern; a list would grow with the fleet.
+    ``incidents`` is read twice: pass a staged table."""
+    found = patterns(incidents, min_count, min_hosts).filter("is_pattern").select("app", "normalized_msg")
+    return incidents.join(found, ["app", "normalized_msg"], "left_semi").select("app", "normalized_msg", "host", "cnt")
+
+
 def flag_patterns(incidents: DataFrame, min_count: int = PATTERN_COUNT, min_hosts: int = PATTERN_HOSTS) -> DataFrame:
-    """Incidents with the hosts of their template and the pattern flag."""
-    across = Window.partitionBy("app", "normalized_msg")
+    """Incidents with the hosts of their template and the pattern flag. The
+    counts are joined back, so a template is never gathered in one task."""
+    hosts = incidents.groupBy("app", "normalized_msg").agg(F.count("*").alias("host_count"))
     return (
-        incidents.withColumn("host_count", F.count("*").over(across))
+        incidents.join(hosts, ["app", "normalized_msg"])
         .withColumn("is_pattern", (F.col("cnt") >= min_count) | (F.col("host_count") >= min_hosts))
     )
 
@@ -74,6 +89,12 @@ def browse(
     return daily
 
 
+def since_day(daily: DataFrame, since) -> DataFrame:
+    """Days of the stored daily table that can hold windows from ``since`` on;
+    the filter is on the partition column, so other folders are not read."""
+    return daily.filter(F.col("day") >= F.lit(f"{since:%Y-%m-%d}").cast("date"))
+
+
 def new_fingerprints(current: DataFrame, history: DataFrame, since: Column) -> DataFrame:
     """Incidents whose fingerprint the history has not seen since ``since``."""
     seen = history.filter(F.col("last_seen") >= since).select("host", "fingerprint")
@@ -118,44 +139,62 @@ def new_criticals(logs: DataFrame, quiet: timedelta = QUIET, profile=DEFAULT_PRO
     )
 
 
-def _throttle(gap_s: int):
+def _throttle(gap_us: int):
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("alert_s")
-        at = rows["alert_s"].to_numpy()
+        rows = rows.sort_values("us")
+        at = rows["us"].to_numpy()
         chosen, i = [], 0
         while i < len(at):
             chosen.append(i)
-            i = max(i + 1, int(np.searchsorted(at, at[i] + gap_s, side="left")))
-        return rows.iloc[chosen].assign(records=np.add.reduceat(rows["records"].to_numpy(), chosen))
+            i = int(np.searchsorted(at, at[i] + gap_us, side="left"))
+        out = rows.iloc[chosen].assign(records=np.add.reduceat(rows["records"].to_numpy(), chosen))
+        return out[["host", "app", "fingerprint", "us", "records"]]
 
     return pick
 
 
+def _in_sessions(moments: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
+    """``moments`` (keys, us, records) with the number of their session: what
+    lies between two silences of at least ``gap_us``.
+
+    A silence that long spans the border of two buckets of that length, so
+    sessions follow from the first and last moment of every bucket."""
+    slot = F.floor(F.col("us") / F.lit(gap_us)).alias("slot")
+    ends = moments.groupBy(*keys, slot).agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    order = Window.partitionBy(*keys).orderBy("slot")
+    opens = F.coalesce((F.col("first") - F.lag("last").over(order) >= gap_us).cast("int"), F.lit(0))
+    session = F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ends = ends.withColumn("opens", opens).withColumn("session", session)
+    named = ends.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("slot").alias("_slot"), "session")
+    rows = moments.withColumn("slot", slot)
+    same = reduce(and_, [rows[k].eqNullSafe(named[f"_{k}"]) for k in keys], rows["slot"] == named["_slot"])
+    return rows.join(named, same).drop("slot", "_slot", *[f"_{k}" for k in keys])
+
+
 def throttle_alerts(
     logs: DataFrame, gap: timedelta = THROTTLE, level: str = "critical", profile=DEFAULT_PROFILE
 ) -> DataFrame:
     """At most one alert per fingerprint and ``gap``: the first record of
     ``level`` raises one, and the next is raised by the first record at least
-    ``gap`` after it. Alert times have a resolution of one second.
+    ``gap`` after it. Records without a time raise none.
 
-    The rule is sequential, but its input is reduced to one row per
-    fingerprint and second before it is grouped, so a group is bounded by the
-    seconds of the queried window and not by the number of records.
+    The rule is sequential, but the first record after a silence of ``gap``
+    always alerts, so what lies between two silences is independent of the
+    rest: a fingerprint is grouped by these sessions, with one row per
+    distinct time.
     """
     keys = ["host", "app", "fingerprint"]
-    per_second = (
-        with_template(logs.filter(F.col("level") == level), profile)
-        .groupBy(*INCIDENT_KEY, F.unix_seconds(F.col("event_time").cast("timestamp")).alias("alert_s"))
+    gap_us = max(1, gap // timedelta(microseconds=1))
+    moments = (
+        with_template(logs.filter((F.col("level") == level) & F.col("event_time").isNotNull()), profile)
+        .groupBy(*INCIDENT_KEY, F.unix_micros(F.col("event_time").cast("timestamp")).alias("us"))
         .agg(F.count("*").alias("records"))
-        .select("host", "app", fingerprint().alias("fingerprint"), "alert_s", "records")
-    )
-    picked = per_second.groupBy(*keys).applyInPandas(
-        _throttle(int(gap.total_seconds())),
-        "host string, app string, fingerprint string, alert_s long, records long",
+        .select("host", "app", fingerprint().alias("fingerprint"), "us", "records")
     )
-    return picked.select(
-        *keys, F.timestamp_seconds("alert_s").cast("timestamp_ntz").alias("alert_at"), "records"
+    picked = _in_sessions(stage(moments), keys, gap_us).groupBy(*keys, "session").applyInPandas(
+        _throttle(gap_us), "host string, app string, fingerprint string, us long, records long",
     )
+    return picked.select(*keys, F.timestamp_micros("us").cast("timestamp_ntz").alias("alert_at"), "records")
 
 
 def merge_history(history: DataFrame, current: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +13,8 @@ from emberlog.session import stage
 
 # Order of incidents within a host; total, since a fingerprint is unique.
 INCIDENT_ORDER = ("-cnt", "first_seen", "fingerprint")
-# The planner limits groups before the shuffle up to this rank
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-_LIMIT_BEFORE_SHUFFLE = 1000
+# Parts into which the rows of a group are dealt before its first rows are chosen.
+_PARTS = 32
 
 
 def order_columns(order) -> list[Column]:
@@ -36,27 +38,33 @@ def ranked(df: DataFrame, group, order, name: str = "rank") -> DataFrame:
     offsets = (
         sliced.groupBy(*group, "_slice").agg(F.count("*").alias("_rows"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .drop("_rows")
+        .select(*[F.col(g).alias(f"_of_{g}") for g in group], F.col("_slice").alias("_of"), "_before")
     )
+    # null is a group like any other
+    same = reduce(and_, [sliced[g].eqNullSafe(offsets[f"_of_{g}"]) for g in group], sliced["_slice"] == offsets["_of"])
     within = Window.partitionBy(*group, "_slice").orderBy(*keys)
     return (
-        sliced.withColumn("_no", F.row_number().over(within))
-        .join(offsets, [*group, "_slice"])
-        .withColumn(name, F.col("_no") + F.col("_before"))
-        .drop("_no", "_before", "_slice")
+        sliced.withColumn("_row", F.row_number().over(within))
+        .join(offsets, same)
+        .withColumn(name, F.col("_row") + F.col("_before"))
+        .drop("_row", "_before", "_slice", "_of", *[f"_of_{g}" for g in group])
     )
 
 
 def top_n(df: DataFrame, group, order, n: int, name: str = "rank") -> DataFrame:
-    """The first ``n`` rows of each group with their rank.
+    """The first ``n`` rows of each group with their rank; null is a group.
 
-    For usual ``n`` the planner keeps at most ``n`` rows per group and task
-    before the shuffle; beyond that the sliced ranking is used.
+    The rows of a group are dealt into parts by hash and every part keeps its
+    first ``n``, so that the last step sees at most ``n`` rows per part,
+    however large the group is and whatever ``n`` is.
     """
-    if n > _LIMIT_BEFORE_SHUFFLE:
-        return ranked(df, group, order, name).filter(F.col(name) <= n)
-    w = Window.partitionBy(*group).orderBy(*order_columns(order))
-    return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
+    keys = order_columns(order)
+    part = F.pmod(F.xxhash64(*[c.lstrip("-") for c in order]), F.lit(_PARTS))
+    dealt = df.withColumn("_part", part)
+    inside = Window.partitionBy(*group, "_part").orderBy(*keys)
+    first = dealt.withColumn("_no", F.row_number().over(inside)).filter(F.col("_no") <= n).drop("_no", "_part")
+    w = Window.partitionBy(*group).orderBy(*keys)
+    return first.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
 
 
 def incident_rank(incidents: DataFrame) -> DataFrame:
@@ -86,13 +94,15 @@ def incident_sections(incidents: DataFrame, k: int = NOISE_K, n: int = TOP_N) ->
 
 def host_cap(logs: DataFrame, cap: int, ties=("msg", "stream_id", "app", "level", "module")) -> tuple[DataFrame, DataFrame]:
     """The first ``cap`` records of each host by time, and a per-host summary
-    (total, kept, is_cut) so that a cut is always visible.
+    (total, kept, is_cut) so that a cut is always visible. Records without a
+    time come last; records without a host are a host of their own.
 
     A count per host and second finds the second in which the cap is reached;
     earlier records pass through a plain filter without a shuffle and only
     the records of that second are ranked.
     """
-    second = F.date_trunc("second", "event_time").cast("timestamp_ntz")
+    last = (1 << 62)  # the second of records without a time
+    second = F.coalesce(F.unix_seconds(F.col("event_time").cast("timestamp")), F.lit(last))
     per_second = logs.groupBy("host", second.alias("second")).agg(F.count("*").alias("rows"))
     running = Window.partitionBy("host").orderBy("second").rowsBetween(Window.unboundedPreceding, 0)
     upto = per_second.withColumn("upto", F.sum("rows").over(running))
@@ -104,10 +114,12 @@ def host_cap(logs: DataFrame, cap: int, ties=("msg", "stream_id", "app", "level"
             F.coalesce(F.max(F.when(F.col("upto") <= cap, F.col("upto"))), F.lit(0)).alias("before_edge"),
         )
     )
-    tagged = logs.withColumn("_second", second).join(edge, "host", "left")
+    numbered = logs.withColumn("_second", second)
+    of = edge.select(F.col("host").alias("_host"), "edge", "before_edge")
+    tagged = numbered.join(of, numbered["host"].eqNullSafe(of["_host"]))
     whole = tagged.filter(F.col("edge").isNull() | (F.col("_second") < F.col("edge")))
-    at_edge = ranked(tagged.filter(F.col("_second") == F.col("edge")), ["host"], ["event_time", *ties], "_no")
-    part = at_edge.filter(F.col("_no") <= cap - F.col("before_edge"))
+    at_edge = ranked(tagged.filter(F.col("_second") == F.col("edge")), ["host"], ["event_time", *ties], "_rank")
+    part = at_edge.filter(F.col("_rank") <= cap - F.col("before_edge"))
     kept = whole.select(*logs.columns).unionByName(part.select(*logs.columns))
     summary = edge.select(
         "host", "total", F.least(F.col("total"), F.lit(cap)).alias("kept"), (F.col("total") > cap).alias("is_cut")

@@ -122,8 +122,11 @@ EARLY_RUNS = (LEDGER, WINDOWS, _runs(where=f"happened < {MIDDLE}"))
 DAILY = (*BASE[:2],
          "dated AS (SELECT *, time_bucket(INTERVAL 24 HOUR, event_time, TIMESTAMP '2024-01-01 05:00:00') AS window_start FROM alerts)",
          _norm("dated"), _inc("norm", extra="window_start, "))
-RUN_DAYS = """days AS (SELECT date_trunc('day', window_from)::TIMESTAMP AS day, count(*) AS n,
-    count(*) FILTER (status = 'done') AS ok, count(*) FILTER (status = 'failed') AS bad FROM runs GROUP BY 1)"""
+CYCLES = """cycles AS (SELECT ts AS at, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'partial' WHEN 'view' THEN 'skipped'
+    ELSE 'ok' END AS outcome, CASE WHEN event_type = 'click' THEN user_id % 3 + 1 ELSE 0 END AS errors FROM events)"""
+CYCLE_DAYS = """days AS (SELECT date_trunc('day', at)::TIMESTAMP AS day, count(*) AS n, count(*) FILTER (outcome IN ('ok', 'partial')) AS ok,
+    count(*) FILTER (outcome IN ('failed', 'partial')) AS bad FROM cycles GROUP BY 1)"""
+GAPS = """gaps AS (SELECT * REPLACE (CASE WHEN level <> 'warn' THEN event_time END AS event_time, CASE WHEN level <> 'debug' THEN host END AS host) FROM logs)"""
 
 
 def _rolling(col: str, days: int) -> str:
@@ -237,14 +240,14 @@ COVER = f"""body AS (SELECT concat_ws(chr(10), '<b>Ежедневный отчё
     '<a href="' || {_link(_q(_ALL_EXPR), LO, HI)} || '">Открыть все за сутки в Grafana →</a>', '', '', '') AS body FROM host_rows)"""
 
 _LOG_COLS = "event_time, stream_id, stream, msg, host, app, level, module, job"
-_THROTTLE = f"""secs AS (SELECT host, app, {_FP} AS fingerprint, epoch(date_trunc('second', event_time))::BIGINT AS s, count(*) AS n
+_THROTTLE = f"""secs AS (SELECT host, app, {_FP} AS fingerprint, epoch_us(event_time) AS s, count(*) AS n
     FROM norm WHERE level = 'critical' GROUP BY host, app, normalized_msg, s),
 nexts AS (SELECT a.host, a.app, a.fingerprint, a.s, min(b.s) AS next_s FROM secs a LEFT JOIN secs b
-    ON a.fingerprint = b.fingerprint AND b.s >= a.s + 600 GROUP BY ALL),
+    ON a.fingerprint = b.fingerprint AND b.s >= a.s + 600000000 GROUP BY ALL),
 chain AS (SELECT host, app, fingerprint, min(s) AS s FROM secs GROUP BY ALL
   UNION ALL SELECT c.host, c.app, c.fingerprint, n.next_s FROM chain c JOIN nexts n USING (fingerprint, s) WHERE n.next_s IS NOT NULL),
 spans AS (SELECT *, lead(s) OVER (PARTITION BY fingerprint ORDER BY s) AS until FROM chain)
-SELECT p.host, p.app, p.fingerprint, make_timestamp(p.s * 1000000) AS alert_at, sum(n)::BIGINT AS records
+SELECT p.host, p.app, p.fingerprint, make_timestamp(p.s) AS alert_at, sum(n)::BIGINT AS records
 FROM spans p JOIN secs q ON p.fingerprint = q.fingerprint AND q.s >= p.s AND (p.until IS NULL OR q.s < p.until)
 GROUP BY p.host, p.app, p.fingerprint, p.s"""
 
@@ -262,7 +265,7 @@ FROM logs WHERE event_time <= {NOW} GROUP BY host""",
     "logs_by_level": _with(LOGS, ALERTS) + f"SELECT {_LOG_COLS} FROM alerts",
     "logs_window": _with(LOGS) + f"""SELECT {_LOG_COLS} FROM logs
 WHERE event_time >= TIMESTAMP '2024-01-10 05:00:00' AND event_time < TIMESTAMP '2024-01-11 05:00:00'""",
-    "logs_extra_filter": _with(LOGS) + f"""SELECT {_LOG_COLS} FROM logs WHERE host = 'h3' AND level = 'error' AND {IN_WINDOW}
+    "logs_extra_filter": _with(LOGS) + f"""SELECT {_LOG_COLS} FROM logs WHERE host = 'h3' AND level IN ('error', 'critical') AND {IN_WINDOW}
   AND app = 'app1' AND regexp_matches(msg, 'refused|модуле')""",
     "logs_all_hosts": _with(LOGS, ALERTS) + f"SELECT {_LOG_COLS} FROM alerts WHERE host IN ('h1', 'h4') AND {IN_WINDOW}",
     "logs_last_hours": _with(LOGS) + f"""SELECT {_LOG_COLS} FROM logs
@@ -300,8 +303,8 @@ SELECT host, app, fingerprint, cnt, first_seen FROM cur WHERE NOT EXISTS (SELECT
     "hits_histogram": _with(LOGS) + """SELECT host, level, date_trunc('hour', event_time)::TIMESTAMP AS bucket, count(*) AS hits
 FROM logs GROUP BY ALL""",
     "hits_series": _with(LOGS, ALERTS, """h AS (SELECT host, app, date_trunc('hour', event_time)::TIMESTAMP AS bucket, count(*) AS hits
-  FROM alerts GROUP BY ALL)""") + """SELECT host, app, sum(hits)::BIGINT AS total, count(*) AS buckets, max(hits) AS peak,
-  min(bucket) AS first_bucket, max(bucket) AS last_bucket FROM h GROUP BY host, app""",
+  FROM alerts GROUP BY ALL)""") + """SELECT host, app, (sum(hits) OVER (PARTITION BY host, app))::BIGINT AS total,
+  (row_number() OVER (PARTITION BY host, app ORDER BY bucket) - 1)::INTEGER AS no, bucket, hits FROM h""",
     "stats_by_host_level": _with(LOGS) + "SELECT host, level, count(*) AS rows FROM logs GROUP BY host, level",
     "stats_by_app": _with(LOGS, ALERTS) + "SELECT app, count(*) AS rows FROM alerts GROUP BY app",
     "dedup_ratio": _with(*INC) + """SELECT host, sum(cnt)::BIGINT AS records, count(*) AS incidents,
@@ -326,10 +329,10 @@ FROM norm GROUP BY host, app, normalized_msg, level""",
     "top_app_per_host": _with(*INC, APPS) + """SELECT host, app, error, critical, total FROM apps
 QUALIFY row_number() OVER (PARTITION BY host ORDER BY total DESC, app) = 1""",
     "top_apps": _with(LOGS) + "SELECT app, count(*) AS rows FROM logs GROUP BY app ORDER BY rows DESC, app LIMIT 2",
-    "host_cap": _with(LOGS) + """SELECT host, event_time, msg FROM logs
-QUALIFY row_number() OVER (PARTITION BY host ORDER BY event_time, msg, stream_id, app, level, module) <= 1000""",
-    "host_cap_summary": _with(LOGS) + """SELECT host, count(*) AS total, least(count(*), 1000) AS kept, count(*) > 1000 AS is_cut
-FROM logs GROUP BY host""",
+    "host_cap": _with(LOGS, GAPS) + """SELECT host, event_time, msg FROM gaps
+QUALIFY row_number() OVER (PARTITION BY host ORDER BY event_time NULLS LAST, msg, stream_id, app, level, module) <= 1000""",
+    "host_cap_summary": _with(LOGS, GAPS) + """SELECT host, count(*) AS total, least(count(*), 1000) AS kept, count(*) > 1000 AS is_cut
+FROM gaps GROUP BY host""",
     "normalize": _with(LOGS, _norm("logs")) + "SELECT event_time, msg, normalized_msg FROM norm",
     "normalize_documents": f"SELECT doc_id, {_normalized('text', DEFAULT_PROFILE)} AS normalized_msg FROM documents",
     "normalize_custom": _with(LOGS, _norm("logs", profile=CUSTOM_PROFILE)) + "SELECT event_time, msg, normalized_msg FROM norm",
@@ -388,22 +391,34 @@ WHERE NOT (status = 'done' AND completed_at < {NOW} - INTERVAL 14 DAY)""",
   string_agg(line, chr(10) ORDER BY ord) AS body FROM report GROUP BY host""",
     "cover_rows": _with(*DIGEST) + f"SELECT host_no::INTEGER AS host_no, host, {COVER_ROW} AS line FROM host_rows",
     "cover": _with(*DIGEST, COVER) + "SELECT body, length(body)::INTEGER AS chars, length(body) <= 4096 AS fits FROM body",
-    "cycle_outcomes": _with(*RUNS) + """SELECT CASE WHEN err IS NOT NULL AND status = 'failed' THEN 'failed'
-  WHEN cover_msg_id IS NULL AND files_sent = 0 THEN 'skipped' ELSE 'ok' END AS outcome, count(*) AS cycles FROM runs GROUP BY 1""",
+    "cycle_outcomes": _with(CYCLES) + "SELECT outcome, count(*) AS cycles FROM cycles GROUP BY 1",
+    "metric_partial_errors": _with(CYCLES) + "SELECT sum(errors)::BIGINT AS partial_errors FROM cycles WHERE outcome IN ('ok', 'partial')",
+    "source_status": """SELECT * FROM (VALUES ('events', false), ('documents', false), ('conversations', false), ('missing', true)) s(source, failed)""",
+    "source_partial": "SELECT true AS partial",
+    "has_recent": _with(LOGS) + f"SELECT true AS found FROM logs WHERE event_time >= {NOW} - INTERVAL 1 HOUR AND event_time <= {NOW} LIMIT 1",
+    "logs_scheduled_window": _with(LOGS) + f"""SELECT {_LOG_COLS} FROM logs
+WHERE event_time >= TIMESTAMP '2024-01-19 09:00:00' AND event_time < TIMESTAMP '2024-01-20 09:00:00'""",
+    "first_records": _with(LOGS) + f"SELECT {_LOG_COLS} FROM logs ORDER BY event_time, stream_id, stream, msg, host, app, level, module, job LIMIT 100",
+    "history_kept": _with(*BASE, _inc("norm", "old", where=f"event_time < {MIDDLE}"), _inc("norm", "cur", where=f"event_time >= {MIDDLE}"))
+    + f"""SELECT host, app, fingerprint, least(o.first_seen, c.first_seen) AS first_seen, greatest(o.last_seen, c.last_seen) AS last_seen,
+  coalesce(o.cnt, 0) + coalesce(c.cnt, 0) AS count_total, coalesce(c.cnt, 0) AS count_last_24h
+FROM old o FULL JOIN cur c USING (host, app, fingerprint) WHERE greatest(o.last_seen, c.last_seen) >= {NOW} - INTERVAL 10 DAY""",
     "duration_histogram": _with(EDGE_ROWS) + """SELECT event_type, edge_no::INTEGER AS edge_no, le,
   count(*) FILTER (value <= upper) AS cumulative FROM events, edges GROUP BY event_type, edge_no, le""",
     "metric_host_records": _with(LOGS, ALERTS) + "SELECT host, level, count(*) AS records FROM alerts GROUP BY host, level",
     "metric_host_incidents": _with(*INC) + "SELECT host, count(*) AS incidents FROM inc GROUP BY host",
     "patterns": _with(*INC) + """SELECT app, normalized_msg, sum(cnt)::BIGINT AS cnt, max(cnt) AS max_cnt, count(DISTINCT host) AS host_count,
-  string_agg(DISTINCT host, ',' ORDER BY host) AS hosts, max(cnt) >= 10 OR count(DISTINCT host) >= 2 AS is_pattern
+  max(cnt) >= 10 OR count(DISTINCT host) >= 2 AS is_pattern
 FROM inc GROUP BY app, normalized_msg""",
+    "pattern_hosts": _with(*INC) + """SELECT app, normalized_msg, host, cnt FROM inc
+QUALIFY max(cnt) OVER (PARTITION BY app, normalized_msg) >= 10 OR count(*) OVER (PARTITION BY app, normalized_msg) >= 2""",
     "pattern_flags": _with(*INC, "p AS (SELECT app, normalized_msg, count(DISTINCT host) AS host_count FROM inc GROUP BY ALL)")
     + """SELECT host, app, fingerprint, cnt, host_count, cnt >= 10 OR host_count >= 2 AS is_pattern FROM inc JOIN p USING (app, normalized_msg)""",
     "new_patterns_per_day": _with(*DAILY) + """SELECT window_start, count(*) AS new_patterns FROM (
   SELECT min(window_start) AS window_start FROM inc GROUP BY host, fingerprint) GROUP BY window_start""",
-    "slo_success_rate": _with(*RUNS, RUN_DAYS) + f"""SELECT day, {_rolling('ok', 28)} AS succeeded, {_rolling('n', 28)} AS runs,
+    "slo_success_rate": _with(CYCLES, CYCLE_DAYS) + f"""SELECT day, {_rolling('ok', 28)} AS succeeded, {_rolling('n', 28)} AS cycles,
   {_rolling('ok', 28)} / {_rolling('n', 28)}::DOUBLE AS rate FROM days""",
-    "slo_failed_share": _with(*RUNS, RUN_DAYS) + f"""SELECT day, {_rolling('bad', 7)} AS failed, {_rolling('n', 7)} AS runs,
+    "slo_failed_share": _with(CYCLES, CYCLE_DAYS) + f"""SELECT day, {_rolling('bad', 7)} AS failed, {_rolling('n', 7)} AS cycles,
   {_rolling('bad', 7)} / {_rolling('n', 7)}::DOUBLE AS share, {_rolling('bad', 7)} / {_rolling('n', 7)}::DOUBLE > 2.0::DOUBLE / 7 AS is_alert FROM days""",
     "slo_latency": _with(*RUNS, EDGE_ROWS, """timed AS (SELECT date_trunc('day', window_from)::TIMESTAMP AS day,
   (epoch_us(completed_at) - epoch_us(created_at))::DOUBLE / 1000000.0::DOUBLE AS seconds FROM runs WHERE status = 'done'),
@@ -423,5 +438,5 @@ FROM b WHERE target > p AND target <= c""",
     + """SELECT *, fast_long > (1 - 0.99::DOUBLE) * 14.4::DOUBLE AND fast_short > (1 - 0.99::DOUBLE) * 14.4::DOUBLE AS fast_alert,
   slow_long > (1 - 0.99::DOUBLE) * 6.0::DOUBLE AND slow_short > (1 - 0.99::DOUBLE) * 6.0::DOUBLE AS slow_alert FROM s""",
     "incident_browse": _with(*DAILY) + f"""SELECT window_start, host, app, fingerprint, cnt FROM inc
-WHERE host = 'h2' AND level = 'critical' AND contains(normalized_msg, '<ip>') AND window_start >= {NOW} - INTERVAL 30 DAY""",
+WHERE host = 'h2' AND level = 'critical' AND contains(normalized_msg, '<ip>') AND window_start >= {NOW} - INTERVAL 10 DAY""",
 }

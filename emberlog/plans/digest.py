@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.links import LinkTarget, all_hosts_expr, explore_link, host_expr, incident_expr, link_range
 from emberlog.functions.normalize import DEFAULT_PROFILE, compile_profile
-from emberlog.functions.text import report_date, report_file
+from emberlog.functions.text import report_date, report_file, truncate_example
 from emberlog.functions.windows import DEFAULT_ZONE, Window
 from emberlog.operators.filters import digest_records
 from emberlog.operators.incidents import examples, incidents
@@ -18,6 +19,7 @@ from emberlog.operators.ranking import top_incidents
 from emberlog.operators.totals import (
     app_totals, host_list, host_summary, top_app_per_host, with_labels, zero_filled,
 )
+from emberlog.plans.history import FingerprintHistory
 from emberlog.plans.ledger import RunLedger
 from emberlog.plans.report import cover, report_bodies, report_lines
 from emberlog.schema import ALERT_LEVELS, MAX_EXAMPLES, NOISE_K, TOP_N
@@ -33,6 +35,8 @@ class DigestConfig:
     noise_k: int = NOISE_K
     top_n: int = TOP_N
     max_examples: int = MAX_EXAMPLES
+    #: bytes an example may have in a report; whole messages if not set
+    example_bytes: int | None = None
     tz: str = DEFAULT_ZONE
     ext: str = "md"
     labels: dict[str, str] = field(default_factory=dict)
@@ -91,6 +95,8 @@ def build_digest(
     )
 
     shown = examples(records, cfg.profile, cfg.max_examples, only=top)
+    if cfg.example_bytes:
+        shown = shown.withColumn("msg", truncate_example("msg", cfg.example_bytes))
     lines = report_lines(hosts, apps, top, shown, window, cfg.tz, cfg.noise_k, generated_at)
     reports = report_bodies(lines).select(
         "host", report_date(hi, cfg.tz).alias("report_date"),
@@ -103,23 +109,42 @@ def build_digest(
 
 def run_digest(
     logs: DataFrame, window: Window, cfg: DigestConfig, out: str, ledger: RunLedger | None = None,
-    partial: bool = False,
+    errors: int = 0, history: FingerprintHistory | None = None,
 ) -> Digest | None:
     """Build and write the digest of a window once. Returns None for a window
-    that is already delivered; a failure is recorded and raised again."""
+    that is already delivered; a failure is recorded and raised again.
+
+    ``errors`` is the number of sources that could not be read; a digest
+    without them is partial. Every call leaves its outcome among the cycles of
+    the ledger. ``history`` takes up the incidents of a delivered digest.
+    """
+    began = time.monotonic()
+
+    def outcome(kind: str) -> None:
+        if ledger is not None:
+            ledger.record_cycle(window, kind, time.monotonic() - began, errors)
+
     run_id = None
     if ledger is not None:
         run_id, action = ledger.begin(window)
         if action == "skip":
+            outcome("skipped")
             return None
     try:
-        digest = build_digest(logs, window, cfg, datetime.now(timezone.utc), partial)
+        digest = build_digest(logs, window, cfg, datetime.now(timezone.utc), errors > 0)
         write_reports(digest.reports, f"{out}/reports")
         digest.cover.coalesce(1).write.mode("overwrite").parquet(f"{out}/cover/{window.end:%Y%m%dT%H%M}")
+        if ledger is not None:
+            # the cover is known by the end of its window
+            ledger.mark_cover_sent(run_id, int(window.end.replace(tzinfo=timezone.utc).timestamp()))
+        if history is not None:
+            history.update(digest.incidents, window, cfg.profile)
     except Exception as e:
         if ledger is not None:
             ledger.fail(run_id, str(e).split("\n", 1)[0])
+        outcome("failed")
         raise
     if ledger is not None:
         ledger.finish(run_id, len(cfg.hosts))
+    outcome("partial" if errors else "ok")
     return digest

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.windows import Window
-from emberlog.schema import LEDGER_SCHEMA
+from emberlog.schema import CYCLE_OUTCOMES, CYCLE_SCHEMA, LEDGER_SCHEMA
 
 
 def run_id_of(window_from: Column, window_to: Column) -> Column:
@@ -75,14 +75,15 @@ def recent_runs(runs: DataFrame, limit: int = 10) -> DataFrame:
     return runs.orderBy(F.col("created_at").desc(), F.col("run_id")).limit(limit if limit >= 1 else 10)
 
 
-def cycle_outcomes(runs: DataFrame) -> DataFrame:
-    """Outcome of each cycle: failed, skipped (nothing was sent) or ok."""
-    outcome = (
-        F.when(F.col("err").isNotNull() & (F.col("status") == "failed"), "failed")
-        .when(F.col("cover_msg_id").isNull() & (F.col("files_sent") == 0), "skipped")
-        .otherwise("ok")
-    )
-    return runs.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("cycles"))
+def cycle_outcomes(cycles: DataFrame) -> DataFrame:
+    """Number of cycles by outcome. A run that is still open has none."""
+    return cycles.groupBy("outcome").agg(F.count("*").alias("cycles"))
+
+
+def partial_errors(cycles: DataFrame) -> DataFrame:
+    """Sources that failed in cycles that were delivered all the same."""
+    delivered = cycles.filter(F.col("outcome").isin("ok", "partial"))
+    return delivered.agg(F.coalesce(F.sum("errors"), F.lit(0)).alias("partial_errors"))
 
 
 def retained_runs(runs: DataFrame, now: Column, days: int = 30) -> DataFrame:
@@ -92,18 +93,32 @@ def retained_runs(runs: DataFrame, now: Column, days: int = 30) -> DataFrame:
 
 
 class RunLedger:
-    """The ledger table in a folder."""
+    """The ledger table in a folder; the cycles stand in one beside it."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def events(self) -> DataFrame:
+    def _table(self, schema, path: str) -> DataFrame:
         try:
-            return self.spark.read.schema(LEDGER_SCHEMA).parquet(self.path)
+            return self.spark.read.schema(schema).parquet(path)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], LEDGER_SCHEMA)
+            return self.spark.createDataFrame([], schema)
+
+    def events(self) -> DataFrame:
+        return self._table(LEDGER_SCHEMA, self.path)
+
+    def cycles(self) -> DataFrame:
+        return self._table(CYCLE_SCHEMA, f"{self.path}_cycles")
+
+    def record_cycle(self, window: Window, outcome: str, seconds: float, errors: int = 0) -> None:
+        if outcome not in CYCLE_OUTCOMES:
+            raise ValueError(f"not an outcome: {outcome}")
+        now = datetime.now(timezone.utc).replace(tzinfo=None)
+        row = (window.start, window.end, outcome, now, float(seconds), errors)
+        cycles = self.spark.createDataFrame([row], CYCLE_SCHEMA)
+        cycles.coalesce(1).write.mode("append").parquet(f"{self.path}_cycles")
 
     def runs(self) -> DataFrame:
         return fold_runs(self.events())

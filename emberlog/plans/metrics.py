@@ -78,28 +78,31 @@ def _rolling(days: int) -> Window:
     return Window.orderBy("_day").rangeBetween(1 - days, 0)
 
 
-def _by_day(runs: DataFrame, *aggs: Column) -> DataFrame:
-    day = F.date_trunc("day", "window_from").cast("timestamp_ntz")
-    return runs.groupBy(day.alias("day")).agg(*aggs).withColumn("_day", _days(F.col("day")))
+def _by_day(cycles: DataFrame, *aggs: Column) -> DataFrame:
+    day = F.date_trunc("day", "at").cast("timestamp_ntz")
+    return cycles.groupBy(day.alias("day")).agg(*aggs).withColumn("_day", _days(F.col("day")))
 
 
-def success_rate(runs: DataFrame, days: int = SUCCESS_DAYS) -> DataFrame:
-    """Share of delivered runs over the last ``days``, for every day; a
+def success_rate(cycles: DataFrame, days: int = SUCCESS_DAYS) -> DataFrame:
+    """Share of delivered cycles over the last ``days``, for every day; a
     delivery with a source missing is a success."""
-    daily = _by_day(runs, F.count("*").alias("n"), F.count_if(F.col("status") == "done").alias("ok"))
+    ok = F.count_if(F.col("outcome").isin("ok", "partial"))
+    daily = _by_day(cycles, F.count("*").alias("n"), ok.alias("ok"))
     w = _rolling(days)
     return daily.select(
-        "day", F.sum("ok").over(w).alias("succeeded"), F.sum("n").over(w).alias("runs")
-    ).withColumn("rate", F.col("succeeded") / F.col("runs"))
+        "day", F.sum("ok").over(w).alias("succeeded"), F.sum("n").over(w).alias("cycles")
+    ).withColumn("rate", F.col("succeeded") / F.col("cycles"))
 
 
-def failed_share(runs: DataFrame, days: int = LATENCY_DAYS, limit: float = FAILED_SHARE) -> DataFrame:
-    """Share of failed runs over the last ``days`` and whether it is too high."""
-    daily = _by_day(runs, F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("bad"))
+def failed_share(cycles: DataFrame, days: int = LATENCY_DAYS, limit: float = FAILED_SHARE) -> DataFrame:
+    """Share of failed and partial cycles over the last ``days`` and whether
+    it is too high."""
+    bad = F.count_if(F.col("outcome").isin("failed", "partial"))
+    daily = _by_day(cycles, F.count("*").alias("n"), bad.alias("bad"))
     w = _rolling(days)
     return (
-        daily.select("day", F.sum("bad").over(w).alias("failed"), F.sum("n").over(w).alias("runs"))
-        .withColumn("share", F.col("failed") / F.col("runs"))
+        daily.select("day", F.sum("bad").over(w).alias("failed"), F.sum("n").over(w).alias("cycles"))
+        .withColumn("share", F.col("failed") / F.col("cycles"))
         .withColumn("is_alert", F.col("share") > limit)
     )
 

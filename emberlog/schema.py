@@ -26,6 +26,18 @@ LEDGER_SCHEMA = T.StructType(
     ]
 )
 
+# One row per call of a digest: how it ended, and what it took.
+CYCLE_SCHEMA = T.StructType(
+    [
+        T.StructField("window_from", T.TimestampNTZType()),
+        T.StructField("window_to", T.TimestampNTZType()),
+        T.StructField("outcome", T.StringType()),
+        T.StructField("at", T.TimestampNTZType()),
+        T.StructField("seconds", T.DoubleType()),
+        T.StructField("errors", T.LongType()),
+    ]
+)
+
 # Grouping key of an incident.
 INCIDENT_KEY = ("host", "app", "normalized_msg")
 
@@ -33,6 +45,7 @@ INCIDENT_KEY = ("host", "app", "normalized_msg")
 ALERT_LEVELS = ("error", "critical")
 LEVEL_RANKS = {"critical": 40, "error": 30, "warn": 20, "warning": 20, "info": 10, "debug": 5}
 RUN_STATUSES = ("started", "cover_sent", "done", "failed")
+CYCLE_OUTCOMES = ("ok", "partial", "failed", "skipped")
 NOISE_K = 5
 TOP_N = 20
 MAX_EXAMPLES = 3

@@ -6,11 +6,13 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.schema import LOG_SCHEMA
+from emberlog.session import stage
 
 
 @dataclass
@@ -18,22 +20,28 @@ class Collected:
     records: DataFrame
     status: DataFrame  # source, failed, error
 
+    def failures(self) -> int:
+        """Sources that failed; one row per configured source is looked at."""
+        return self.status.filter("failed").count()
+
     def is_partial(self) -> DataFrame:
         return self.status.agg(F.coalesce(F.bool_or("failed"), F.lit(False)).alias("partial"))
 
 
 def union_sources(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]]) -> Collected:
-    """Union of the sources that can be opened, and the state of each.
+    """Union of the sources that can be read, and the state of each.
 
-    Opening a source lists its files and checks its layout; no records are
-    read for it. ``sources`` is the configured list, one entry per host.
+    Every source is read on its own, into the staging folder: a file that is
+    damaged, or goes away after its source was opened, fails that source alone,
+    and its records are left out as a whole. ``sources`` is the configured
+    list, one entry per host.
     """
     frames, status = [], []
     for name, open_source in sources.items():
         try:
-            frames.append(open_source().select(*LOG_SCHEMA.fieldNames()))
+            frames.append(stage(open_source().select(*LOG_SCHEMA.fieldNames())))
             status.append((name, False, ""))
-        except PySparkException as e:
+        except (PySparkException, Py4JJavaError) as e:
             status.append((name, True, str(e).split("\n", 1)[0]))
     records = reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], LOG_SCHEMA)
     return Collected(records, spark.createDataFrame(status, "source string, failed boolean, error string"))

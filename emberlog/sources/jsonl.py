@@ -80,12 +80,12 @@ def split_lines(lines: DataFrame) -> Parsed:
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str]) -> Parsed:
-    return split_lines(spark.read.text(path))
+    return split_lines(spark.read.option("lineSep", "\n").text(path))
 
 
 def stream_jsonl(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> Parsed:
     """As ``read_jsonl`` over files that keep arriving in a folder."""
-    reader = spark.readStream
+    reader = spark.readStream.option("lineSep", "\n")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return split_lines(reader.text(path))

@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """Write one text file per report under ``report_date=…/file_name=…``.
+    """Write one text file per report, ``report_date=…/<file_name>``.
 
-    ``reports`` has one row per host (report_date, file_name, body); a body is
-    bounded by the list length and the number of examples. Days that are
-    written again replace only their own folders.
+    ``reports`` has one row per configured host (report_date, file_name, body).
+    Tasks write the texts into a folder of their own; the driver then only
+    renames one file per report, which replaces an earlier one of that name.
     """
+    spark = reports.sparkSession
     # the writer ends the row with the newline the report ends with
     text = F.when(F.endswith("body", F.lit("\n")), F.left("body", F.length("body") - 1)).otherwise(F.col("body"))
+    made = f"{path}/_{uuid.uuid4().hex}"
     (
         reports.select(text.alias("value"), "report_date", "file_name")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("report_date", "file_name").text(path)
+        .write.partitionBy("report_date", "file_name").text(made)
     )
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for day in files.listStatus(hadoop_path(made)):
+        if not day.isDirectory():
+            continue
+        folder = hadoop_path(path, day.getPath().getName())
+        files.mkdirs(folder)
+        for report in files.listStatus(day.getPath()):
+            name = report.getPath().getName().partition("=")[2]
+            for part in files.listStatus(report.getPath()):
+                files.delete(hadoop_path(folder, name), False)
+                files.rename(part.getPath(), hadoop_path(folder, name))
+    files.delete(hadoop_path(made), True)
 
 
 def write_daily(incidents: DataFrame, path: str) -> None:

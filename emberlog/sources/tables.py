@@ -14,15 +14,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table of long texts that has fewer splits than there
-    are cores, such as one file with a single row group (whose other splits are
-    empty): normalising a long text costs much more than moving it. Large
-    tables have enough splits and are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _numbered(prefix: str, n: Column) -> Column:
     return F.concat(F.lit(prefix), n.cast("string"))
 
@@ -74,7 +65,7 @@ def event_logs(spark: SparkSession, folder: str) -> DataFrame:
 def document_logs(spark: SparkSession, folder: str) -> DataFrame:
     """One record per line of every document; the level comes from ``labels``."""
     # labels are joined to documents, before these become many lines
-    labelled = spread(table(spark, folder, "documents")).join(table(spark, folder, "labels"), "doc_id", "left")
+    labelled = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
     lines = labelled.select(
         "doc_id", "lang", "source", "quality", "toxic", F.posexplode(F.split("text", "\n")).alias("pos", "msg")
     )
@@ -131,3 +122,16 @@ def ledger_events(spark: SparkSession, folder: str) -> DataFrame:
         F.when(kind == "purchase", F.col("user_id") % 5 + 1).alias("files_sent"),
         F.when(kind == "error", F.col("props")).alias("err"),
     )
+
+
+def cycle_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Cycles of digests derived from ``events``: one per event."""
+    kind, ts = F.col("event_type"), F.col("ts")
+    start = F.date_trunc("hour", ts).cast("timestamp_ntz")
+    return table(spark, folder, "events").select(
+        start.alias("window_from"), (start + F.expr("INTERVAL 1 HOUR")).alias("window_to"),
+        F.when(kind == "error", "failed").when(kind == "click", "partial").when(kind == "view", "skipped")
+        .otherwise("ok").alias("outcome"),
+        ts.alias("at"), F.col("value").alias("seconds"),
+        F.when(kind == "click", F.col("user_id") % 3 + 1).otherwise(0).cast("long").alias("errors"),
+    )

@@ -8,10 +8,12 @@ few rows. The combined rows carry all that the rule looks at.
 
 from __future__ import annotations
 
+import sys
 from datetime import timedelta
 from typing import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -21,6 +23,9 @@ from emberlog.functions.normalize import DEFAULT_PROFILE
 from emberlog.operators.incidents import with_template
 from emberlog.operators.patterns import QUIET, THROTTLE
 
+# workers need not be able to import this module
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _KEY = ["host", "app", "fingerprint"]
 _KEY_DDL = "host string, app string, fingerprint string"
 _COMBINED = f"{_KEY_DDL}, bucket long, first_us long, last_us long, critical_us double"
@@ -43,8 +48,9 @@ def _reduced(logs: DataFrame, bucket: timedelta, lateness: str, profile) -> Data
         F.unix_micros(F.col("event_time").cast("timestamp")).alias("us"),
         (F.col("level") == "critical").alias("is_critical"),
     )
-    combined = rows.mapInPandas(_combine(int(bucket.total_seconds() * 1e6)), _COMBINED)
-    return combined.withColumn("event_time", F.timestamp_micros("first_us")).withWatermark("event_time", lateness)
+    combined = rows.mapInPandas(_combine(bucket // timedelta(microseconds=1)), _COMBINED)
+    # a combined row is late only if all its records are
+    return combined.withColumn("event_time", F.timestamp_micros("last_us")).withWatermark("event_time", lateness)
 
 
 def _buckets(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -89,8 +95,9 @@ def throttled_alerts(
     logs: DataFrame, gap: timedelta = THROTTLE, level: str = "critical",
     lateness: str = "10 minutes", profile=DEFAULT_PROFILE,
 ) -> DataFrame:
-    """At most one alert per fingerprint and ``gap``, to the second."""
-    gap_s = int(gap.total_seconds())
+    """At most one alert per fingerprint and ``gap``; equal times of a
+    fingerprint are combined before they reach its state."""
+    gap_us = gap // timedelta(microseconds=1)
 
     def update(key, frames, state: GroupState):
         if state.hasTimedOut:
@@ -98,17 +105,17 @@ def throttled_alerts(
             return
         last = state.get[0] if state.exists else None
         out = []
-        for second in _buckets(frames).index:
-            if last is None or second >= last + gap_s:
-                last = int(second)
+        for us in _buckets(frames).index:
+            if last is None or us >= last + gap_us:
+                last = int(us)
                 out.append((*key, last))
         state.update((last,))
-        _expire(state, (last + gap_s) * 1_000_000)
+        _expire(state, last + gap_us)
         if out:
-            yield pd.DataFrame(out, columns=[*_KEY, "alert_s"])
+            yield pd.DataFrame(out, columns=[*_KEY, "us"])
 
     chosen = logs.filter(F.col("level") == level)
-    alerts = _reduced(chosen, timedelta(seconds=1), lateness, profile).groupBy(*_KEY).applyInPandasWithState(
-        update, f"{_KEY_DDL}, alert_s long", "last_s long", "append", GroupStateTimeout.EventTimeTimeout
+    alerts = _reduced(chosen, timedelta(microseconds=1), lateness, profile).groupBy(*_KEY).applyInPandasWithState(
+        update, f"{_KEY_DDL}, us long", "last_us long", "append", GroupStateTimeout.EventTimeTimeout
     )
-    return alerts.select(*_KEY, F.timestamp_seconds("alert_s").cast("timestamp_ntz").alias("alert_at"))
+    return alerts.select(*_KEY, F.timestamp_micros("us").cast("timestamp_ntz").alias("alert_at"))

@@ -10,12 +10,18 @@ from emberlog.schema import LOG_SCHEMA
 
 
 def drain(
-    spark: SparkSession, source: str, transform: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str
+    spark: SparkSession, source: str, transform: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str,
+    max_files: int = 1000,
 ) -> DataFrame:
     """Process what is in ``source`` and not yet done, append the results to
     ``sink`` and return the whole sink. Progress and state live in
-    ``checkpoint``, so a restarted stream goes on where it stopped."""
-    records = spark.readStream.schema(LOG_SCHEMA).parquet(source)
+    ``checkpoint``, so a restarted stream goes on where it stopped. A
+    micro-batch takes ``max_files`` files at most, the oldest first, so that
+    its size does not follow what has piled up."""
+    records = (
+        spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", max_files)
+        .option("latestFirst", "false").parquet(source)
+    )
     out = transform(records)
     query = (
         out.writeStream.format("parquet").outputMode("append")

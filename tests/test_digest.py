@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.links import LinkTarget
 from emberlog.functions.windows import Window
+from emberlog.functions.normalize import EXTENDED_PROFILE
 from emberlog.plans.digest import DigestConfig, build_digest, run_digest
+from emberlog.plans.history import FingerprintHistory
 from emberlog.plans.ledger import RunLedger
 
 A = datetime(2025, 5, 1, 5)
@@ -90,11 +92,12 @@ def test_partial_cover(logs):
 def test_window_is_delivered_once(spark, logs, tmp_path):
     book = RunLedger(spark, str(tmp_path / "runs"))
     assert run_digest(logs, W, CFG, str(tmp_path / "out"), book) is not None
-    files = sorted(p.name for p in Path(tmp_path / "out/reports/report_date=2025-05-02").iterdir())
-    assert files == [f"file_name={h}_2025-05-02.md" for h in ("h1", "h2", "idle")]
+    files = sorted(p.name for p in Path(tmp_path / "out/reports/report_date=2025-05-02").iterdir() if not p.name.startswith("."))
+    assert files == [f"{h}_2025-05-02.md" for h in ("h1", "h2", "idle")]
     assert run_digest(logs, W, CFG, str(tmp_path / "out"), book) is None
     row = book.runs().first()
-    assert (row["status"], row["files_sent"]) == ("done", 3)
+    assert (row["status"], row["files_sent"]) == ("done", 3) and row["cover_msg_id"] is not None
+    assert [r["outcome"] for r in book.cycles().orderBy("at").collect()] == ["ok", "skipped"]
 
 
 def test_failure_is_recorded(spark, logs, tmp_path):
@@ -102,8 +105,25 @@ def test_failure_is_recorded(spark, logs, tmp_path):
     with pytest.raises(Exception):
         run_digest(logs.drop("msg"), W, CFG, str(tmp_path / "out"), book)
     assert book.runs().first()["status"] == "failed"
-    assert run_digest(logs, W, CFG, str(tmp_path / "out"), book) is not None
+    assert run_digest(logs, W, CFG, str(tmp_path / "out"), book, errors=2) is not None
     assert book.runs().first()["status"] == "done"
+    assert [(r["outcome"], r["errors"]) for r in book.cycles().orderBy("at").collect()] == [("failed", 0), ("partial", 2)]
+
+
+def test_history_is_kept(spark, logs, tmp_path):
+    kept = FingerprintHistory(spark, str(tmp_path / "history"))
+    assert kept.read().count() == 0
+    digest = run_digest(logs, W, CFG, str(tmp_path / "out"), history=kept)
+    first = {r["fingerprint"]: r for r in kept.current().collect()}
+    assert len(first) == digest.incidents.count() and all(r["count_last_24h"] == r["count_total"] for r in first.values())
+    kept.update(digest.incidents.limit(1), W)
+    twice = sum(r["count_total"] == 2 * first[r["fingerprint"]]["count_total"] for r in kept.current().collect())
+    assert twice == 1 and kept.current().filter("count_last_24h > 0").count() == 1
+    assert kept.current(EXTENDED_PROFILE).count() == 0
+    kept.sweep(W.end, 400)
+    assert kept.read().count() == len(first)
+    kept.sweep(W.end + timedelta(days=100))
+    assert kept.read().count() == 0 and len(list((tmp_path / "history").iterdir())) == 2
 
 
 def test_config_checks():

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import incidents as inc
 from emberlog.operators import ranking, stats, totals
-from emberlog.operators.patterns import flag_patterns, patterns
+from emberlog.operators.patterns import flag_patterns, pattern_hosts, patterns
 
 T0 = datetime(2025, 5, 1, 10)
 
@@ -135,8 +135,10 @@ def test_level_map(make_logs):
 def test_patterns(make_logs):
     logs = make_logs([rec(i, msg="often") for i in range(10)] + [rec(msg="wide"), rec(msg="wide", host="a2"), rec(msg="rare")])
     incs = inc.incidents(logs)
-    got = {r["normalized_msg"]: (r["is_pattern"], r["hosts"]) for r in patterns(incs).collect()}
-    assert got == {"often": (True, "a1"), "wide": (True, "a1,a2"), "rare": (False, "a1")}
+    got = {r["normalized_msg"]: (r["is_pattern"], r["host_count"]) for r in patterns(incs).collect()}
+    assert got == {"often": (True, 1), "wide": (True, 2), "rare": (False, 1)}
+    on = {(r["normalized_msg"], r["host"]) for r in pattern_hosts(incs).collect()}
+    assert on == {("often", "a1"), ("wide", "a1"), ("wide", "a2")}
     assert flag_patterns(incs).filter("is_pattern").count() == 3
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.windows import Window, timestamp
 from emberlog.plans import ledger, metrics
-from emberlog.schema import LEDGER_SCHEMA
+from emberlog.schema import CYCLE_SCHEMA, LEDGER_SCHEMA
 
 D = datetime(2025, 5, 1, 5)
 DAY = Window(D, D + timedelta(days=1))
@@ -53,9 +53,22 @@ def test_recent(runs):
     assert ledger.recent_runs(runs, 0).count() == 10
 
 
-def test_outcomes(runs):
-    got = {r["outcome"]: r["cycles"] for r in ledger.cycle_outcomes(runs).collect()}
-    assert got == {"ok": 36, "failed": 3, "skipped": 1}
+@pytest.fixture(scope="module")
+def cycles(spark):
+    """40 days: every tenth cycle failed, every fifth other was partial."""
+    rows = []
+    for i in range(40):
+        at = D + timedelta(days=i)
+        outcome = "failed" if i % 10 == 9 else "partial" if i % 5 == 2 else "ok"
+        rows.append((at, at + timedelta(days=1), outcome, at, 1.0, 2 if outcome == "partial" else 0))
+    return spark.createDataFrame([*rows, (D, D, "skipped", D + timedelta(hours=1), 0.1, 0)], CYCLE_SCHEMA)
+
+
+def test_outcomes(cycles):
+    got = {r["outcome"]: r["cycles"] for r in ledger.cycle_outcomes(cycles).collect()}
+    assert got == {"ok": 28, "failed": 4, "partial": 8, "skipped": 1}
+    assert ledger.partial_errors(cycles).first()[0] == 16
+    assert ledger.partial_errors(cycles.limit(0)).first()[0] == 0
 
 
 def test_pending(spark, runs):
@@ -71,15 +84,16 @@ def test_retained(runs):
     assert kept.filter("status = 'done'").count() == 27
 
 
-def test_success_rate(runs):
-    last = metrics.success_rate(runs).orderBy(F.col("day").desc()).first()
-    assert (last["runs"], last["succeeded"]) == (28, 25)
+def test_success_rate(cycles):
+    last = metrics.success_rate(cycles).orderBy(F.col("day").desc()).first()
+    assert (last["cycles"], last["succeeded"]) == (28, 25)
 
 
-def test_failed_share(runs):
-    got = {r["day"].day: r for r in metrics.failed_share(runs).filter("day < '2025-06-01'").collect()}
-    assert (got[10]["failed"], got[10]["runs"], got[10]["is_alert"]) == (1, 7, False)
-    assert metrics.failed_share(runs, days=3, limit=0.3).filter("is_alert").count() == 9
+def test_failed_share(cycles):
+    got = {r["day"].day: r for r in metrics.failed_share(cycles).filter("day < '2025-06-01'").collect()}
+    # of days 4 to 10, one failed and one was partial
+    assert (got[10]["failed"], got[10]["cycles"], got[10]["is_alert"]) == (2, 7, False)
+    assert got[10]["share"] == 2 / 7
 
 
 def test_latency(runs):

@@ -114,7 +114,6 @@ def test_throttle(skewed, minutes):
         for at, level in seen:
             if level != "critical":
                 continue
-            at = at.replace(microsecond=0)
             if last is None or at >= last + timedelta(minutes=max(minutes, 0)) and at != last:
                 last = at
                 want[(*key, at)] = 0
@@ -180,10 +179,40 @@ def test_incident_plan(spark):
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan(logs_window(spark, FOLDER))
 
 
-def test_throttle_groups_seconds_not_records(spark):
+def test_throttle_groups_sessions(spark):
     from conftest import FOLDER
     from emberlog.catalog import alert_throttle
 
     text = plan(alert_throttle(spark, FOLDER))
-    grouped, below = text.split("FlatMapGroupsInPandas", 1)
-    assert below.count("HashAggregate") == 2
+    assert "session" in text.split("FlatMapGroupsInPandas", 1)[1].split("\n", 1)[0]
+
+
+@pytest.mark.parametrize("gap,alerts", [(599.2, 1), (600.0, 2), (599.999999, 1)])
+def test_throttle_is_exact(make_logs, gap, alerts):
+    start = T0 + timedelta(microseconds=900_000)
+    logs = make_logs([
+        {"event_time": start + timedelta(seconds=s), "host": "h", "app": "a", "level": "critical", "msg": "x"} for s in (0, gap)
+    ])
+    got = pat.throttle_alerts(logs).collect()
+    assert len(got) == alerts and min(r["alert_at"] for r in got) == start
+    assert sum(r["records"] for r in got) == 2
+
+
+def test_host_cap_with_null_times_and_hosts(make_logs):
+    rows = [{"event_time": T0 + timedelta(seconds=i), "host": "h", "msg": f"m{i}"} for i in range(10)]
+    rows += [{"event_time": None, "host": "h", "msg": f"n{i}"} for i in range(5)]
+    rows += [{"event_time": T0 + timedelta(seconds=i), "host": None, "msg": f"o{i}"} for i in range(10)]
+    for cap in (4, 8, 12):
+        kept, summary = ranking.host_cap(make_logs(rows), cap)
+        got = kept.collect()
+        assert {r["host"]: r["kept"] for r in summary.collect()} == {"h": cap, None: min(cap, 10)}
+        assert sum(r["host"] == "h" for r in got) == cap and sum(r["host"] is None for r in got) == min(cap, 10)
+        assert sum(r["event_time"] is None for r in got) == max(0, cap - 10)
+
+
+def test_ranking_keeps_null_groups(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), (None, 1)], "g string, n int")
+    assert sorted(map(tuple, ranking.ranked(df, ["g"], ["n"]).collect()), key=str) == [("a", 1, 1), (None, 1, 1), (None, 2, 2)]
+    for n in (2, 2000):
+        got = ranking.top_n(df, ["g"], ["n"], n)
+        assert got.count() == 3 and dict(got.dtypes)["rank"] == "int"

@@ -1,4 +1,5 @@
 import json
+import gzip
 from datetime import datetime
 
 import pytest
@@ -100,8 +101,25 @@ def test_report_files(spark, tmp_path):
     write_reports(df, str(out))
     write_reports(df.filter("host = 'h1'").withColumn("body", F.lit("again\n")), str(out))
     folder = out / "report_date=2025-05-01"
-    body = {d.name: "".join(p.read_text() for p in d.glob("part-*")) for d in folder.iterdir()}
-    assert body == {"file_name=h1_2025-05-01.md": "again\n", "file_name=h2_2025-05-01.md": "two\n"}
+    body = {p.name: p.read_text() for p in folder.iterdir() if not p.name.startswith(".")}
+    assert body == {"h1_2025-05-01.md": "again\n", "h2_2025-05-01.md": "two\n"}
+    assert [p.name for p in out.iterdir()] == ["report_date=2025-05-01"]
+
+
+def test_a_source_that_fails_while_it_is_read(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"_msg":"x","host":"a"}\n')
+    (tmp_path / "b.jsonl.gz").write_bytes(gzip.compress(b'{"_msg":"y","host":"b"}\n' * 9999)[:-300])
+    got = union_sources(spark, {
+        n: (lambda n=n: jsonl.read_jsonl(spark, str(tmp_path / n)).records) for n in ("a.jsonl", "b.jsonl.gz")
+    })
+    assert {r["source"]: r["failed"] for r in got.status.collect()} == {"a.jsonl": False, "b.jsonl.gz": True}
+    assert [r["host"] for r in got.records.collect()] == ["a"] and got.failures() == 1
+
+
+def test_only_a_newline_ends_a_line(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_bytes(b'{"_msg":"x",\r"host":"a"}\n{"_msg":"y"}\r\n')
+    parsed = jsonl.read_jsonl(spark, str(tmp_path / "a.jsonl"))
+    assert sorted(r["msg"] for r in parsed.records.collect()) == ["x", "y"] and parsed.quarantine.count() == 0
 
 
 def test_daily_table_is_pruned_by_day(spark, make_logs, tmp_path):

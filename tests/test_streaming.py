@@ -72,3 +72,27 @@ def test_quiet_period_counts_from_the_last_record(spark, make_logs, tmp_path, ga
 
     batches = [at(0), at(5, "error"), at(5 + gap_days)]
     assert stream(spark, make_logs, tmp_path, batches, new_critical_alerts).count() == alerts
+
+
+def test_a_late_record_does_not_hide_one_in_time(spark, make_logs, tmp_path):
+    def at(hour, minute, msg):
+        return {"event_time": T0 + timedelta(hours=hour, minutes=minute), "host": "h", "app": "a", "level": "critical", "msg": msg}
+
+    batches = [[at(22, 0, "yy")], [at(0, 5, "xx"), at(23, 0, "xx")], [at(23, 30, "zz")]]
+    got = stream(spark, make_logs, tmp_path, batches, new_critical_alerts).collect()
+    assert len({r["fingerprint"] for r in got}) == 3
+
+
+def test_a_micro_batch_is_bounded(spark, make_logs, tmp_path):
+    rows = records(200, 6 * 3600)
+    make_logs(rows).repartition(6).write.parquet(str(tmp_path / "in"))
+    seen = []
+
+    def transform(df):
+        seen.append(df)
+        return df.select("host", "msg")
+
+    out = drain(spark, str(tmp_path / "in"), transform, str(tmp_path / "out"), str(tmp_path / "checkpoint"), max_files=2)
+    assert out.count() == 200
+    commits = [p for p in (tmp_path / "checkpoint" / "commits").iterdir() if not p.name.startswith(".")]
+    assert len(commits) == 3
