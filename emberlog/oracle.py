@@ -122,9 +122,9 @@ EARLY_RUNS = (LEDGER, WINDOWS, _runs(where=f"happened < {MIDDLE}"))
 DAILY = (*BASE[:2],
          "dated AS (SELECT *, time_bucket(INTERVAL 24 HOUR, event_time, TIMESTAMP '2024-01-01 05:00:00') AS window_start FROM alerts)",
          _norm("dated"), _inc("norm", extra="window_start, "))
-CYCLES = """cycles AS (SELECT ts AS at, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'partial' WHEN 'view' THEN 'skipped'
+CYCLES = """cycles AS (SELECT ts AS t, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'partial' WHEN 'view' THEN 'skipped'
     ELSE 'ok' END AS outcome, CASE WHEN event_type = 'click' THEN user_id % 3 + 1 ELSE 0 END AS errors FROM events)"""
-CYCLE_DAYS = """days AS (SELECT date_trunc('day', at)::TIMESTAMP AS day, count(*) AS n, count(*) FILTER (outcome IN ('ok', 'partial')) AS ok,
+CYCLE_DAYS = """days AS (SELECT date_trunc('day', t)::TIMESTAMP AS day, count(*) AS n, count(*) FILTER (outcome IN ('ok', 'partial')) AS ok,
     count(*) FILTER (outcome IN ('failed', 'partial')) AS bad FROM cycles GROUP BY 1)"""
 GAPS = """gaps AS (SELECT * REPLACE (CASE WHEN level <> 'warn' THEN event_time END AS event_time, CASE WHEN level <> 'debug' THEN host END AS host) FROM logs)"""
 

@@ -41,15 +41,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the scratch area and read it back.
 
     Use it where several results come from one expensive, much smaller table.
     Unlike a cached or checkpointed frame the table keeps column pruning,
     filter pushdown and size statistics, so joins against it choose their
-    strategy from its real size; and it survives the loss of executors.
+    strategy from its real size; and it survives the loss of executors. The
+    shuffle files behind it are of no more use once it is written, so Spark is
+    asked to remove them then.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/stage/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
