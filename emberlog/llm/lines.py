@@ -21,21 +21,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import SPACE, stage, text_or_empty
+from emberlog.llm.common import stage, text_or_empty
 
 #: one edit in five words keeps a similarity of 0.8
 MIN_WORDS = 5
 
 
+def _plain(t: Column) -> Column:
+    """Text with single spaces for all white space inside its lines. Texts
+    that are so already, nearly all, do not reach the regex."""
+    odd = reduce(lambda a, b: a | b, [F.contains(t, F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")])
+    return F.when(odd, F.regexp_replace(t, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(t)
+
+
 def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, key, n, line, words): every line that has a word."""
     t = text_or_empty(text)
     rows = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(t).alias("key"), F.posexplode(F.split(t, "\n")).alias("n", "raw")
+        F.col(id_col).alias("id"), F.xxhash64(t).alias("key"), F.posexplode(F.split(_plain(t), "\n")).alias("n", "raw")
     )
-    line = F.trim(F.regexp_replace("raw", SPACE, " "))
-    rows = rows.select("id", "key", "n", line.alias("line")).where("line != ''")
-    return rows.withColumn("words", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    rows = rows.select("id", "key", "n", F.trim("raw").alias("line")).where("line != ''")
+    spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
+    return rows.withColumn("words", spaces + 1)
 
 
 def _hash(line: Column) -> tuple[Column, Column]:
@@ -101,12 +108,17 @@ def _within_one_edit(a: Column, b: Column) -> Column:
 def _near(docs: DataFrame, classes: DataFrame, id_col: str, text: str) -> DataFrame:
     """(h, g) of distinct lines within one edit of an earlier line."""
     found = stage(_candidates(classes))
-    # the text of a distinct line comes from its earliest place
-    lines = _lines(docs, id_col, text).where(F.col("words") >= MIN_WORDS)
-    lines = lines.select(*_hash(F.col("line")), "words", "line", F.struct("id", "n", "key").alias("place"))
-    spoken = stage(
-        lines.join(found.select("h", "g", "place"), ["h", "g", "place"]).dropDuplicates(["h", "g"])
+    # the text of a distinct line comes from the document it first stands in;
+    # other documents are not split again
+    wanted = found.groupBy(F.col("place.id").alias("__id"), F.col("place.key").alias("__key")).agg(
+        F.collect_list(F.struct("h", "g", "words", "place")).alias("__lines")
     )
+    t = text_or_empty(text)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(t).alias("key"), t.alias("text"))
+    held = rows.join(wanted, rows["id"].eqNullSafe(wanted["__id"]) & (rows["key"] == wanted["__key"]))
+    lines = held.select(F.split(_plain(F.col("text")), "\n").alias("lines"), F.explode("__lines").alias("l"))
+    lines = lines.select("l.h", "l.g", "l.words", "l.place", F.trim(F.get("lines", F.col("l.place.n"))).alias("line"))
+    spoken = stage(lines.dropDuplicates(["h", "g"]))
     variants = stage(_variants(spoken))
     # a word replaced: the same variant by deleting the same place
     slot = ["v", "vg", "at", "words"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from emberlog.llm import decontam, license, lines, packing, quality, sharding, simhash, substrings, toxicity, urls
 from emberlog.llm.common import table
@@ -39,7 +40,8 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_report(table(spark, sf_dir, "documents"))
+    rows = lines.line_report(table(spark, sf_dir, "documents"))
+    return rows.withColumn("kept_lines", F.array_join("kept_lines", ","))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +60,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    # on the words themselves, without hashes and without the sieve
+    "op8_line_dedup": r"""WITH l AS (SELECT doc_id, unnest(range(len(s)))::INTEGER AS n, unnest(s) AS raw
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
+lines AS (SELECT doc_id, n, ws, len(ws) AS k, array_to_string(ws, ' ') AS line
+  FROM (SELECT doc_id, n, list_filter(regexp_split_to_array(raw, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM l) WHERE len(ws) > 0),
+c AS (SELECT line, any_value(ws) AS ws, any_value(k) AS k, min({'doc_id': doc_id, 'n': n}) AS pos FROM lines GROUP BY line),
+v AS (SELECT line, k, pos, i, array_to_string(list_concat(ws[:i], ws[i + 2:]), ' ') AS rest
+  FROM (SELECT *, unnest(range(k)) AS i FROM c WHERE k >= 5)),
+first AS (SELECT rest, i, k, min(pos) AS p FROM v GROUP BY ALL),
+gone AS (SELECT v.line FROM v JOIN first USING (rest, i, k) WHERE p < v.pos
+  UNION SELECT v.line FROM v JOIN c ON v.rest = c.line WHERE c.k >= 5 AND c.pos < v.pos
+  UNION SELECT c.line FROM v JOIN c ON v.rest = c.line WHERE c.k >= 5 AND v.pos < c.pos),
+kept AS (SELECT pos.doc_id AS doc_id, count(*) AS m, string_agg(pos.n::VARCHAR, ',' ORDER BY pos.n) AS kept
+  FROM c WHERE line NOT IN (SELECT line FROM gone) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY 1)
+SELECT doc_id, coalesce(t.n, 0) AS n_lines, coalesce(t.n, 0) - coalesce(m, 0) AS n_removed, coalesce(kept, '') AS kept_lines
+FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+}
