@@ -11,8 +11,9 @@ mostly share their anchor, and a run of them is one segment.
 2. A bucket answers each block which of its anchors other blocks have too.
 3. Blocks send the segments of shared anchors, equal ones once, with the
    smallest id that has them.
-4. A bucket sorts the suffixes of the segments of each anchor that has several
-   different ones, finds windows that are equal, and answers the smallest id.
+4. A bucket cuts the segments of each anchor that has several different ones
+   to what any two of them share around it, sorts the suffixes of what is left,
+   finds windows that are equal, and answers the smallest id.
 5. Blocks mark what smaller ids have and cut it out.
 
 Suffixes are sorted by linear grouping: groups of suffixes with a common
@@ -177,8 +178,8 @@ def anchors(body: np.ndarray, lengths: np.ndarray, size: int = SIZE) -> tuple[np
     return tuple(np.concatenate([o[i] for o in out]) for i in range(4))
 
 
-def _smallest(x: np.ndarray, grams: int) -> np.ndarray:
-    """Smallest gram hash of every window."""
+def _gram_hashes(x: np.ndarray) -> np.ndarray:
+    """Hash of every GRAM bytes."""
     base = 0x9E3779B97F4A7C15
     h, powers = {1: x * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)}, 1
     while 2 * powers <= GRAM:
@@ -195,7 +196,12 @@ def _smallest(x: np.ndarray, grams: int) -> np.ndarray:
     full = full ^ (full >> np.uint64(31))
     full = full * np.uint64(0x94D049BB133111EB)
     full = full ^ (full >> np.uint64(29))
-    low, wide = full, 1
+    return full
+
+
+def _smallest(x: np.ndarray, grams: int) -> np.ndarray:
+    """Smallest gram hash of every window."""
+    low, wide = _gram_hashes(x), 1
     while 2 * wide <= grams:
         low = np.minimum(low[:-wide], low[wide:])
         wide *= 2
@@ -344,6 +350,78 @@ def smallest_owners(segments: list[tuple[bytes, int]], size: int = SIZE) -> list
     return [owner[s : s + w] for s, w in zip(starts.tolist(), windows.tolist())]
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Bytes that two strings have in common at their start."""
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")).bit_length() + 7) // 8
+
+
+def _reaches(texts: list[bytes]) -> list[int]:
+    """Longest common start of each text with any of the others."""
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    out = [0] * len(texts)
+    for i, j in zip(order, order[1:]):
+        n = _common(texts[i], texts[j])
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
+def anchor_places(segments: list[bytes], anchor: list[int]) -> list[int]:
+    """Where the only gram with the anchor's hash starts in each segment; -1
+    where there are several, as in periodic texts."""
+    lengths = np.array([len(t) for t in segments])
+    starts = np.cumsum(lengths) - lengths
+    hashes = _gram_hashes(np.frombuffer(b"".join(segments), dtype=np.uint8).astype(np.uint64))
+    whose = np.repeat(np.arange(len(segments)), lengths)[: len(hashes)]
+    hit = np.flatnonzero(hashes == np.array(anchor, dtype=np.uint64)[whose])
+    hit = hit[hit + GRAM <= starts[whose[hit]] + lengths[whose[hit]]]
+    count = np.bincount(whose[hit], minlength=len(segments))
+    out = np.full(len(segments), -1)
+    out[whose[hit]] = hit - starts[whose[hit]]
+    out[count != 1] = -1
+    return out.tolist()
+
+
+def owners_of(groups: list[tuple[int, list[tuple[bytes, int]]]], size: int = SIZE) -> dict[bytes, np.ndarray]:
+    """For the windows of segments (text, id) grouped by anchor, the smallest
+    id of an equal window; segments that own all of theirs are left out.
+
+    Equal windows have their anchor at the same place, so they cannot reach
+    further from it than two segments of the group agree to its left and to its
+    right. What is left after cutting the segments to that is sorted."""
+    flat = [(t, k) for k, group in groups for t, _ in group]
+    places = iter(anchor_places([t for t, _ in flat], [k for _, k in flat]))
+    out: dict[bytes, np.ndarray] = {}
+    pieces: list[list[tuple[bytes, int, int]]] = []  # per group: cut text, first window, id
+    for _, group in groups:
+        at = [next(places) for _ in group]
+        if min(at) < 0:
+            pieces.append([(t, 0, i) for t, i in group])
+            continue
+        left = _reaches([t[:p][::-1] for (t, _), p in zip(group, at)])
+        right = _reaches([t[p + GRAM :] for (t, _), p in zip(group, at)])
+        pieces.append([(t[p - x : p + GRAM + y], p - x, i) for (t, i), p, x, y in zip(group, at, left, right)])
+    waiting: list[tuple[bytes, int]] = []
+    distinct: list[dict[bytes, int]] = []
+    for group in pieces:
+        least: dict[bytes, int] = {}
+        for text, _, i in group:
+            if len(text) >= size:
+                least[text] = min(i, least.get(text, i))
+        distinct.append(least)
+        if len(least) > 1:
+            waiting += least.items()
+    sorted_owners = iter(smallest_owners(waiting, size) if waiting else ())
+    for (_, group), cut, least in zip(groups, pieces, distinct):
+        owner = {t: next(sorted_owners) for t in least} if len(least) > 1 else {t: np.full(len(t) - size + 1, i) for t, i in least.items()}
+        for (text, i), (piece, first, _) in zip(group, cut):
+            if piece in owner and (owner[piece] != i).any():
+                own = np.full(len(text) - size + 1, i, dtype=np.int64)
+                own[first : first + len(piece) - size + 1] = owner[piece]
+                out[text] = own
+    return out
+
+
 def _answer_owners(size: int):
     def task(frame: pd.DataFrame) -> pd.DataFrame:
         least: dict[bytes, int] = {}
@@ -359,23 +437,17 @@ def _answer_owners(size: int):
                     least[text] = i
         # anchors with different segments, several of them at a time
         owners: dict[bytes, np.ndarray] = {}
-        waiting: list[tuple[bytes, int]] = []
+        waiting: list[tuple[int, list[tuple[bytes, int]]]] = []
         held = 0
-
-        def sort() -> None:
-            for (text, i), own in zip(waiting, smallest_owners(waiting, size)):
-                if (own != i).any():
-                    owners[text] = own
-
-        for texts in by_anchor.values():
+        for k, texts in by_anchor.items():
             if len(texts) > 1:
-                waiting += [(t, least[t]) for t in texts]
+                waiting.append((k, [(t, least[t]) for t in texts]))
                 held += sum(map(len, texts))
                 if held >= SORT_BYTES:
-                    sort()
+                    owners |= owners_of(waiting, size)
                     waiting, held = [], 0
         if waiting:
-            sort()
+            owners |= owners_of(waiting, size)
         rows = []
         for block, (at, _, smallest, texts) in zip(frame["block"].tolist(), sent):
             changed = [
