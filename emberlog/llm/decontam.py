@@ -2,8 +2,10 @@
 
 A document leaks an item if one of its windows, as many words long as the
 item, is within a word edit distance of a fifth of that length (similarity
-0.8). Windows that hold too many words unknown to the benchmark cannot be
-that close and are passed over; the rest are embedded by random walks (the
+0.8). With that many edits at least one of as many chunks of the item, and one
+more, is whole, so windows without a whole chunk near its place are passed
+over, as are those with too many words unknown to the benchmark; neither
+loses a leak. The other windows are embedded by random walks (the
 walk advances in the window by a random bit of the word it stands on, so that
 edits become few differing places), compared with the items' embeddings on
 random samples of places, and verified exactly.
@@ -49,6 +51,16 @@ def allowed(n: int) -> int:
     return int(round((1 - SIMILARITY) * n * 1000)) // 1000
 
 
+def _gram_hashes(numbers: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every ``size`` words."""
+    count = len(numbers) - size + 1
+    out = np.zeros(count, dtype=np.uint64)
+    for k in range(size):
+        out = (out + numbers[k : k + count].astype(np.uint64) + np.uint64(2)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out * np.uint64(0xD6E8FEB86659FD93)
+
+
 class Walks:
     """CGK embeddings of windows of n words, and hashed samples of their places."""
 
@@ -113,8 +125,15 @@ class Index:
                 ids.append(item_id)
                 rows.append([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words])
         self.lengths = []
+        # chunk length -> hash of a chunk -> places (item length, offset) it has
+        chunks: dict[int, dict[int, set]] = {}
         for n in sorted(by_length):
             ids, rows = by_length[n]
+            size = n // (allowed(n) + 1)
+            for row in rows:
+                for at in range(0, size * (allowed(n) + 1), size):
+                    gram = int(_gram_hashes(np.array(row[at : at + size]), size)[0])
+                    chunks.setdefault(size, {}).setdefault(gram, set()).add((n, at))
             walks, body = Walks(n, seed), np.array(rows, dtype=np.int64)
             keys = walks.keys(body)
             tables = []
@@ -122,6 +141,32 @@ class Index:
                 order = np.argsort(keys[:, t], kind="stable")
                 tables.append((keys[order, t], order))
             self.lengths.append((n, ids, body, walks, tables))
+        self.chunks = []
+        for size, found in chunks.items():
+            hashes = np.array(sorted(found), dtype=np.uint64)
+            some = np.zeros(1 << 20, dtype=bool)
+            some[hashes >> np.uint64(44)] = True
+            self.chunks.append((size, hashes, some, [sorted(found[h]) for h in sorted(found)]))
+
+    def _starts(self, numbers: np.ndarray, known: np.ndarray) -> dict[int, list[np.ndarray]]:
+        """Per item length, the starts of windows that may hold a whole chunk."""
+        out: dict[int, list[np.ndarray]] = {}
+        for size, hashes, some, places in self.chunks:
+            if len(numbers) < size:
+                continue
+            grams = _gram_hashes(numbers, size)
+            at = np.flatnonzero(some[grams >> np.uint64(44)] & (known[size:] - known[:-size] == size))
+            which = np.minimum(np.searchsorted(hashes, grams[at]), len(hashes) - 1)
+            same = hashes[which] == grams[at]
+            at, which = at[same], which[same]
+            order = np.argsort(which, kind="stable")
+            at, which = at[order], which[order]
+            cuts = np.flatnonzero(np.diff(which)) + 1
+            for part, g in zip(np.split(at, cuts), which[np.concatenate([[0], cuts])] if len(at) else ()):
+                for n, offset in places[g]:
+                    near = np.arange(-allowed(n), allowed(n) + 1) - offset
+                    out.setdefault(n, []).append((part[:, None] + near).ravel())
+        return out
 
     def leaks(self, texts: list[list[str]]) -> list[list[tuple[int, int, int, int]]]:
         """Per text (item, start word, words, distance): for every item that
@@ -132,11 +177,14 @@ class Index:
         known = np.concatenate([[0], np.cumsum(numbers >= 0)])
         doc_of = np.repeat(np.arange(len(texts)), [len(words) for words in texts])
         best: list[dict[int, tuple]] = [{} for _ in texts]
+        near = self._starts(numbers, known)
         for n, ids, body, walks, tables in self.lengths:
-            if len(numbers) < n:
+            if n not in near:
                 continue
             most = allowed(n)
-            starts = np.flatnonzero(known[n:] - known[:-n] >= n - most)
+            starts = np.unique(np.concatenate(near[n]))
+            starts = starts[(starts >= 0) & (starts + n <= len(numbers))]
+            starts = starts[known[starts + n] - known[starts] >= n - most]
             starts = starts[starts + n <= ends[doc_of[starts]]]
             for at in range(0, len(starts), 4096):
                 self._compare(numbers, starts[at : at + 4096], n, most, ids, body, walks, tables, doc_of, ends, texts, best)
