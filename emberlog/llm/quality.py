@@ -281,7 +281,10 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
-    # the statistics are made before the join, so that no text is shuffled
-    stats = with_stats(docs.select("doc_id", "text")).select("doc_id", "__q")
+    # narrow rows, so that no text is shuffled for the labels
+    stats = stage(with_stats(docs.select("doc_id", "text")).select("doc_id", "__q"))
     rules = learn(labelled(stats, labels))
-    return with_stats(docs).where(rules.kept()).select(*docs.columns)
+    # the row number keeps the planner from moving the filter below the
+    # statistics, where every use of them would be computed on its own
+    rows = with_stats(docs).withColumn("__q_row", F.monotonically_increasing_id())
+    return rows.where(rules.kept() & (F.col("__q_row") >= 0)).select(*docs.columns)
