@@ -126,3 +126,11 @@ def test_texts(spark):
     assert value(spark, text.fmt_time(timestamp(A), "Europe/Moscow")) == "2025-05-01 08:00:00"
     assert value(spark, text.fmt_time_short(F.lit(None).cast("timestamp_ntz"))) == "—"
     assert value(spark, text.report_file(F.lit("h"), timestamp(B), "Europe/Moscow")) == "h_2025-05-02.md"
+
+
+def test_quoted_texts_escape_what_cannot_be_printed(spark):
+    from emberlog.functions.links import host_expr
+
+    cases = {'a"b\\c': '"a\\"b\\\\c"', "tab\there": '"tab\\there"', "nl\n\x01é": '"nl\\n\\x01é"', "nb ": '"nb\\u00a0"', "": '""'}
+    rows = spark.createDataFrame([(k,) for k in cases], "host string").select("host", host_expr("host").alias("e")).collect()
+    assert {r["host"]: r["e"] for r in rows} == {k: "{host=" + v + "}" for k, v in cases.items()}
