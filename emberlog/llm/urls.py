@@ -85,7 +85,9 @@ def _keys(codes: Column, contexts: bool) -> Column:
 def train(labelled: DataFrame, url: str = "url", accepted: str = "accepted") -> DataFrame:
     """Model (key int, value double) from rows with a boolean verdict."""
     good = F.col(accepted)
-    grams = labelled.select(good.alias("good"), F.explode(_keys(_classes(F.col(url)), False)).alias("key"))
+    # a column of its own: within the keys the classes would be made anew for each of them
+    codes = labelled.select(good.alias("good"), _classes(F.col(url)).alias("codes"))
+    grams = codes.select("good", F.explode(_keys(F.col("codes"), False)).alias("key"))
     counts = stage(grams.groupBy("key").agg(
         F.count(F.when(F.col("good"), 1)).alias("a"), F.count(F.when(~F.col("good"), 1)).alias("r")
     ))
