@@ -1,14 +1,15 @@
-"""Benchmark decontamination: CGK embedding, bit sampling, exact edit check.
-
-A document leaks an item if one of its windows, as many words long as the
-item, is within a word edit distance of a fifth of that length (similarity
-0.8). With that many edits at least one of as many chunks of the item, and one
-more, is whole, so windows without a whole chunk near its place are passed
-over, as are those with too many words unknown to the benchmark; neither
-loses a leak. The other windows are embedded by random walks (the
-walk advances in the window by a random bit of the word it stands on, so that
-edits become few differing places), compared with the items' embeddings on
-random samples of places, and verified exactly.
+"""Benchmark decontamination: whole chunks propose places, exact edit check.
+
+A document leaks an item if some run of its words, of whatever length, is
+within a word edit distance of a fifth of the item's length (similarity 0.8).
+With that many edits at least one of as many chunks of the item, and one more,
+is whole, and it tells where the item would stand up to that many words. Each
+such place, cut at the ends of the document, goes through two tests that lose
+no leak (words known to the benchmark, words of the item itself) and then
+through an exact semi-global comparison with the item.
+
+``Walks`` (CGK embeddings with bit sampling) proposed places before. Windows of
+one length, and samples, miss leaks, so the search does without them.
 
 Items are the query set. They are sent to the tasks in blocks of at most
 BLOCK_ITEMS items; every block sees all documents, which are not shuffled.
@@ -35,8 +36,8 @@ BLOCK_ITEMS = 20_000
 SIMILARITY = 0.8
 #: walks, samples of places per walk, places per sample
 WALKS, TABLES, PLACES = 8, 8, 3
-#: words of documents that a task looks at together
-BATCH_WORDS = 2_000_000
+#: words of documents that a task looks at together, and places (or words of them) it compares
+BATCH_WORDS, BATCH_PLACES = 2_000_000, 1 << 18
 
 LEAKS = "array<struct<item_id:bigint,start:bigint,words:bigint,distance:bigint>>"
 _WORD = re.compile(r"[^\W_]+")
@@ -113,10 +114,36 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return before[:, n]
 
 
+def closest_windows(places: np.ndarray, low: np.ndarray, high: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """(rows, 3) of distance, start and words: for each row the stretch of the
+    columns ``low`` to ``high`` of ``places`` (rows, width) with the least word
+    edit distance to ``items`` (rows, n); of equals the first, then the shortest.
+
+    A cell holds a distance and, in its low bits, where its stretch starts.
+    Columns outside ``low`` and ``high`` have no partner in an item, so a
+    stretch that enters them costs as much as the one that ends before."""
+    (rows, width), n = places.shape, items.shape[1]
+    unit = 1 << int(width).bit_length()
+    steps = unit * np.arange(width + 1)[:, None]
+    places, items = np.ascontiguousarray(places.T), items.T
+    before = np.clip(np.arange(width + 1)[:, None], low, high)
+    for i in range(n):
+        now = before + unit
+        np.minimum(now[1:], before[:-1] + unit * (places != items[i]), out=now[1:])
+        now -= steps
+        np.minimum.accumulate(now, axis=0, out=now)
+        now += steps
+        before = now
+    end = before.argmin(axis=0)
+    least = before[end, np.arange(rows)]
+    start = least % unit
+    return np.stack([least // unit, start, np.clip(end, low, high) - start], axis=1)
+
+
 class Index:
-    """Items by length, with the keys of their embeddings."""
+    """Items by length, and the chunks of which a leak holds one whole."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], seed: int = 7) -> None:
+    def __init__(self, items: list[tuple[int, list[str]]]) -> None:
         self.vocabulary: dict[str, int] = {}
         by_length: dict[int, tuple[list, list]] = {}
         for item_id, words in items:
@@ -125,104 +152,95 @@ class Index:
                 ids.append(item_id)
                 rows.append([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words])
         self.lengths = []
-        # chunk length -> hash of a chunk -> places (item length, offset) it has
-        chunks: dict[int, dict[int, set]] = {}
-        for n in sorted(by_length):
-            ids, rows = by_length[n]
+        # chunk length -> hashes of chunks with (item length, item, offset)
+        chunks: dict[int, list[tuple]] = {}
+        for k, n in enumerate(sorted(by_length)):
+            ids, body = by_length[n][0], np.array(by_length[n][1], dtype=np.int64)
             size = n // (allowed(n) + 1)
-            for row in rows:
-                for at in range(0, size * (allowed(n) + 1), size):
-                    gram = int(_gram_hashes(np.array(row[at : at + size]), size)[0])
-                    chunks.setdefault(size, {}).setdefault(gram, set()).add((n, at))
-            walks, body = Walks(n, seed), np.array(rows, dtype=np.int64)
-            keys = walks.keys(body)
-            tables = []
-            for t in range(keys.shape[1]):
-                order = np.argsort(keys[:, t], kind="stable")
-                tables.append((keys[order, t], order))
-            self.lengths.append((n, ids, body, walks, tables))
+            for at in range(0, size * (allowed(n) + 1), size):
+                grams = np.array([_gram_hashes(row, size)[0] for row in body[:, at : at + size]], dtype=np.uint64)
+                chunks.setdefault(size, []).append((grams, np.full(len(ids), k), np.arange(len(ids)), np.full(len(ids), at)))
+            self.lengths.append((n, ids, body))
         self.chunks = []
         for size, found in chunks.items():
-            hashes = np.array(sorted(found), dtype=np.uint64)
+            grams, length, item, offset = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(grams, kind="stable")
+            hashes, first = np.unique(grams[order], return_index=True)
             some = np.zeros(1 << 20, dtype=bool)
             some[hashes >> np.uint64(44)] = True
-            self.chunks.append((size, hashes, some, [sorted(found[h]) for h in sorted(found)]))
+            self.chunks.append((size, hashes, np.append(first, len(order)), some, length[order], item[order], offset[order]))
 
-    def _starts(self, numbers: np.ndarray, known: np.ndarray) -> dict[int, list[np.ndarray]]:
-        """Per item length, the starts of windows that may hold a whole chunk."""
-        out: dict[int, list[np.ndarray]] = {}
-        for size, hashes, some, places in self.chunks:
+    def _places(self, numbers: np.ndarray, known: np.ndarray, doc_of: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(length class, item, document, start) of where a whole chunk puts an item."""
+        for size, hashes, first, some, length, item, offset in self.chunks:
             if len(numbers) < size:
                 continue
             grams = _gram_hashes(numbers, size)
             at = np.flatnonzero(some[grams >> np.uint64(44)] & (known[size:] - known[:-size] == size))
+            at = at[doc_of[at] == doc_of[at + size - 1]]
             which = np.minimum(np.searchsorted(hashes, grams[at]), len(hashes) - 1)
             same = hashes[which] == grams[at]
             at, which = at[same], which[same]
-            order = np.argsort(which, kind="stable")
-            at, which = at[order], which[order]
-            cuts = np.flatnonzero(np.diff(which)) + 1
-            for part, g in zip(np.split(at, cuts), which[np.concatenate([[0], cuts])] if len(at) else ()):
-                for n, offset in places[g]:
-                    near = np.arange(-allowed(n), allowed(n) + 1) - offset
-                    out.setdefault(n, []).append((part[:, None] + near).ravel())
-        return out
+            count = first[which + 1] - first[which]
+            # hits of common chunks are spread over several rounds
+            rounds = np.cumsum(count) // BATCH_PLACES
+            cuts = np.flatnonzero(np.diff(rounds)) + 1
+            for a, w, c in zip(np.split(at, cuts), np.split(which, cuts), np.split(count, cuts)):
+                if len(a):
+                    entry = np.repeat(first[w], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                    yield length[entry], item[entry], np.repeat(doc_of[a], c), np.repeat(a, c) - offset[entry]
 
     def leaks(self, texts: list[list[str]]) -> list[list[tuple[int, int, int, int]]]:
         """Per text (item, start word, words, distance): for every item that
-        leaks, its closest window, the earliest of equals."""
+        leaks, its closest window, the earliest of equals, then the shortest."""
         get = self.vocabulary.get
         numbers = np.array([get(w, -1) for words in texts for w in words], dtype=np.int64)
-        ends = np.cumsum([len(words) for words in texts]) if texts else np.zeros(0, dtype=np.int64)
+        sizes = np.array([len(words) for words in texts], dtype=np.int64)
+        ends = np.cumsum(sizes)
         known = np.concatenate([[0], np.cumsum(numbers >= 0)])
-        doc_of = np.repeat(np.arange(len(texts)), [len(words) for words in texts])
+        doc_of = np.repeat(np.arange(len(texts)), sizes)
         best: list[dict[int, tuple]] = [{} for _ in texts]
-        near = self._starts(numbers, known)
-        for n, ids, body, walks, tables in self.lengths:
-            if n not in near:
-                continue
-            most = allowed(n)
-            starts = np.unique(np.concatenate(near[n]))
-            starts = starts[(starts >= 0) & (starts + n <= len(numbers))]
-            starts = starts[known[starts + n] - known[starts] >= n - most]
-            starts = starts[starts + n <= ends[doc_of[starts]]]
-            for at in range(0, len(starts), 4096):
-                self._compare(numbers, starts[at : at + 4096], n, most, ids, body, walks, tables, doc_of, ends, texts, best)
+        for length, item, doc, start in self._places(numbers, known, doc_of):
+            for k in np.unique(length).tolist():
+                n, ids, body = self.lengths[k]
+                mine, most = length == k, allowed(n)
+                at = np.unique(np.stack([item[mine], doc[mine], start[mine]], axis=1), axis=0)
+                # around the place, as far as edits can move the ends
+                low = np.maximum(at[:, 2] - most, (ends - sizes)[at[:, 1]])
+                high = np.minimum(at[:, 2] + n + most, ends[at[:, 1]])
+                at = at[known[high] - known[low] >= n - most]
+                rows = max(1, min(4096, BATCH_PLACES // n))
+                for i in range(0, len(at), rows):
+                    self._compare(numbers, at[i : i + rows], n, most, ids, body, sizes, ends, best)
         return [sorted(found.values()) for found in best]
 
-    def _compare(self, numbers, starts, n, most, ids, body, walks, tables, doc_of, ends, texts, best) -> None:
-        windows = numbers[starts[:, None] + np.arange(n)]
-        # equal windows, as in copies, are embedded once
-        windows, back = np.unique(windows, axis=0, return_inverse=True)
-        keys, pairs = walks.keys(windows), []
-        for t, (sorted_keys, order) in enumerate(tables):
-            low = np.searchsorted(sorted_keys, keys[:, t], "left")
-            high = np.searchsorted(sorted_keys, keys[:, t], "right")
-            rows = np.flatnonzero(high > low)
-            for shift in range(int((high - low).max(initial=0))):
-                rows = rows[low[rows] + shift < high[rows]]
-                pairs.append(rows * len(ids) + order[low[rows] + shift])
-        if not pairs:
-            return
-        pairs = np.unique(np.concatenate(pairs))
-        row, item = pairs // len(ids), pairs % len(ids)
-        # an edit distance is at least the number of words without a partner
-        close = np.concatenate([
-            edit_distances(windows[row[at : at + 2048]], body[item[at : at + 2048]]) for at in range(0, len(row), 2048)
-        ]) if len(row) else np.zeros(0, dtype=np.int64)
-        near: dict[int, list] = {}
-        for r, i, d in zip(row[close <= most], item[close <= most], close[close <= most]):
-            near.setdefault(int(r), []).append((int(i), int(d)))
-        if not near:
+    def _compare(self, numbers, at, n, most, ids, body, sizes, ends, best) -> None:
+        item, doc, left = at[:, 0], at[:, 1], at[:, 2] - most
+        first = ends[doc] - sizes[doc]
+        columns = left[:, None] + np.arange(n + 2 * most)
+        inside = (columns >= first[:, None]) & (columns < ends[doc][:, None])
+        places = np.where(inside, numbers[np.clip(columns, 0, len(numbers) - 1)], -2)
+        # all but the edited words of the item are there
+        there = np.zeros(item.shape, dtype=np.int64)
+        for j in range(n):
+            there += (places == body[item, j][:, None]).any(axis=1)
+        able = np.flatnonzero(there >= n - most)
+        if not len(able):
             return
-        for start, r in zip(starts.tolist(), back.ravel().tolist()):
-            for i, d in near.get(r, ()):
-                doc = int(doc_of[start])
-                first = int(ends[doc]) - len(texts[doc])
-                found = (ids[i], start - first, n, d)
-                old = best[doc].get(ids[i])
-                if old is None or (d, found[1]) < (old[3], old[1]):
-                    best[doc][ids[i]] = found
+        item, doc, left, first, places = item[able], doc[able], left[able], first[able], places[able]
+        low = np.maximum(first - left, 0)
+        high = np.minimum(ends[doc] - left, n + 2 * most)
+        # equal places, as in copies, are compared once
+        kinds, back = np.unique(np.column_stack([item, low, high, places]), axis=0, return_inverse=True)
+        close = closest_windows(kinds[:, 3:], kinds[:, 1], kinds[:, 2], body[kinds[:, 0]])[back.ravel()]
+        near = close[:, 0] <= most
+        for i, d, x, (distance, start, words) in zip(
+            item[near].tolist(), doc[near].tolist(), (left - first)[near].tolist(), close[near].tolist()
+        ):
+            found = (ids[i], x + start, words, distance)
+            old = best[d].get(ids[i])
+            if old is None or (distance, x + start, words) < (old[3], old[1], old[2]):
+                best[d][ids[i]] = found
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "leaks") -> DataFrame:

@@ -116,6 +116,21 @@ def leaks(text, items, word, allowed):
     return sorted(out)
 
 
+def leaks_of_any_length(text, items, word, allowed):
+    """As leaks, over windows of every length within the allowed edits."""
+    w, out = word(text), []
+    for item, body in items:
+        b = word(body)
+        most = allowed(len(b))
+        found = [
+            (edits(w[s : s + n], b), s, n)
+            for n in range(len(b) - most, len(b) + most + 1) if b for s in range(len(w) - n + 1)
+        ]
+        if found and min(found)[0] <= most:
+            out.append((item, min(found)[1], min(found)[2], min(found)[0]))
+    return sorted(out)
+
+
 def repeats(docs, size):
     """docs: [(id, bytes)]; [(id, bytes, removed, runs, rest)]."""
     least = {}

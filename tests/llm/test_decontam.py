@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from brute import edits, leaks
+from brute import edits, leaks, leaks_of_any_length
 from conftest import FOLDER
 
 from emberlog.llm import decontam, queries
@@ -85,3 +85,34 @@ def test_embedding_keeps_edits_close():
     meet = (walks.keys(a) == walks.keys(b)).any(axis=1).mean()
     other = (walks.keys(a) == walks.keys(np.roll(b, 1, axis=0))).any(axis=1).mean()
     assert meet > 0.98 and other < 0.02
+
+
+def test_windows_of_any_length():
+    """Items with up to a fifth of their words edited, alone, at the ends and
+    inside of documents: every leak, with the window that brute force names."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aeioustrnl") for _ in range(rng.randrange(1, 4)))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([1, 2, 4, 5, 6, 9, 10, 15, 15, 20, 30])]
+    texts = []
+    for i in range(330):
+        w = items[i % 11][1].split()
+        for _ in range(rng.choice([decontam.allowed(len(w)), decontam.allowed(len(w)) + 1])):
+            at, kind = rng.randrange(len(w)), rng.choice([0, 0, 1, 2])
+            w[at : at + (kind < 2)] = [] if kind == 0 and len(w) > 1 else [word()]
+        before, after = rng.choice([(0, 0), (0, 9), (9, 0), (9, 9)])
+        texts.append(" ".join([word() for _ in range(before)] + w + [word() for _ in range(after)]))
+    index = decontam.Index([(k, decontam.words_of(t)) for k, t in items])
+    got = index.leaks([decontam.words_of(t) for t in texts])
+    want = [leaks_of_any_length(t, items, decontam.words_of, decontam.allowed) for t in texts]
+    assert got == want
+    # what windows of the item's own length do not show
+    assert sum(len(x) > len(leaks(t, items, decontam.words_of, decontam.allowed)) for x, t in zip(want, texts)) > 30
+
+
+def test_item_without_one_word(spark):
+    body = [f"w{i}" for i in range(15)]
+    docs = spark.createDataFrame([(1, " ".join(body[:7] + body[8:])), (2, "other words only")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(body))], "item_id long, text string")
+    assert [r["doc_id"] for r in decontam.drop_leaks(docs, bench).collect()] == [2]
+    report = {r["doc_id"]: r for r in decontam.leak_report(docs, bench).collect()}
+    assert (report[1]["items"], report[1]["least_distance"], report[1]["first_start"]) == ([7], 1, 0)
