@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import stage
+from emberlog.llm.common import stage, text_or_empty
 from emberlog.llm.graph import components
 
 # workers need not be able to import this module
@@ -126,14 +126,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The documents whose id is the smallest of their component, with their
-    own columns. Of rows that repeat an id only one stays; of components
-    without any id, one row each is not told apart, so rows without an id
-    count as one document."""
-    rows = stage(near_duplicates(docs, shingle=shingle).select("doc_id", "component_id"))
-    gone = rows.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    # texts are shuffled by id only where an id does repeat
-    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each component, with its own columns: the one with the
+    smallest id, rows without an id last; of different texts under that id the
+    one with the smallest hash. Rows that repeat an id and its text, also those
+    without an id, are copies, of which one stays."""
+    text = text_or_empty()
+    # in the order in which rows are preferred
+    key = F.struct(
+        F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"), F.hash(text).alias("g")
+    )
+    rows = near_duplicates(docs.select(key.alias("key"), "text"), "key", shingle=shingle)
+    rows = stage(rows.select("key", "component_id"))
+    gone = rows.where(~F.col("key").eqNullSafe(F.col("component_id"))).select(
+        *[F.col(f"key.{x}").alias(f"__gone_{x}") for x in ("id", "h", "g")]
+    ).distinct()
+    keyed = docs.withColumns({"__h": F.xxhash64(text), "__g": F.hash(text)})
+    same = F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.col("__h") == F.col("__gone_h")) & (F.col("__g") == F.col("__gone_g"))
+    kept = keyed.join(gone, same, "left_anti")
+    # texts are shuffled by their key only where a row that stays does repeat
+    stays = rows.where(F.col("key").eqNullSafe(F.col("component_id")))
+    if not stays.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "__h", "__g"])
+    return kept.select(*docs.columns)

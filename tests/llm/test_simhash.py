@@ -60,6 +60,25 @@ def test_keep_one(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
+def test_keep_one_by_id_and_text(spark):
+    """Rows without an id, and ids with several texts, are judged by row."""
+    def kept(rows):
+        return sorted(
+            ((r["doc_id"], r["text"]) for r in op.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()),
+            key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""),
+        )
+
+    a, b, c = "a first text of some words", "and a third that is on its own", "quite another one stands here"
+    # a copy without an id takes no other row without an id with it
+    assert kept([(1, a), (None, a), (None, b), (None, c), (None, c)]) == [(1, a), (None, b), (None, c)]
+    # without such a copy, different texts without an id all stay
+    assert kept([(1, a), (None, b), (None, c)]) == [(1, a), (None, b), (None, c)]
+    # an id whose one text is a copy keeps its other
+    assert kept([(3, a), (5, a), (5, b)]) == [(3, a), (5, b)]
+    assert kept([(4, a), (4, b), (4, b)]) == [(4, a), (4, b)]
+    assert len(kept([(None, None), (None, ""), (2, a)])) == 2
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(200)]
