@@ -14,6 +14,9 @@ mostly share their anchor, and a run of them is one segment.
 4. A bucket cuts the segments of each anchor that has several different ones
    to what any two of them share around it, sorts the suffixes of what is left,
    finds windows that are equal, and answers the smallest id.
+   Anchors with many different segments, as at the borders of a passage that
+   a third of all documents share, are dealt by the digests of their windows
+   instead: a block sends each window once, so no anchor meets in one task.
 5. Blocks mark what smaller ids have and cut it out.
 
 Suffixes are sorted by linear grouping: groups of suffixes with a common
@@ -50,6 +53,9 @@ GRAM = 20
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 #: bytes of segments whose suffixes are sorted at a time
 SORT_BYTES = 1 << 20
+#: different segments from which an anchor is dealt window by window; a block
+#: counts those of an anchor from SOME_SEGMENTS on, and else announces one
+HOT_SEGMENTS, SOME_SEGMENTS = 2048, 16
 #: bytes that are hashed at a time, so that the passes stay in the cache
 CHUNK = 1 << 17
 
@@ -226,9 +232,23 @@ def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(b), part
 
 
+def _many_segments(body: bytes, first: np.ndarray, last: np.ndarray, keys: np.ndarray, size: int) -> dict[int, int]:
+    """Anchors with many different segments in a block, and how many."""
+    order = np.argsort(keys, kind="stable")
+    cuts = np.flatnonzero(np.diff(keys[order])) + 1
+    starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
+    out = {}
+    for run in np.flatnonzero(ends - starts >= SOME_SEGMENTS).tolist():
+        at = order[starts[run] : ends[run]]
+        n = len({body[a : z + size] for a, z in zip(first[at].tolist(), last[at].tolist())})
+        if n >= SOME_SEGMENTS:
+            out[int(keys[at[0]])] = n
+    return out
+
+
 def _blocks(docs: DataFrame, buckets: int, size: int) -> DataFrame:
-    """Bucket -1: a block's documents. Others: the anchors of a block, first
-    those that several of its documents have."""
+    """Bucket -1: a block's documents. Others: the number of anchors of a block,
+    the anchors, and those with many different segments with how many."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() << 33
@@ -241,8 +261,14 @@ def _blocks(docs: DataFrame, buckets: int, size: int) -> DataFrame:
             body = b"".join(texts)
             lengths = np.array([len(t) for t in texts], dtype=np.int64)
             rows = [(made, -1, _packed((ids[:], lengths, body)))]
-            _, _, _, keys = anchors(np.frombuffer(body, dtype=np.uint8), lengths, size)
-            rows += [(made, b, part.tobytes()) for b, part in _dealt(keys, buckets)]
+            _, first, last, keys = anchors(np.frombuffer(body, dtype=np.uint8), lengths, size)
+            many = _many_segments(body, first, last, keys, size)
+            heavy = np.array(sorted(many), dtype=np.uint64)
+            counts = np.array([many[k] for k in sorted(many)], dtype=np.uint64)
+            whose = _buckets(heavy, buckets)
+            for b, part in _dealt(keys, buckets):
+                number = np.array([len(part)], dtype=np.uint64)
+                rows.append((made, b, np.concatenate([number, part, heavy[whose == b], counts[whose == b]]).tobytes()))
             made, held = made + 1, 0
             ids.clear()
             texts.clear()
@@ -265,28 +291,35 @@ def _blocks(docs: DataFrame, buckets: int, size: int) -> DataFrame:
 
 
 def _answer_shared(frame: pd.DataFrame) -> pd.DataFrame:
-    """Which anchors of each block another block has, as bits."""
-    parts = [np.frombuffer(d, dtype=np.uint64) for d in frame["data"]]
+    """Which anchors of each block another block has, and which are hot, as bits."""
+    sent = [np.frombuffer(d, dtype=np.uint64) for d in frame["data"]]
+    parts = [x[1 : 1 + int(x[0])] for x in sent]
     keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-    several = keys[counts > 1]
-    bits = [np.isin(p, several, assume_unique=True) for p in parts]
-    some = [b.any() for b in bits]
+    segments = counts.copy()
+    for x in sent:
+        heavy, many = np.split(x[1 + int(x[0]) :], 2)
+        segments[np.searchsorted(keys, heavy)] += many.astype(np.int64) - 1
+    several, hot = keys[counts > 1], keys[segments >= HOT_SEGMENTS]
+    bits = [(np.isin(p, several, assume_unique=True), np.isin(p, hot, assume_unique=True)) for p in parts]
+    some = [bool(b.any() or h.any()) for b, h in bits]
     return pd.DataFrame({
         "block": frame["block"][some], "bucket": frame["bucket"][some],
-        "data": [np.packbits(b).tobytes() for b, s in zip(bits, some) if s],
+        "data": [np.packbits(b).tobytes() + np.packbits(h).tobytes() for (b, h), s in zip(bits, some) if s],
     })
 
 
 def _shared_segments(ids: list[int], lengths, body: bytes, masks: dict[int, bytes], buckets: int, size: int):
     """Segments whose anchor another document has: positions, and for each the
-    number of its distinct text; the texts with their anchor and smallest id."""
+    number of its distinct text; the texts with their anchor, smallest id, and
+    whether the anchor is hot."""
     doc, first, last, key = anchors(np.frombuffer(body, dtype=np.uint8), lengths, size)
     keys, inverse = np.unique(key, return_inverse=True)
-    shared = np.zeros(len(keys), dtype=bool)
+    shared, hot = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
     for b, part in _dealt(key, buckets):
         if b in masks:
-            bits = np.unpackbits(np.frombuffer(masks[b], dtype=np.uint8), count=len(part)).astype(bool)
-            shared[np.searchsorted(keys, part[bits])] = True
+            for mask, half in zip((shared, hot), np.split(np.frombuffer(masks[b], dtype=np.uint8), 2)):
+                bits = np.unpackbits(half, count=len(part)).astype(bool)
+                mask[np.searchsorted(keys, part[bits])] = True
     if len(keys):  # several documents of this block
         low, high = np.full(len(keys), len(ids)), np.full(len(keys), -1)
         np.minimum.at(low, inverse, doc)
@@ -307,7 +340,29 @@ def _shared_segments(ids: list[int], lengths, body: bytes, masks: dict[int, byte
         elif ids[d] < smallest[e]:
             smallest[e] = ids[d]
         which[i] = e
-    return (doc, first, last, which), list(number), np.array(smallest, dtype=np.int64), np.array(anchor, dtype=np.uint64)
+    anchors_of = np.array(anchor, dtype=np.uint64)
+    is_hot = np.isin(anchors_of, keys[hot])
+    return (doc, first, last, which), list(number), np.array(smallest, dtype=np.int64), anchors_of, is_hot
+
+
+def _windows(segments: list[bytes], smallest: np.ndarray, size: int):
+    """The different windows of some segments: numbers of each segment's
+    windows, 128-bit digests, the smallest id of a segment that has them."""
+    number: dict[bytes, int] = {}
+    least: list[int] = []
+    of = []
+    for text, i in zip(segments, smallest.tolist()):
+        own = []
+        for a in range(len(text) - size + 1):
+            w = number.setdefault(text[a : a + size], len(least))
+            if w == len(least):
+                least.append(i)
+            elif i < least[w]:
+                least[w] = i
+            own.append(w)
+        of.append(np.array(own, dtype=np.int64))
+    digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in number)
+    return of, np.frombuffer(digests, dtype=np.uint64).reshape(-1, 2), np.array(least, dtype=np.int64)
 
 
 def _send_segments(buckets: int, size: int):
@@ -317,12 +372,18 @@ def _send_segments(buckets: int, size: int):
         masks = dict(zip(frame["bucket"], frame["data"]))
         masks.pop(-1, None)
         ids, lengths, body = _unpacked(texts["data"].iloc[0])
-        places, segments, smallest, anchor = _shared_segments(ids, lengths, body, masks, buckets, size)
-        rows = [(block, -2, _packed((*places, smallest)))] if segments else []
-        bucket = _buckets(anchor, buckets)
-        for b in np.unique(bucket).tolist():
+        places, segments, smallest, anchor, hot = _shared_segments(ids, lengths, body, masks, buckets, size)
+        dealt = np.flatnonzero(hot)
+        of, digests, least = _windows([segments[e] for e in dealt.tolist()], smallest[dealt], size)
+        rows = [(block, -2, _packed((*places, smallest, dealt, of, least)))] if segments else []
+        bucket = np.where(hot, -1, _buckets(anchor, buckets))
+        for b in np.unique(bucket[~hot]).tolist():
             at = np.flatnonzero(bucket == b)
             rows.append((block, b, _packed((at, anchor[at], smallest[at], [segments[i] for i in at.tolist()]))))
+        bucket = _buckets(digests[:, 0], buckets)
+        for b in np.unique(bucket).tolist():
+            at = np.flatnonzero(bucket == b)
+            rows.append((block, buckets + b, _packed((at, digests[at], least[at]))))
         return pd.DataFrame(rows, columns=["block", "bucket", "data"])
 
     return task
@@ -422,8 +483,30 @@ def owners_of(groups: list[tuple[int, list[tuple[bytes, int]]]], size: int = SIZ
     return out
 
 
-def _answer_owners(size: int):
+def _answer_windows(frame: pd.DataFrame) -> pd.DataFrame:
+    """The windows of each block that a smaller id has elsewhere."""
+    sent = [_unpacked(d) for d in frame["data"]]
+    digests, ids = np.concatenate([d for _, d, _ in sent]), np.concatenate([i for _, _, i in sent])
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (digests[order[1:]] != digests[order[:-1]]).any(axis=1)
+    group = np.flatnonzero(new)
+    owner = np.empty(len(ids), dtype=np.int64)
+    owner[order] = np.repeat(np.minimum.reduceat(ids[order], group), np.diff(np.append(group, len(order))))
+    rows, done = [], 0
+    for block, (at, _, least) in zip(frame["block"].tolist(), sent):
+        own = owner[done : done + len(at)]
+        done += len(at)
+        changed = own < least
+        if changed.any():
+            rows.append((block, -4, _packed((at[changed], own[changed]))))
+    return pd.DataFrame(rows, columns=["block", "bucket", "data"])
+
+
+def _answer_owners(size: int, buckets: int):
     def task(frame: pd.DataFrame) -> pd.DataFrame:
+        if frame["bucket"].iloc[0] >= buckets:
+            return _answer_windows(frame)
         least: dict[bytes, int] = {}
         by_anchor: dict[int, list[bytes]] = {}
         sent = [_unpacked(d) for d in frame["data"]]
@@ -463,12 +546,15 @@ def _answer_owners(size: int):
 
 def _cut(size: int, with_text: bool):
     def task(frame: pd.DataFrame) -> pd.DataFrame:
-        kinds = {b: d for b, d in zip(frame["bucket"], frame["data"]) if b != -3}
+        kinds = {b: d for b, d in zip(frame["bucket"], frame["data"]) if b > -3}
         ids, lengths, body = _unpacked(kinds[-1])
         covered = np.zeros(len(body) + 1, dtype=np.int32)
         if -2 in kinds:
-            doc, first, last, which, owner = _unpacked(kinds[-2])
-            uneven: dict[int, np.ndarray] = {}
+            doc, first, last, which, owner, dealt, of, least = _unpacked(kinds[-2])
+            for data in frame["data"][frame["bucket"] == -4]:
+                at, own = _unpacked(data)
+                least[at] = own
+            uneven: dict[int, np.ndarray] = {e: least[w] for e, w in zip(dealt.tolist(), of)}
             for data in frame["data"][frame["bucket"] == -3]:
                 for e, own in _unpacked(data):
                     if isinstance(own, np.ndarray):
@@ -521,7 +607,7 @@ def remove_repeats(
     texts = blocks.where("bucket = -1")
     shared = blocks.where("bucket >= 0").groupBy("bucket").applyInPandas(_answer_shared, _ROWS)
     sent = stage(texts.union(shared).groupBy("block").applyInPandas(_send_segments(buckets, size), _ROWS))
-    owners = sent.where("bucket >= 0").groupBy("bucket").applyInPandas(_answer_owners(size), _ROWS)
+    owners = sent.where("bucket >= 0").groupBy("bucket").applyInPandas(_answer_owners(size, buckets), _ROWS)
     whole = texts.union(sent.where("bucket = -2")).union(owners)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     out = whole.groupBy("block").applyInPandas(_cut(size, with_text), schema + (", kept binary" if with_text else ""))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pandas as pd
 from brute import repeats
 from conftest import FOLDER
 from hypothesis import given, settings
@@ -68,3 +69,32 @@ def test_kept_text_and_empty_table(spark):
     got = {r["doc_id"]: bytes(r["kept"]) for r in substrings.remove_repeats(docs, with_text=True).collect()}
     assert got == {1: b"A" * 60, 2: b"tail"}
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_hot_anchor_is_split(spark, monkeypatch):
+    """A passage that all documents share, each with borders of its own."""
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(substrings, "HOT_SEGMENTS", 20, raising=False)
+    monkeypatch.setattr(substrings, "SOME_SEGMENTS", 2, raising=False)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9)))
+    passage, borders = "".join(word() for _ in range(30)), [word() for _ in range(40)]
+    texts = ["".join([word(), word(), rng.choice(borders), passage, rng.choice(borders), word()]) for _ in range(200)]
+    texts += ["ab" * 200, "ab" * 150, "x" * 60, ""]
+    rows = list(enumerate(texts)) + [(7, texts[9]), (8, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(substrings.remove_repeats(docs).collect()) == expected([(i, t.encode()) for i, t in rows])
+
+    buckets = 2
+    raw = docs.selectExpr("doc_id", "cast(text as binary) AS text")
+    blocks = substrings._blocks(raw, buckets, 50).toPandas()
+    shared = pd.concat([substrings._answer_shared(f) for _, f in blocks[blocks["bucket"] >= 0].groupby("bucket")])
+    met: dict[int, set] = {}
+    for _, frame in pd.concat([blocks[blocks["bucket"] == -1], shared]).groupby("block"):
+        sent = substrings._send_segments(buckets, 50)(frame)
+        for b, data in zip(sent["bucket"], sent["data"]):
+            if 0 <= b < buckets:
+                _, anchor, _, segments = substrings._unpacked(data)
+                for k, t in zip(anchor.tolist(), segments):
+                    met.setdefault(k, set()).add(t)
+    assert max(map(len, met.values())) < 40
