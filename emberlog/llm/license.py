@@ -2,11 +2,10 @@
 
 Each text becomes, in its own row, the list of its license words with their
 positions. Document frequencies of these words over the whole corpus (one
-small aggregation, at most one row per word of the vocabulary) rank them; the
-rarest words of a template that occur in a text are looked up in the
-template's postings, each posting proposes an alignment, and an alignment is
-accepted once the mandatory key phrase stands at its place and enough of the
-template's weight agrees. Nothing is shuffled but the counts.
+small aggregation, at most one row per word of the vocabulary) rank them; every
+place of the rarest word of a template's key phrase proposes an alignment, and
+an alignment is accepted once the mandatory key phrase stands at its place and
+enough of the template's weight agrees. Nothing is shuffled but the counts.
 """
 
 from __future__ import annotations
@@ -65,8 +64,6 @@ TEMPLATES = (
 
 VOCABULARY = sorted({w for t in TEMPLATES for w in t.words if w} | {w for _, p in BASE for w in p.split()})
 
-#: rarest words of a template that are looked up in a text
-LOOKUPS = 3
 #: share of a template's weight that has to agree
 MIN_COVER = 0.6
 
@@ -124,21 +121,18 @@ def _phrase_starts(phrase: str, weight: dict[str, float]) -> Column:
 def _template_score(t: Template, weight: dict[str, float]) -> Column:
     """Largest agreeing share of the template's weight over all alignments
     that have the key phrase in place; 0 without one."""
-    own = {w for w in t.words if w}
-    rarest = sorted(own, key=lambda w: (-weight[w], w))
+    # an accepted alignment has every word of the key phrase in place, so the
+    # places of its rarest word propose all of them
+    p = max(t.key_places, key=lambda j: (weight[t.words[j]], -j))
     hits = F.col("hits")
     present = F.transform(hits, lambda h: h["w"])
-    rare = F.slice(F.array_intersect(F.array(*map(F.lit, rarest)), present), 1, LOOKUPS)
-    postings = F.create_map(*[
-        x for w in rarest for x in (F.lit(w), F.array(*[F.lit(i) for i, y in enumerate(t.words) if y == w]))
-    ])
-    look = F.flatten(F.transform(
+    look = F.transform(
         F.filter(
             F.transform(hits, lambda h, k: F.struct(h["w"].alias("w"), h["i"].alias("i"), k.alias("k"))),
-            lambda x: F.array_contains(rare, x["w"]),
+            lambda x: x["w"] == t.words[p],
         ),
-        lambda x: F.transform(postings[x["w"]], lambda p: F.struct(x["k"].alias("k"), (x["i"] - p).alias("o"))),
-    ))
+        lambda x: F.struct(x["k"].alias("k"), (x["i"] - p).alias("o")),
+    )
     size = len(t.words)
     expected = F.array(*[F.lit(w).cast("string") for w in t.words])
     weights = F.array(*[F.lit(weight[w] if w else 0.0) for w in t.words])

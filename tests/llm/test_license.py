@@ -35,3 +35,14 @@ def test_query(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert license.scan_licenses(docs).count() == 0
+
+
+def test_rarest_words_elsewhere(spark):
+    """A passage without the template's rarest words, which stand far from it."""
+    some = "permission is hereby granted free of charge to any person obtaining a copy of this software"
+    far = "associated with files of documentation " + "plain prose " * 40
+    rows = [(0, far + some)] + [(i, " ".join(reversed(some.split()))) for i in range(1, 5)]
+    rows += [(i, "nothing of note") for i in range(5, 40)]
+    got = {r["doc_id"]: r for r in license.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["labels"] == "mit" and 0.6 < got[0]["score"] < 0.7
+    assert all(r["labels"] == "" and r["score"] == 0 for i, r in got.items() if i)
