@@ -1,8 +1,9 @@
 """Line dedup by deletion neighbourhoods over words.
 
 Lines are compared with single spaces between their words. A line goes if an
-earlier one is equal, or, from five words on, within one word edit of it (so
-that at least 0.8 of it agrees). Order is (document id, line number, hash of
+earlier one is equal, or, from five words on, within one word edit of it. The
+bound is one edit at every length, so it is 0.8 similarity at five words and
+stricter above: longer lines with two edits stay. Order is (document id, line number, hash of
 the text); all lines are judged on the input.
 
 Two lines within one edit become equal once a word is deleted from one or
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.common import stage, text_or_empty
 
-#: one edit in five words keeps a similarity of 0.8
+#: one edit keeps a similarity of 0.8 from five words on
 MIN_WORDS = 5
 
 
