@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import decontam, license, lines, packing, quality, sharding, simhash, substrings, toxicity, urls
+from emberlog.llm import (
+    decontam, divergence, license, lines, packing, quality, sharding, simhash, substrings, toxicity, urls,
+)
 from emberlog.llm.common import table
 
 
@@ -52,11 +54,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_license_scan, op3_url_filter, op4_sharding, op5_packing, op6_suffix_dedup, op7_simhash_dedup,
         op8_line_dedup, op9_quality_rules, op10_decontamination,
+        op13_source_divergence,
     )
 }
 
@@ -78,4 +85,24 @@ kept AS (SELECT pos.doc_id AS doc_id, count(*) AS m, string_agg(pos.n::VARCHAR,
 t AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY 1)
 SELECT doc_id, coalesce(t.n, 0) AS n_lines, coalesce(t.n, 0) - coalesce(m, 0) AS n_removed, coalesce(kept, '') AS kept_lines
 FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_source_divergence": r"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+w AS (SELECT lang, source, k, unnest(ws) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT k) AS docs FROM w GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY 1),
+g AS (SELECT lang, source, sum(n) FILTER (kept.term IS NOT NULL) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) LEFT JOIN (SELECT lang, term FROM kept) AS kept USING (lang, term) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (coalesce(g.n, 0) + 5 * l.v) AS p,
+    1 + 1000000000::HUGEINT * (kept.n + 5) // (l.n + 5 * l.v) AS q
+  FROM g JOIN l USING (lang) JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+pairs AS (SELECT lang, a.source, 'pair' AS part, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p AS a JOIN p AS b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL
+  UNION ALL SELECT a.lang, a.source, 'pair', b.source, 0 FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+  WHERE a.lang NOT IN (SELECT lang FROM l)),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 50""",
 }

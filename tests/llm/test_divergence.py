@@ -1,0 +1,101 @@
+import random
+import re
+from collections import Counter, defaultdict
+
+from brute import UPPER
+from conftest import FOLDER
+from oracle_check import canonical, connect
+
+from emberlog.llm import divergence as op, queries
+
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def brute(docs, min_docs=30, terms=50):
+    """docs: [(text, lang, source)]; {(lang, source, part, item, value, rank)}."""
+    counts, seen, out = defaultdict(Counter), defaultdict(Counter), set()
+    for text, lang, source in docs:
+        w = TERM.findall((text or "").translate(UPPER))
+        counts[lang or "", source or ""].update(w)
+        seen[lang or ""].update(set(w))
+    for lang in seen:
+        kept = {t for t, n in seen[lang].items() if n >= min_docs}
+        mine = {s: {t: n for t, n in c.items() if t in kept} for (x, s), c in counts.items() if x == lang}
+        whole = Counter()
+        for c in mine.values():
+            whole.update(c)
+
+        def p(c):
+            n = sum(c.values())
+            return {t: 1 + 10**9 * (c.get(t, 0) + 5) // (n + 5 * len(kept)) for t in kept}
+
+        of, q = {s: p(c) for s, c in mine.items()}, p(whole)
+        for s, c in mine.items():
+            pairs = [(sum(abs(of[s][t] - of[o][t]) for t in kept), o) for o in mine if o != s]
+            more = [(of[s][t] - q[t], t) for t in kept if c.get(t, 0) and of[s][t] > q[t]]
+            for part, rows, last in (("pair", pairs, len(pairs)), ("term", more, terms)):
+                rows.sort(key=lambda r: (-r[0], r[1].encode()))
+                out |= {(lang, s, part, i, v, k) for k, (v, i) in enumerate(rows[:last], 1)}
+    return out
+
+
+def check(spark, docs, **columns):
+    rows = [(i, t, g, s) for i, (t, g, s) in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = [tuple(r) for r in op.divergences(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(docs)
+    return set(got)
+
+
+def invented(rng, n, langs=("en", "de", None), sources=5):
+    words = ["Alpha", "beta", "it's", "é", "É", "x1y", "ÜBER", "日本", *[f"w{a}{b}" for a in "abcdefgh" for b in "xyz"]]
+    def text():
+        return rng.choice([" ", "\n", "--", "7"]).join(rng.choice(words[: rng.randrange(2, len(words))]) for _ in range(rng.randrange(0, 40)))
+    return [(text(), rng.choice(langs), f"s{rng.randrange(sources)}") for _ in range(n)]
+
+
+def test_against_brute_force(spark):
+    docs = invented(random.Random(1), 400)
+    docs += [("only here " * 4, "xx", "one")] * 29 + [("", "xx", "two")]  # one document short of being kept
+    docs += [("alone", "yy", "s")] * 30  # one source
+    docs += [(None, None, None), ("", "", ""), ("...", "fr", "a"), (None, "fr", "b")]
+    got = check(spark, docs)
+    assert {r[2:5] for r in got if r[0] == "xx"} == {("pair", "two", 0), ("pair", "one", 0)}
+
+
+def test_ties_repeats_and_long_texts(spark):
+    docs = [("b a c " * 3, "en", s) for s in "pq" for _ in range(20)] + [("z " * 200_000, "en", "r")] * 2 + [("z", "en", "r")] * 30
+    check(spark, docs)
+
+
+def test_blocks_and_shards_are_the_same(spark, monkeypatch):
+    """Many small shards, blocks and flushes give what one gives."""
+    docs = invented(random.Random(3), 600, ("en",), 9)
+    for name, value in (("SHARD_ROWS", 20), ("DENSE_TERMS", 3), ("BLOCK_SOURCES", 2), ("FLUSH_ROWS", 50), ("CHUNK_BYTES", 300)):
+        monkeypatch.setattr(op, name, value)
+    check(spark, docs)
+
+
+def test_probability_is_exact():
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [(c := rng.randrange(10 ** rng.randrange(1, 13)), c + rng.randrange(10 ** rng.randrange(1, 13)), rng.randrange(1, 10**9)) for _ in range(2000)]
+    got = op._probability(*[np.array(x, np.int64) for x in zip(*rows)])
+    assert got.tolist() == [1 + 10**9 * (c + 5) // (n + 5 * v) for c, n, v in rows]
+
+
+def test_empty_table_and_odd_columns(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    assert op.divergences(df).collect() == []
+    odd = spark.createDataFrame(
+        [("a b", "en", "s", 1, "x", 2), ("a", "en", "t", 1, "x", 2)], "text string, lang string, source string, n int, term string, shard int"
+    )
+    assert {tuple(r)[1:5] for r in op.divergences(odd).collect()} == {("s", "pair", "t", 0), ("t", "pair", "s", 0)}
+
+
+def test_query_and_its_sql(spark):
+    folder = FOLDER.replace("0.001", "0.01")
+    got = canonical(queries.op13_source_divergence(spark, folder).toPandas())
+    want = canonical(connect(folder).execute(queries.SQL["op13_source_divergence"]).df())
+    assert len(got) > 1000 and got.equals(want)
