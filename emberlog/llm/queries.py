@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import (
-    decontam, divergence, license, lines, packing, quality, sharding, simhash, substrings, toxicity, urls,
+    decontam, divergence, license, lines, minhash, packing, quality, sharding, simhash, substrings, toxicity, urls,
 )
 from emberlog.llm.common import table
 
@@ -54,6 +54,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_toxicity, op2_license_scan, op3_url_filter, op4_sharding, op5_packing, op6_suffix_dedup, op7_simhash_dedup,
         op8_line_dedup, op9_quality_rules, op10_decontamination,
-        op13_source_divergence,
+        op11_minhash_dedup, op13_source_divergence,
     )
 }
 
@@ -85,6 +89,19 @@ kept AS (SELECT pos.doc_id AS doc_id, count(*) AS m, string_agg(pos.n::VARCHAR,
 t AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY 1)
 SELECT doc_id, coalesce(t.n, 0) AS n_lines, coalesce(t.n, 0) - coalesce(m, 0) AS n_removed, coalesce(kept, '') AS kept_lines
 FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    # all pairs of documents that share a shingle, and what they reach
+    "op11_minhash_dedup": r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(greatest(1, len(ws) - 2)), lambda i: array_to_string(ws[i + 1:i + 3], ' '))) AS shingle
+  FROM d WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+linked AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s AS a JOIN s AS b USING (shingle)
+  JOIN n AS na ON na.doc_id = a.doc_id JOIN n AS nb ON nb.doc_id = b.doc_id
+  WHERE a.doc_id <> b.doc_id GROUP BY 1, 2, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
+reach AS (SELECT DISTINCT a, a AS b FROM linked UNION SELECT reach.a, linked.b FROM reach JOIN linked ON reach.b = linked.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, doc_id) AS component_id, coalesce(c.component_id, doc_id) = doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
     "op13_source_divergence": r"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
   FROM documents),
