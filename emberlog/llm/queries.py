@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import (
-    decontam, divergence, license, lines, minhash, packing, quality, sharding, simhash, substrings, toxicity, urls,
+    decontam, divergence, license, lines, minhash, packing, prefixes, quality, sharding, simhash, substrings, toxicity, urls,
 )
 from emberlog.llm.common import table
 
@@ -58,6 +58,10 @@ def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_toxicity, op2_license_scan, op3_url_filter, op4_sharding, op5_packing, op6_suffix_dedup, op7_simhash_dedup,
         op8_line_dedup, op9_quality_rules, op10_decontamination,
-        op11_minhash_dedup, op13_source_divergence,
+        op11_minhash_dedup, op12_conversation_trie, op13_source_divergence,
     )
 }
 
@@ -102,6 +106,24 @@ reach AS (SELECT DISTINCT a, a AS b FROM linked UNION SELECT reach.a, linked.b F
 c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, doc_id) AS component_id, coalesce(c.component_id, doc_id) = doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    # every path as a list of its turns
+    "op12_conversation_trie": r"""WITH own AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS turns,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda x, b: list_reduce(list_concat([xor(x, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 4 AS h
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+seqs AS (SELECT o.conv_id, list_concat(coalesce(f.turns[1:o.h], []), o.turns[o.h + 1:]) AS turns
+  FROM own AS o LEFT JOIN own AS f ON f.conv_id = o.conv_id - o.conv_id % 20),
+paths AS (SELECT conv_id, d, turns[1:d] AS path, len(turns) = d AS ends FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM seqs)),
+nodes AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(path[d].text, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM paths GROUP BY path, d),
+kids AS (SELECT path[1:d - 1] AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+tree AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)),
+sums AS (SELECT path[1:k] AS path, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(d + 1)) AS k FROM tree) GROUP BY 1)
+SELECT t.conv_id, t.d AS depth, p.conv_id AS parent_conv_id, t.n_convs, t.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, t.ends_sha256
+FROM tree AS t JOIN sums AS s USING (path) LEFT JOIN nodes AS p ON t.d > 0 AND p.path = t.path[1:t.d - 1]""",
     "op13_source_divergence": r"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
   FROM documents),
