@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlog.session import stage
 
-__all__ = ["SPACE", "ceil_div", "each_word", "numbered", "prefix_sums", "stage", "table", "text_or_empty"]
+__all__ = ["SPACE", "ceil_div", "each_word", "numbered", "others_aside", "prefix_sums", "stage", "table", "text_or_empty"]
 
 #: ASCII white space as the word rules of the operators name it
 SPACE = r"[\x20\x09-\x0D]+"
@@ -29,6 +32,27 @@ def each_word(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
+def others_aside(*needed: str) -> Callable:
+    """For a step from documents to documents: it sees the ``needed`` columns,
+    and all others as one, so that these may have any name. The result has the
+    columns of the input again."""
+
+    def of(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(step)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            names = docs.columns
+            others = [c for c in names if c not in needed]
+            if others:
+                row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in others]).alias("__row")
+                docs = docs.select(*[c for c in names if c in needed], row)
+            out = step(docs, *args, **options)
+            return out.select(*[F.col("__row").getField(c).alias(c) if c in others else F.col(c) for c in names])
+
+        return run
+
+    return of
+
+
 def ceil_div(n: int, by: int) -> int:
     return max(1, -(-n // by))
 

@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import ceil_div
+from emberlog.llm.common import ceil_div, others_aside
 
 # workers need not be able to import this module
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -302,6 +302,7 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     )
 
 
+@others_aside("doc_id", "text")
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, with their own columns."""
     return find_leaks(docs, benchmark, out="__leaks").where(F.size("__leaks") == 0).select(*docs.columns)

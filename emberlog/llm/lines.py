@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import stage, text_or_empty
+from emberlog.llm.common import others_aside, stage, text_or_empty
 
 #: one edit keeps a similarity of 0.8 from five words on
 MIN_WORDS = 5
@@ -175,6 +175,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     )
 
 
+@others_aside("doc_id", "text", "n_chars")
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """Documents without the lines that repeat earlier ones. Lines without a
     word stay; a document that had words and keeps none goes. ``n_chars``

@@ -285,11 +285,11 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
         nodes.append(found.withColumn("depth", F.col("depth") + level * SEGMENT))
 
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
-    root = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n")).where("n > 0")
-    if heads is None:
-        root = root.withColumns({"children": zero, "leaves": F.lit(1).cast("long"), "saved": zero})
-    else:  # of the first level, which has one head
-        root = root.join(heads.select(*_SUMS), F.lit(True), "left")
+    root = convs.select("conv_id", F.lit(1).cast("long").alias("n"), *[zero.alias(x) for x in _SUMS])
+    if heads is not None:  # of the first level, which has one head
+        root = root.union(heads.select(none, zero, *_SUMS))
+    root = root.agg(F.min("conv_id").alias("conv_id"), *[F.sum(x).alias(x) for x in ("n", *_SUMS)]).where("n > 0")
+    root = root.withColumn("leaves", F.greatest("leaves", F.lit(1).cast("long")))
     tree = root.select(zero.alias("id1"), zero.alias("id2"), none.alias("p1"), none.alias("p2"), F.lit(0).alias("depth"), "conv_id", "n", *_SUMS)
     for found in nodes:
         tree = tree.union(found)

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import SPACE, each_word, stage, text_or_empty
+from emberlog.llm.common import SPACE, each_word, others_aside, stage, text_or_empty
 
 #: symbols whose density marks junk
 SYMBOLS = r"[#*$%&|<>]"
@@ -279,6 +279,7 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+@others_aside("doc_id", "text")
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
     # narrow rows, so that no text is shuffled for the labels

@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import stage, text_or_empty
+from emberlog.llm.common import others_aside, stage, text_or_empty
 from emberlog.llm.graph import components
 
 # workers need not be able to import this module
@@ -125,6 +125,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     )
 
 
+@others_aside("doc_id", "text")
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One document of each component, with its own columns: the one with the
     smallest id, rows without an id last; of different texts under that id the

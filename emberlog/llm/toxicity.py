@@ -200,7 +200,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     The model is fitted on at most SAMPLE_ROWS labelled documents, those with
     the smallest hash of their id, none of them with crc32(id) mod 3 = 1.
-    Several labels of a document count as the highest; null labels as none.
+    Several labels of a document, or of equal texts, count as the highest; null
+    labels as none.
     Without a toxic label the lexicon is empty and all rows score the base
     rate. Null texts count as empty and score like texts without a hit.
     Repeated rows and ids are scored one by one.
@@ -213,7 +214,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     )
     # at most SAMPLE_ROWS rows of two numbers: small enough to send everywhere
-    sample = stage(rows.where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").dropDuplicates(["text"]))
+    sample = stage(
+        rows.where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    )
     pos, n = sample.agg(F.sum("toxic"), F.count("*")).first()
     pos, neg = pos or 0, n - (pos or 0)
     weights, excused = {}, []

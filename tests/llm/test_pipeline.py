@@ -3,6 +3,7 @@ from collections import Counter
 import corpus_pipeline
 from brute import groups, held_out, kept_lines, leaks, near, simhash, stats, words
 from conftest import FOLDER
+from pyspark.sql import functions as F
 from test_packing import check, ids_of
 
 from emberlog.llm import decontam
@@ -59,3 +60,18 @@ def test_stages_against_brute_force(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, FOLDER).collect()
     assert rows and {"doc_id", "start", "length", "sequence_id"} <= set(rows[0].asDict())
+
+
+def test_columns_of_any_name(spark):
+    """Names that the stages use themselves are columns like others."""
+    odd = ["id", "key", "kept", "rest", "__id", "__key", "__h", "__g", "__gone_id", "__q", "__q_w", "__q_lines", "__q_row", "__leaks",
+           "leaks", "fp", "bad", "a.b", "a`b", "__row"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    docs = docs.select("lang", *[F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in odd], "doc_id", "n_chars", "text", "source")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        plain = step(spark, docs.select("doc_id", "text"), FOLDER)
+        out = step(spark, docs, FOLDER)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted(map(tuple, plain.collect())), name
+        assert all(r[c] == f"{c} {r['doc_id']}" for r in rows for c in odd), name

@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from brute import held_out
 
@@ -52,3 +55,47 @@ def test_nothing_to_learn(spark, toxic):
     rows = toxicity.score_toxicity(docs, none).collect()
     assert len(rows) == 600 and {r["score"] for r in rows} == {0.0} if toxic is None else {r["predicted"] for r in rows} == {0}
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_order_of_rows_does_not_count(spark):
+    """Equal texts with different labels, in any order and partitioning."""
+    rng = random.Random(3)
+    rows = [(i, f"{'scum' if i % 3 == 0 else 'nice'} words {i % 300}") for i in range(900)]
+    marks = [(i, int(i % 3 == 0 and i // 300 == i % 2)) for i in range(900)]
+    found = []
+    for parts in (1, 7):
+        rng.shuffle(rows)
+        rng.shuffle(marks)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        labels = spark.createDataFrame(marks, "doc_id long, toxic int").repartition(parts)
+        found.append({r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels).collect()})
+    assert found[0] == found[1] and len(set(found[0].values())) > 1
+
+
+def test_matcher_against_plain_search(spark):
+    """Every start of a word, every entry, every exception, one by one."""
+    weights = {"scum": 2.0, "tras*": 1.0, "trash": 3.0, "id*": 0.5, "l": 0.25, "scu*": 4.0}
+    excused = ["trash can", "nice scum", "scum of earth"]
+
+    def plain(text):
+        low = toxicity.fold(text or "")
+        end_of = lambda e: e == len(low) or not low[e].isalpha()
+        starts = [i for i in range(len(low)) if not i or not low[i - 1].isalpha()]
+        free = [(i, i + len(p)) for i in starts for p in excused if low.startswith(p, i) and end_of(i + len(p))]
+        best = {}
+        for i in starts:
+            for term, weight in weights.items():
+                body = term.rstrip("*")
+                if low.startswith(body, i) and end_of(i + len(body)) != term.endswith("*"):
+                    best[i] = max(best.get(i, (0, 0)), (weight, i + len(body)))
+        hits = [w for i, (w, e) in best.items() if not any(a <= i and e <= b for a, b in free)]
+        return sum(hits) / math.log2(2 + low.count(" ") + low.count("\n")), len(hits)
+
+    rng = random.Random(8)
+    parts = ["scum", "trash", "trashy", "can", "nice", "1d10t", "tra5h", "ѕcum", "scums", "of", "earth", "l", "rascum", "é", "-", "\n", ""]
+    texts = [rng.choice([" ", "", "  ", "\n"]).join(rng.choices(parts, k=rng.randrange(12))) for _ in range(400)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["raw"], r["hits"]) for r in toxicity.raw_scores(docs, weights, excused, ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        raw, hits = plain(t)
+        assert got[i][1] == hits and abs(got[i][0] - raw) < 1e-9, (t, got[i], raw, hits)
