@@ -446,6 +446,11 @@ def alert_throttle(spark, folder):
     return pat.throttle_alerts(event_logs(spark, folder))
 
 
+def alert_throttle_long(spark, folder):
+    """A gap of twelve hours, within which most fingerprints come again."""
+    return pat.throttle_alerts(event_logs(spark, folder), timedelta(hours=12))
+
+
 def _streamed(spark, logs, transform):
     base = f"{scratch_dir(spark)}/stream/{uuid.uuid4().hex}"
     logs.write.parquet(f"{base}/in")
@@ -684,6 +689,7 @@ QUERIES: dict[str, Query] = {
     "new_critical": new_critical,
     "doc_new_critical": doc_new_critical,
     "alert_throttle": alert_throttle,
+    "alert_throttle_long": alert_throttle_long,
     "stream_incident_counts": stream_incident_counts,
     "stream_new_critical": stream_new_critical,
     "stream_throttled_alerts": stream_throttled_alerts,

@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-import sys
 from datetime import timedelta
-from functools import reduce
-from operator import and_
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,17 +11,14 @@ from emberlog.functions.fingerprint import fingerprint
 from emberlog.functions.normalize import DEFAULT_PROFILE
 from emberlog.operators.incidents import incidents, with_template
 from emberlog.functions.windows import digest_bucket
+from emberlog.operators.throttle import THROTTLE, throttle_alerts  # noqa: F401
 from emberlog.schema import INCIDENT_KEY
-from emberlog.session import stage
 
-# workers need not be able to import this module
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed values.
 PATTERN_COUNT = 10
 PATTERN_HOSTS = 2
 QUIET = timedelta(days=7)
-THROTTLE = timedelta(minutes=10)
 
 
 def patterns(incidents: DataFrame, min_count: int = PATTERN_COUNT, min_hosts: int = PATTERN_HOSTS) -> DataFrame:
@@ -139,64 +130,6 @@ def new_criticals(logs: DataFrame, quiet: timedelta = QUIET, profile=DEFAULT_PRO
     )
 
 
-def _throttle(gap_us: int):
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("us")
-        at = rows["us"].to_numpy()
-        chosen, i = [], 0
-        while i < len(at):
-            chosen.append(i)
-            i = int(np.searchsorted(at, at[i] + gap_us, side="left"))
-        out = rows.iloc[chosen].assign(records=np.add.reduceat(rows["records"].to_numpy(), chosen))
-        return out[["host", "app", "fingerprint", "us", "records"]]
-
-    return pick
-
-
-def _in_sessions(moments: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
-    """``moments`` (keys, us, records) with the number of their session: what
-    lies between two silences of at least ``gap_us``.
-
-    A silence that long spans the border of two buckets of that length, so
-    sessions follow from the first and last moment of every bucket."""
-    slot = F.floor(F.col("us") / F.lit(gap_us)).alias("slot")
-    ends = moments.groupBy(*keys, slot).agg(F.min("us").alias("first"), F.max("us").alias("last"))
-    order = Window.partitionBy(*keys).orderBy("slot")
-    opens = F.coalesce((F.col("first") - F.lag("last").over(order) >= gap_us).cast("int"), F.lit(0))
-    session = F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ends = ends.withColumn("opens", opens).withColumn("session", session)
-    named = ends.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("slot").alias("_slot"), "session")
-    rows = moments.withColumn("slot", slot)
-    same = reduce(and_, [rows[k].eqNullSafe(named[f"_{k}"]) for k in keys], rows["slot"] == named["_slot"])
-    return rows.join(named, same).drop("slot", "_slot", *[f"_{k}" for k in keys])
-
-
-def throttle_alerts(
-    logs: DataFrame, gap: timedelta = THROTTLE, level: str = "critical", profile=DEFAULT_PROFILE
-) -> DataFrame:
-    """At most one alert per fingerprint and ``gap``: the first record of
-    ``level`` raises one, and the next is raised by the first record at least
-    ``gap`` after it. Records without a time raise none.
-
-    The rule is sequential, but the first record after a silence of ``gap``
-    always alerts, so what lies between two silences is independent of the
-    rest: a fingerprint is grouped by these sessions, with one row per
-    distinct time.
-    """
-    keys = ["host", "app", "fingerprint"]
-    gap_us = max(1, gap // timedelta(microseconds=1))
-    moments = (
-        with_template(logs.filter((F.col("level") == level) & F.col("event_time").isNotNull()), profile)
-        .groupBy(*INCIDENT_KEY, F.unix_micros(F.col("event_time").cast("timestamp")).alias("us"))
-        .agg(F.count("*").alias("records"))
-        .select("host", "app", fingerprint().alias("fingerprint"), "us", "records")
-    )
-    picked = _in_sessions(stage(moments), keys, gap_us).groupBy(*keys, "session").applyInPandas(
-        _throttle(gap_us), "host string, app string, fingerprint string, us long, records long",
-    )
-    return picked.select(*keys, F.timestamp_micros("us").cast("timestamp_ntz").alias("alert_at"), "records")
-
-
 def merge_history(history: DataFrame, current: DataFrame) -> DataFrame:
     """Upsert of the fingerprint history by a digest's incidents: one
     aggregation over both, no update in place. ``count_last`` is that of the

@@ -251,6 +251,8 @@ SELECT p.host, p.app, p.fingerprint, make_timestamp(p.s) AS alert_at, sum(n)::BI
 FROM spans p JOIN secs q ON p.fingerprint = q.fingerprint AND q.s >= p.s AND (p.until IS NULL OR q.s < p.until)
 GROUP BY p.host, p.app, p.fingerprint, p.s"""
 
+_THROTTLE_LONG = _THROTTLE.replace("a.s + 600000000", "a.s + 43200000000")
+
 SQL: dict[str, str] = {
     "read_jsonl": _with(LOGS) + f"SELECT {_LOG_COLS} FROM logs",
     "quarantine": "SELECT event_id FROM events WHERE event_type <> 'error'",
@@ -361,6 +363,7 @@ FROM (SELECT kind, id, turn, {_LINE} AS line FROM (SELECT 'd' AS kind, doc_id AS
     "new_critical": _with(*BASE, _seen("norm")) + _new_criticals(7),
     "doc_new_critical": _with(*DOC, _seen("norm")) + _new_criticals(1),
     "alert_throttle": "WITH RECURSIVE " + ",\n".join((LOGS, _norm("logs"))) + ",\n" + _THROTTLE,
+    "alert_throttle_long": "WITH RECURSIVE " + ",\n".join((LOGS, _norm("logs"))) + ",\n" + _THROTTLE_LONG,
     "stream_incident_counts": _with(*BASE) + f"""SELECT date_trunc('hour', event_time)::TIMESTAMP AS window_start, host, app,
   {_FP} AS fingerprint, level, count(*) AS cnt, min(event_time) AS first_seen, max(event_time) AS last_seen FROM norm
 GROUP BY date_trunc('hour', event_time), host, app, normalized_msg, level

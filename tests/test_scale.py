@@ -161,8 +161,7 @@ def test_no_cross_joins_and_no_python_in_batch_queries(spark):
             continue
         text = plan(query(spark, FOLDER))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
-        if name != "alert_throttle":
-            assert "Python" not in text and "Pandas" not in text, name
+        assert "Python" not in text and "Pandas" not in text, name
 
 
 def test_incident_plan(spark):
@@ -179,12 +178,40 @@ def test_incident_plan(spark):
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan(logs_window(spark, FOLDER))
 
 
-def test_throttle_groups_sessions(spark):
-    from conftest import FOLDER
-    from emberlog.catalog import alert_throttle
+def test_throttle_of_long_chains(spark):
+    """Thousands of alerts in a row, of one fingerprint that never pauses,
+    against the rule taken literally; equal slots, borders and silences too."""
+    import random
+
+    from emberlog.operators import throttle
 
-    text = plan(alert_throttle(spark, FOLDER))
-    assert "session" in text.split("FlatMapGroupsInPandas", 1)[1].split("\n", 1)[0]
+    rng = random.Random(6)
+    gap = 1000
+    times = {"hot": sorted(rng.sample(range(0, 3_000_000), 40_000)), "even": list(range(0, 200_000, 500)),
+             "border": [0, 999, 1000, 1001, 2000, 2999, 3001], "far": [5, 10_000, 10_999, 11_000, 90_000], "past": [-2500, -1500, -1, 0, 499]}
+    rows = [("h", "a", k, t, 1 + t % 3) for k, ts in times.items() for t in ts]
+    found = spark.createDataFrame(rows, "host string, app string, fingerprint string, us long, records long").repartition(7)
+    want = {}
+    for k, ts in times.items():
+        last = None
+        for t in ts:
+            if last is None or t >= last + gap:
+                last = t
+            want[k, last] = want.get((k, last), 0) + 1 + t % 3
+    got = {(r["fingerprint"], r["us"]): r["records"] for r in throttle.throttle_moments(found, timedelta(microseconds=gap)).collect()}
+    assert got == want and sum(k == "hot" for k, _ in want) > 2500
+
+
+def test_throttle_deals_a_hot_fingerprint(make_logs, spark):
+    """Moments are dealt by fingerprint and slot, so one fingerprint spans tasks."""
+    from emberlog.operators import throttle
+
+    logs = make_logs([{"event_time": T0 + timedelta(seconds=7 * i), "host": "h", "app": "a", "level": "critical", "msg": "x"} for i in range(5000)])
+    times = throttle.moments(logs).withColumn("slot", throttle._slot("us", 600_000_000))
+    text = plan(throttle.successors(times.select(*throttle.KEY, "us", "slot"), 600_000_000))
+    # the windows over moments have the slot in their key; those without it see one row per slot
+    by_moment = [x for x in text.split("Window ") if "at#" in x.split("\n")[0]]
+    assert by_moment and all("slot" in x.split("], [")[1 if x.startswith("[min") else 0] for x in by_moment)
 
 
 @pytest.mark.parametrize("gap,alerts", [(599.2, 1), (600.0, 2), (599.999999, 1)])
