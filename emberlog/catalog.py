@@ -194,7 +194,7 @@ def pending_windows(spark, folder):
 
 def new_fingerprints_antijoin(spark, folder):
     logs = _alerts(spark, folder)
-    history = pat.as_history(inc.incidents(_before(logs)))
+    history = inc.incidents(_before(logs))
     since = timestamp(MIDDLE - timedelta(days=7))
     return pat.new_fingerprints(inc.incidents(_after(logs)), history, since).select(
         "host", "app", "fingerprint", "cnt", "first_seen")
@@ -493,14 +493,22 @@ def recent_runs(spark, folder):
     return _without_nulls(ledger.recent_runs(_runs(spark, folder), 0))
 
 
+def _history(spark):
+    return history.FingerprintHistory(spark, f"{scratch_dir(spark)}/history/{uuid.uuid4().hex}")
+
+
 def fingerprint_history(spark, folder):
+    """Two digests, of which the second is delivered twice."""
     logs = _alerts(spark, folder)
-    return pat.merge_history(pat.as_history(inc.incidents(_before(logs))), inc.incidents(_after(logs)))
+    stored = _history(spark)
+    stored.update(inc.incidents(_before(logs)), Window(WINDOW.start, MIDDLE))
+    for _ in range(2):
+        stored.update(inc.incidents(_after(logs)), WINDOW)
+    return stored.current().drop("profile_version", "updated_at").withColumnRenamed("count_last_24h", "count_last")
 
 
 def retention(spark, folder):
-    history = pat.as_history(_incidents(spark, folder))
-    return pat.retained(history, timestamp(NOW), 10).select("host", "fingerprint", "last_seen")
+    return pat.retained(_incidents(spark, folder), timestamp(NOW), 10).select("host", "fingerprint", "last_seen")
 
 
 def retained_runs(spark, folder):
@@ -508,24 +516,24 @@ def retained_runs(spark, folder):
 
 
 def history_by_version(spark, folder):
-    """A table that holds two profiles, stored and read again."""
+    """A table that holds two profiles, folded and read again."""
     logs = _alerts(spark, folder)
-    empty = spark.createDataFrame([], history.HISTORY_COLUMNS)
-    half = Window(WINDOW.start, MIDDLE)
-    old = history.merged(empty, inc.incidents(_before(logs), EXTENDED_PROFILE), half, EXTENDED_PROFILE)
-    new = history.merged(empty, inc.incidents(_after(logs)), WINDOW)
-    stored = history.FingerprintHistory(spark, f"{scratch_dir(spark)}/history/{uuid.uuid4().hex}")
-    stored._write(old.unionByName(new))
+    stored = _history(spark)
+    stored.update(inc.incidents(_before(logs), EXTENDED_PROFILE), Window(WINDOW.start, MIDDLE), EXTENDED_PROFILE)
+    stored.update(inc.incidents(_after(logs)), WINDOW)
+    stored.compact()
     return stored.current().select("host", "app", "fingerprint", "first_seen", "last_seen", "count_total")
 
 
 def history_kept(spark, folder):
-    """Two digests, the second of which sweeps what the first alone has seen."""
+    """Two digests; what the first alone has seen is swept, and the second is
+    delivered once more after that."""
     logs = _alerts(spark, folder)
-    stored = history.FingerprintHistory(spark, f"{scratch_dir(spark)}/history/{uuid.uuid4().hex}")
+    stored = _history(spark)
     stored.update(inc.incidents(_before(logs)), Window(WINDOW.start, MIDDLE))
     stored.update(inc.incidents(_after(logs)), WINDOW)
     stored.sweep(NOW, 10)
+    stored.update(inc.incidents(_after(logs)), WINDOW)
     return stored.current().drop("profile_version", "sample_msg", "updated_at")
 
 

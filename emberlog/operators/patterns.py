@@ -130,41 +130,7 @@ def new_criticals(logs: DataFrame, quiet: timedelta = QUIET, profile=DEFAULT_PRO
     )
 
 
-def merge_history(history: DataFrame, current: DataFrame) -> DataFrame:
-    """Upsert of the fingerprint history by a digest's incidents: one
-    aggregation over both, no update in place. ``count_last`` is that of the
-    newest digest only."""
-    old = history.select(
-        "host", "app", "fingerprint", "first_seen", "last_seen", "count_total",
-        F.lit(0).cast("long").alias("count_last"), F.lit(0).alias("newer"), "sample_msg",
-    )
-    new = current.select(
-        "host", "app", "fingerprint", "first_seen", "last_seen", F.col("cnt").alias("count_total"),
-        F.col("cnt").alias("count_last"), F.lit(1).alias("newer"), F.col("normalized_msg").alias("sample_msg"),
-    )
-    return old.unionByName(new).groupBy("host", "app", "fingerprint").agg(
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
-        F.sum("count_total").alias("count_total"),
-        F.sum("count_last").alias("count_last"),
-        F.min_by("sample_msg", F.struct("newer", "first_seen", "sample_msg")).alias("sample_msg"),
-    )
-
-
-def as_history(incidents: DataFrame) -> DataFrame:
-    """History table of a first digest."""
-    return incidents.select(
-        "host", "app", "fingerprint", "first_seen", "last_seen", F.col("cnt").alias("count_total"),
-        F.col("cnt").alias("count_last"), F.col("normalized_msg").alias("sample_msg"),
-    )
-
-
 def retained(df: DataFrame, now: Column, days: int, column: str = "last_seen") -> DataFrame:
     """Rows still within the retention period; use it on the partition column
     of dated tables to drop whole days."""
     return df.filter(F.col(column) >= now - F.make_dt_interval(days=F.lit(days)))
-
-
-def history_of_version(history: DataFrame, version: int) -> DataFrame:
-    """A change of the normalisation profile invalidates older fingerprints."""
-    return history.filter(F.col("profile_version") == version)

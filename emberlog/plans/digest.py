@@ -6,7 +6,7 @@ import time
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.links import LinkTarget, all_hosts_expr, explore_link, host_expr, incident_expr, link_range
@@ -19,12 +19,12 @@ from emberlog.operators.ranking import top_incidents
 from emberlog.operators.totals import (
     app_totals, host_list, host_summary, top_app_per_host, with_labels, zero_filled,
 )
-from emberlog.plans.history import FingerprintHistory
-from emberlog.plans.ledger import RunLedger
+from emberlog.plans.history import HISTORY_DAYS, FingerprintHistory
+from emberlog.plans.ledger import RUN_DAYS, RunLedger
 from emberlog.plans.report import cover, report_bodies, report_lines
 from emberlog.schema import ALERT_LEVELS, MAX_EXAMPLES, NOISE_K, TOP_N
 from emberlog.session import stage
-from emberlog.sources.sinks import write_reports
+from emberlog.sources.sinks import REPORT_DAYS, sweep_reports, write_reports
 
 
 @dataclass(frozen=True)
@@ -107,6 +107,19 @@ def build_digest(
                   cover(hosts, window, cfg.tz, all_link, partial))
 
 
+def sweep(
+    spark: SparkSession, out: str, now: datetime, ledger: RunLedger | None = None, history: FingerprintHistory | None = None,
+    report_days: int = REPORT_DAYS, run_days: int = RUN_DAYS, history_days: int = HISTORY_DAYS,
+) -> None:
+    """Retention of all that digests leave: report files, delivered runs and
+    fingerprints not seen any more."""
+    sweep_reports(spark, f"{out}/reports", now, report_days)
+    if ledger is not None:
+        ledger.sweep(now, run_days)
+    if history is not None:
+        history.sweep(now, history_days)
+
+
 def run_digest(
     logs: DataFrame, window: Window, cfg: DigestConfig, out: str, ledger: RunLedger | None = None,
     errors: int = 0, history: FingerprintHistory | None = None,

@@ -2,7 +2,8 @@
 
 The ledger is an append-only table of events; a run is the fold of its events.
 Nothing is updated in place, so a writer that dies leaves the earlier state
-intact. There is one writer at a time.
+intact. Several jobs may begin the same window at once: an empty file named by
+the run is created by one of them only, which gets the new run.
 """
 
 from __future__ import annotations
@@ -14,8 +15,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.functions.windows import Window
+from emberlog.functions.windows import Window, timestamp
 from emberlog.schema import CYCLE_OUTCOMES, CYCLE_SCHEMA, LEDGER_SCHEMA
+from emberlog.session import stage
+from emberlog.sources.files import Folder
+
+# Fixed value.
+RUN_DAYS = 30
 
 
 def run_id_of(window_from: Column, window_to: Column) -> Column:
@@ -86,7 +92,7 @@ def partial_errors(cycles: DataFrame) -> DataFrame:
     return delivered.agg(F.coalesce(F.sum("errors"), F.lit(0)).alias("partial_errors"))
 
 
-def retained_runs(runs: DataFrame, now: Column, days: int = 30) -> DataFrame:
+def retained_runs(runs: DataFrame, now: Column, days: int = RUN_DAYS) -> DataFrame:
     """Delivered runs are kept for ``days``, all others for good."""
     old = (F.col("status") == "done") & (F.col("completed_at") < now - F.make_dt_interval(days=F.lit(days)))
     return runs.filter(~F.coalesce(old, F.lit(False)))
@@ -97,6 +103,8 @@ class RunLedger:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.table = Folder(spark, path)
+        self.claims = Folder(spark, f"{path}_claims")
 
     def _table(self, schema, path: str) -> DataFrame:
         try:
@@ -118,7 +126,7 @@ class RunLedger:
         now = datetime.now(timezone.utc).replace(tzinfo=None)
         row = (window.start, window.end, outcome, now, float(seconds), errors)
         cycles = self.spark.createDataFrame([row], CYCLE_SCHEMA)
-        cycles.coalesce(1).write.mode("append").parquet(f"{self.path}_cycles")
+        Folder(self.spark, f"{self.path}_cycles").append(cycles)
 
     def runs(self) -> DataFrame:
         return fold_runs(self.events())
@@ -126,7 +134,7 @@ class RunLedger:
     def _append(self, run_id, status, window=(None, None), cover_msg_id=None, files_sent=None, err=None):
         now = datetime.now(timezone.utc).replace(tzinfo=None)
         row = (run_id, *window, status, now, time.time_ns(), cover_msg_id, files_sent, err)
-        self.spark.createDataFrame([row], LEDGER_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+        self.table.append(self.spark.createDataFrame([row], LEDGER_SCHEMA))
 
     def begin(self, window: Window) -> tuple[str, str]:
         """Run id and action (skip, resume or new) for a window."""
@@ -134,9 +142,32 @@ class RunLedger:
             [(window.start, window.end)], "window_from timestamp_ntz, window_to timestamp_ntz"
         )
         row = begin_actions(candidate, self.runs()).first()
-        if row["action"] == "new":
-            self._append(row["run_id"], "started", (window.start, window.end))
-        return row["run_id"], row["action"]
+        run_id, action = row["run_id"], row["action"]
+        if action == "new":
+            if not self.claims.claim(run_id):
+                action = "resume"
+            # also after a lost claim: its owner may have died before this, and starting twice changes nothing
+            self._append(run_id, "started", (window.start, window.end))
+        return run_id, action
+
+    def sweep(self, now: datetime, days: int = RUN_DAYS) -> None:
+        """Remove the events of runs delivered more than ``days`` ago.
+
+        The rest is written beside what is there before that is removed; in
+        between events stand twice, which changes no run."""
+        before = [n for n in self.table.names() if n.startswith("part-")]
+        if not before:
+            return
+        events, runs = self.events(), self.runs()
+        kept = retained_runs(runs, timestamp(now), days).select("run_id")
+        old = [r["run_id"] for r in runs.join(kept, "run_id", "left_anti").select("run_id").collect()]
+        if not old:
+            return
+        self.table.append(stage(events.join(kept, "run_id", "left_semi")))
+        for name in before:
+            self.table.remove(name)
+        for run_id in old:
+            self.claims.remove(run_id)
 
     def mark_cover_sent(self, run_id: str, cover_msg_id: int) -> None:
         self._append(run_id, "cover_sent", cover_msg_id=cover_msg_id)

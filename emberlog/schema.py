@@ -38,8 +38,9 @@ CYCLE_SCHEMA = T.StructType(
     ]
 )
 
-# Grouping key of an incident.
+# Grouping key of an incident, and what names it without its template.
 INCIDENT_KEY = ("host", "app", "normalized_msg")
+HISTORY_KEY = ("host", "app", "fingerprint")
 
 # Fixed values.
 ALERT_LEVELS = ("error", "critical")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from emberlog.functions.links import LinkTarget
 from emberlog.functions.windows import Window
 from emberlog.functions.normalize import EXTENDED_PROFILE
-from emberlog.plans.digest import DigestConfig, build_digest, run_digest
+from emberlog.plans.digest import DigestConfig, build_digest, run_digest, sweep
 from emberlog.plans.history import FingerprintHistory
 from emberlog.plans.ledger import RunLedger
+from emberlog.sources.sinks import write_reports
 
 A = datetime(2025, 5, 1, 5)
 W = Window(A, A + timedelta(days=1))
@@ -116,14 +117,51 @@ def test_history_is_kept(spark, logs, tmp_path):
     digest = run_digest(logs, W, CFG, str(tmp_path / "out"), history=kept)
     first = {r["fingerprint"]: r for r in kept.current().collect()}
     assert len(first) == digest.incidents.count() and all(r["count_last_24h"] == r["count_total"] for r in first.values())
-    kept.update(digest.incidents.limit(1), W)
+    total = sum(r["count_total"] for r in first.values())
+    for _ in range(2):  # the window again, and once more
+        assert kept.update(digest.incidents, W)
+        assert sum(r["count_total"] for r in kept.current().collect()) == total
+    later = Window(W.end, W.end + timedelta(days=1))
+    untouched = sorted((tmp_path / "history/windows").glob(f"{W.end:%Y%m%d}*/*"))
+    assert kept.update(digest.incidents.limit(1), later) and kept.windows() == sorted(kept.windows()) and len(kept.windows()) == 2
+    assert untouched == sorted((tmp_path / "history/windows").glob(f"{W.end:%Y%m%d}*/*"))
     twice = sum(r["count_total"] == 2 * first[r["fingerprint"]]["count_total"] for r in kept.current().collect())
     assert twice == 1 and kept.current().filter("count_last_24h > 0").count() == 1
+    assert kept.update(digest.incidents.limit(0), later)  # a smaller second attempt leaves nothing of the first
+    assert sum(r["count_total"] for r in kept.current().collect()) == total and kept.current().filter("count_last_24h > 0").count() == 0
     assert kept.current(EXTENDED_PROFILE).count() == 0
+    before = sorted(map(tuple, kept.read().collect()))
     kept.sweep(W.end, 400)
-    assert kept.read().count() == len(first)
+    assert sorted(map(tuple, kept.read().collect())) == before and kept.windows() == []
+    assert not kept.update(digest.incidents, W) and sorted(map(tuple, kept.read().collect())) == before  # closed
     kept.sweep(W.end + timedelta(days=100))
-    assert kept.read().count() == 0 and len(list((tmp_path / "history").iterdir())) == 2
+    assert kept.read().count() == 0 and len(list((tmp_path / "history/base").iterdir())) == 1
+
+
+def test_half_written_history_is_not_seen(spark, logs, tmp_path):
+    kept = FingerprintHistory(spark, str(tmp_path / "history"))
+    digest = run_digest(logs, W, CFG, str(tmp_path / "out"), history=kept)
+    first = sorted(map(tuple, kept.read().collect()))
+    # an attempt that died has no mark of its end, nor has a base
+    name = kept._name(W)
+    digest.incidents.limit(1).write.parquet(str(tmp_path / f"history/windows/{name}/99999999999999999999"))
+    (tmp_path / f"history/windows/{name}/99999999999999999999/_SUCCESS").unlink()
+    digest.incidents.limit(1).write.parquet(str(tmp_path / "history/base/99999999999999999999/rows"))
+    assert sorted(map(tuple, kept.read().collect())) == first
+    assert kept.update(digest.incidents, W) and sorted(map(tuple, kept.read().collect())) == first
+
+
+def test_failed_run_counts_once(spark, logs, tmp_path, monkeypatch):
+    """A run that dies after the history has taken it up, and is resumed."""
+    kept, book = FingerprintHistory(spark, str(tmp_path / "history")), RunLedger(spark, str(tmp_path / "runs"))
+    update = kept.update
+    monkeypatch.setattr(kept, "update", lambda *a: (update(*a), 1 / 0))
+    with pytest.raises(ZeroDivisionError):
+        run_digest(logs, W, CFG, str(tmp_path / "out"), book, history=kept)
+    once = sorted(map(tuple, kept.read().collect()))
+    monkeypatch.undo()
+    assert run_digest(logs, W, CFG, str(tmp_path / "out"), book, history=kept) is not None
+    assert sorted(map(tuple, kept.read().collect())) == once
 
 
 def test_config_checks():
@@ -133,3 +171,32 @@ def test_config_checks():
             DigestConfig(**{"hosts": ("h",), "link": link, **bad})
     cfg = DigestConfig(("h",), link, noise_k=0, top_n=0, max_examples=0)
     assert (cfg.noise_k, cfg.top_n, cfg.max_examples) == (1, 20, 3)
+
+
+def test_sweep(spark, logs, tmp_path):
+    """Old reports, delivered runs and fingerprints go; what is open or newer stays."""
+    book, kept = RunLedger(spark, str(tmp_path / "runs")), FingerprintHistory(spark, str(tmp_path / "history"))
+    assert run_digest(logs, W, CFG, str(tmp_path / "out"), book, history=kept) is not None
+    open_run, _ = book.begin(Window(A - timedelta(days=9), A - timedelta(days=8)))
+    (tmp_path / "out/reports/notes").mkdir()
+    soon, late = datetime.now() + timedelta(days=3), datetime.now() + timedelta(days=40)
+    sweep(spark, str(tmp_path / "out"), W.end + timedelta(days=20), book, kept)
+    assert book.runs().count() == 2 and kept.read().count() == 5 and (tmp_path / "out/reports/report_date=2025-05-02").exists()
+    sweep(spark, str(tmp_path / "out"), soon, book, kept)
+    assert book.runs().count() == 2 and kept.read().count() == 0
+    assert [p.name for p in (tmp_path / "out/reports").iterdir() if not p.name.startswith(".")] == ["notes"]
+    sweep(spark, str(tmp_path / "out"), late, book, kept)
+    assert [r["run_id"] for r in book.runs().collect()] == [open_run]
+    assert book.begin(W)[1] == "new"  # forgotten, so it can run again
+
+
+def test_reports_are_replaced_in_place(spark, tmp_path):
+    def reports(body):
+        return spark.createDataFrame([("h", "2025-05-02", "h.md", body)], "host string, report_date string, file_name string, body string")
+
+    for body in ("first\n", "second, and longer\n", ""):
+        write_reports(reports(body), str(tmp_path / "r"))
+        files = [p for p in (tmp_path / "r").rglob("*") if p.is_file() and not p.name.startswith(".")]
+        assert [p.name for p in files] == ["h.md"] and files[0].read_text().strip() == body.strip()
+        # the checksum beside it is that of the new text
+        assert [r["value"] for r in spark.read.text(str(files[0])).collect()] == [body.strip()]

@@ -93,15 +93,16 @@ def test_large_messages(spark):
     assert row["cnt"] == 100 and len(row["normalized_msg"]) > 10_000
 
 
-def test_history_over_three_digests(spark):
+def test_history_over_three_digests(spark, tmp_path):
     def day(n, kinds):
         logs = generated(spark, kinds, msg="concat('kind ', char(97 + cast(id as int)))")
         return inc.incidents(logs.withColumn("event_time", F.col("event_time") + F.make_dt_interval(days=F.lit(n))))
 
-    history = pat.as_history(day(0, 3))
-    for n, kinds in ((1, 2), (2, 4)):
-        history = pat.merge_history(history, day(n, kinds))
-    got = sorted((r["count_total"], r["count_last"]) for r in history.collect())
+    stored = FingerprintHistory(spark, str(tmp_path / "history"))
+    for n, kinds in ((0, 3), (1, 2), (2, 4)):
+        stored.update(day(n, kinds), Window(T0 + timedelta(days=n - 1), T0 + timedelta(days=n)))
+    history = stored.current()
+    got = sorted((r["count_total"], r["count_last_24h"]) for r in history.collect())
     assert got == [(1, 1), (2, 1), (3, 1), (3, 1)]
     since = F.lit((T0 + timedelta(days=1)).isoformat(sep=" ")).cast("timestamp_ntz")
     assert pat.new_fingerprints(day(3, 6), history, since).count() == 2

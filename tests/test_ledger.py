@@ -131,3 +131,41 @@ def test_burn_rate(make_logs):
     # long share reaches 14.4 % when 18 of 60 minutes are half bad
     assert first == D + timedelta(minutes=60 + 17)
     assert not got[D + timedelta(minutes=59)]["slow_alert"]
+
+
+def test_two_jobs_begin_one_window(spark, tmp_path):
+    """Both see no run; one gets the new one, whichever is first."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    w = Window(datetime(2025, 5, 1), datetime(2025, 5, 2))
+    books = [ledger.RunLedger(spark, str(tmp_path / "runs")) for _ in range(4)]
+    gate = Barrier(len(books))
+
+    def begin(book):
+        claim = book.claims.claim
+
+        def late(*names):
+            gate.wait(60)  # all have read the ledger before any claims
+            return claim(*names)
+
+        book.claims.claim = late
+        return book.begin(w)
+
+    with ThreadPoolExecutor(len(books)) as pool:
+        got = list(pool.map(begin, books))
+    assert sorted(action for _, action in got) == ["new", "resume", "resume", "resume"] and len({i for i, _ in got}) == 1
+    assert [(r["run_id"], r["status"]) for r in ledger.RunLedger(spark, str(tmp_path / "runs")).runs().collect()] == [(got[0][0], "started")]
+
+
+def test_owner_of_a_claim_died(spark, tmp_path):
+    w = Window(datetime(2025, 5, 1), datetime(2025, 5, 2))
+    book = ledger.RunLedger(spark, str(tmp_path / "runs"))
+    append, book._append = book._append, lambda *a, **k: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        book.begin(w)
+    book._append = append
+    run_id, action = book.begin(w)
+    assert action == "resume" and book.runs().first()["run_id"] == run_id
+    book.finish(run_id, 1)
+    assert book.begin(w)[1] == "skip"
