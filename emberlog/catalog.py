@@ -25,7 +25,9 @@ from emberlog.schema import ALERT_LEVELS, LOG_SCHEMA, MAX_EXAMPLES
 from emberlog.session import scratch_dir, stage
 from emberlog.sources import jsonl
 from emberlog.sources.collect import union_sources
+from emberlog.sources.files import Folder
 from emberlog.sources.sinks import write_daily
+from emberlog.sources.store import RecordStore, write_records
 from emberlog.sources.tables import (
     conversation_logs, cycle_events, document_logs, event_logs, ledger_events, table,
 )
@@ -120,11 +122,60 @@ def _collected(spark, folder):
     })
 
 
-def union_of_sources(spark, folder):
-    return _collected(spark, folder).records.groupBy("host", "app", "level").agg(
+def _volumes(records):
+    return records.groupBy("host", "app", "level").agg(
         F.count("*").alias("records"), F.sum(F.octet_length("msg").cast("long")).alias("bytes"))
 
 
+def union_of_sources(spark, folder):
+    return _volumes(_collected(spark, folder).records)
+
+
+def _damaged(spark, folder):
+    """Records of three hosts as lines; the files of one are not what their
+    names say, which shows only when they are read."""
+    base = Folder(spark, f"{scratch_dir(spark)}/damaged/{uuid.uuid4().hex}")
+    logs = event_logs(spark, folder)
+    for host in ("h1", "h2", "h3"):
+        jsonl.as_jsonl(filters.by_host(logs, host)).write.text(base.at(host))
+    for part in base.names("h2"):
+        if part.startswith("part-"):
+            base.move(base.at("h2", part), "h2", f"{part}.gz")
+    return union_sources(spark, {h: lambda h=h: jsonl.read_jsonl(spark, base.at(h)).records for h in ("h1", "h2", "h3")})
+
+
+def damaged_source(spark, folder):
+    """What is left without the source that fails while it is read."""
+    return _damaged(spark, folder).attempt(lambda records: stage(_volumes(records)))
+
+
+def damaged_source_status(spark, folder):
+    sources = _damaged(spark, folder)
+    sources.attempt(lambda records: stage(_volumes(records)))
+    return sources.status.select("source", "failed")
+
+
+def _store(spark, folder):
+    path = f"{scratch_dir(spark)}/records/{uuid.uuid4().hex}"
+    write_records(event_logs(spark, folder), path)
+    return RecordStore(spark, path)
+
+
+def stored_records(spark, folder):
+    """Two hosts and two levels of some days, from their folders."""
+    return _store(spark, folder).select(digest_window_for("2024-01-11", ZONE), ("h2", "h4"), ALERT_LEVELS)
+
+
+def stored_stream(spark, folder):
+    """One stream of the whole time, by the filters of the files."""
+    logs = event_logs(spark, folder)
+    return _store(spark, folder).select(WINDOW, stream_id=logs.agg(F.min("stream_id")).first()[0])
+
+
+def stored_freshness(spark, folder):
+    return _store(spark, folder).freshness(NOW)
+
+
 def source_freshness(spark, folder):
     return stats.source_freshness(event_logs(spark, folder), NOW)
 
@@ -631,6 +682,11 @@ QUERIES: dict[str, Query] = {
     "read_jsonl": read_jsonl,
     "quarantine": quarantine,
     "union_sources": union_of_sources,
+    "damaged_source": damaged_source,
+    "damaged_source_status": damaged_source_status,
+    "stored_records": stored_records,
+    "stored_stream": stored_stream,
+    "stored_freshness": stored_freshness,
     "source_freshness": source_freshness,
     "source_status": source_status,
     "source_partial": source_partial,

@@ -262,6 +262,10 @@ GROUP BY host, app, level""",
     "source_freshness": _with(LOGS) + f"""SELECT host, max(event_time) AS last_seen,
   count(*) FILTER (event_time >= {NOW} - INTERVAL 1 HOUR) AS recent_records,
   count(*) FILTER (event_time >= {NOW} - INTERVAL 1 HOUR) > 0 AS is_fresh
+FROM logs WHERE event_time <= {NOW} GROUP BY host""",
+    "stored_freshness": _with(LOGS) + f"""SELECT host, max(event_time) AS last_seen,
+  count(*) FILTER (event_time >= {NOW} - INTERVAL 1 HOUR) AS recent_records,
+  count(*) FILTER (event_time >= {NOW} - INTERVAL 1 HOUR) > 0 AS is_fresh
 FROM logs WHERE event_time <= {NOW} GROUP BY host""",
     "logs_by_host": _with(LOGS) + f"SELECT {_LOG_COLS} FROM logs WHERE host = 'h2'",
     "logs_by_level": _with(LOGS, ALERTS) + f"SELECT {_LOG_COLS} FROM alerts",
@@ -440,6 +444,13 @@ FROM b WHERE target > p AND target <= c""",
             for nm, ln in (("fast_long", 60), ("fast_short", 5), ("slow_long", 360), ("slow_short", 30)))) + " FROM m)")
     + """SELECT *, fast_long > (1 - 0.99::DOUBLE) * 14.4::DOUBLE AND fast_short > (1 - 0.99::DOUBLE) * 14.4::DOUBLE AS fast_alert,
   slow_long > (1 - 0.99::DOUBLE) * 6.0::DOUBLE AND slow_short > (1 - 0.99::DOUBLE) * 6.0::DOUBLE AS slow_alert FROM s""",
+    "damaged_source": _with(LOGS) + """SELECT host, app, level, count(*) AS records, sum(strlen(msg))::BIGINT AS bytes
+FROM logs WHERE host IN ('h1', 'h3') GROUP BY host, app, level""",
+    "damaged_source_status": "SELECT * FROM (VALUES ('h1', false), ('h2', true), ('h3', false)) s(source, failed)",
+    "stored_records": _with(LOGS) + f"""SELECT {_LOG_COLS} FROM logs WHERE host IN ('h2', 'h4') AND level IN ('error', 'critical')
+AND event_time >= TIMESTAMP '2024-01-10 05:00:00' AND event_time < TIMESTAMP '2024-01-11 05:00:00'""",
+    "stored_stream": _with(LOGS) + f"""SELECT {_LOG_COLS} FROM logs WHERE stream_id = (SELECT min(stream_id) FROM logs)
+AND event_time >= TIMESTAMP '2024-01-01 05:00:00' AND event_time < TIMESTAMP '2024-01-31 05:00:00'""",
     "incident_browse": _with(*DAILY) + f"""SELECT window_start, host, app, fingerprint, cnt FROM inc
 WHERE host = 'h2' AND level = 'critical' AND contains(normalized_msg, '<ip>') AND window_start >= {NOW} - INTERVAL 10 DAY""",
 }

@@ -24,6 +24,7 @@ from emberlog.plans.ledger import RUN_DAYS, RunLedger
 from emberlog.plans.report import cover, report_bodies, report_lines
 from emberlog.schema import ALERT_LEVELS, MAX_EXAMPLES, NOISE_K, TOP_N
 from emberlog.session import stage
+from emberlog.sources.collect import Collected
 from emberlog.sources.sinks import REPORT_DAYS, sweep_reports, write_reports
 
 
@@ -121,18 +122,28 @@ def sweep(
 
 
 def run_digest(
-    logs: DataFrame, window: Window, cfg: DigestConfig, out: str, ledger: RunLedger | None = None,
+    logs: DataFrame | Collected, window: Window, cfg: DigestConfig, out: str, ledger: RunLedger | None = None,
     errors: int = 0, history: FingerprintHistory | None = None,
 ) -> Digest | None:
     """Build and write the digest of a window once. Returns None for a window
     that is already delivered; a failure is recorded and raised again.
 
-    ``errors`` is the number of sources that could not be read; a digest
-    without them is partial. Every call leaves its outcome among the cycles of
+    ``logs`` may be collected sources: one that fails on the way is left out
+    and the digest is made without it. ``errors`` is the number of sources that
+    could not be read; a digest without them is partial. Every call leaves its outcome among the cycles of
     the ledger. ``history`` takes up the incidents of a delivered digest.
     """
     began = time.monotonic()
 
+    known = errors
+
+    def deliver(records: DataFrame) -> Digest:
+        missing = known + (logs.failures() if isinstance(logs, Collected) else 0)
+        made = build_digest(records, window, cfg, datetime.now(timezone.utc), missing > 0)
+        write_reports(made.reports, f"{out}/reports")
+        made.cover.coalesce(1).write.mode("overwrite").parquet(f"{out}/cover/{window.end:%Y%m%dT%H%M}")
+        return made
+
     def outcome(kind: str) -> None:
         if ledger is not None:
             ledger.record_cycle(window, kind, time.monotonic() - began, errors)
@@ -144,9 +155,11 @@ def run_digest(
             outcome("skipped")
             return None
     try:
-        digest = build_digest(logs, window, cfg, datetime.now(timezone.utc), errors > 0)
-        write_reports(digest.reports, f"{out}/reports")
-        digest.cover.coalesce(1).write.mode("overwrite").parquet(f"{out}/cover/{window.end:%Y%m%dT%H%M}")
+        if isinstance(logs, Collected):
+            digest = logs.attempt(deliver)
+            errors += logs.failures()
+        else:
+            digest = deliver(logs)
         if ledger is not None:
             # the cover is known by the end of its window
             ledger.mark_cover_sent(run_id, int(window.end.replace(tzinfo=timezone.utc).timestamp()))

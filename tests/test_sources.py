@@ -112,8 +112,39 @@ def test_a_source_that_fails_while_it_is_read(spark, tmp_path):
     got = union_sources(spark, {
         n: (lambda n=n: jsonl.read_jsonl(spark, str(tmp_path / n)).records) for n in ("a.jsonl", "b.jsonl.gz")
     })
+    assert got.failures() == 0  # nothing was read yet
+    assert [r["host"] for r in got.attempt(lambda records: records.collect())] == ["a"]
     assert {r["source"]: r["failed"] for r in got.status.collect()} == {"a.jsonl": False, "b.jsonl.gz": True}
-    assert [r["host"] for r in got.records.collect()] == ["a"] and got.failures() == 1
+    assert got.failures() == 1 and "b.jsonl.gz" in got.errors["b.jsonl.gz"]
+    with pytest.raises(ZeroDivisionError):  # an error of the action is not that of a source
+        got.attempt(lambda records: 1 / 0)
+
+
+def test_filters_reach_the_scan_of_each_source(spark, make_logs, tmp_path):
+    for name in "ab":
+        make_logs([{"event_time": datetime(2025, 5, 1), "host": name, "level": "error", "msg": "x"}]).write.parquet(str(tmp_path / name))
+    got = union_sources(spark, {n: lambda n=n: spark.read.parquet(str(tmp_path / n)) for n in "ab"})
+    text = got.records.filter("level = 'error'").select("host")._jdf.queryExecution().toString()
+    assert text.count("EqualTo(level,error)") >= 2 and "msg" not in text.split("ReadSchema")[1]
+    assert got.records.count() == 2 and sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
+
+
+def test_digest_without_a_damaged_source(spark, tmp_path):
+    """The digest is made again without it, is partial, and one cycle is kept."""
+    from emberlog.functions.links import LinkTarget
+    from emberlog.functions.windows import Window
+    from emberlog.plans.digest import DigestConfig, run_digest
+    from emberlog.plans.ledger import RunLedger
+
+    line = '{"_time":"2025-05-01T10:00:00Z","_msg":"x","host":"%s","app":"a","level":"error"}\n'
+    (tmp_path / "a.jsonl").write_text((line % "a") * 3)
+    (tmp_path / "b.jsonl.gz").write_bytes(gzip.compress((line % "b").encode() * 9999)[:-90])
+    sources = union_sources(spark, {n: lambda n=n: jsonl.read_jsonl(spark, str(tmp_path / n)).records for n in ("a.jsonl", "b.jsonl.gz")})
+    book, w = RunLedger(spark, str(tmp_path / "runs")), Window(datetime(2025, 5, 1, 5), datetime(2025, 5, 2, 5))
+    digest = run_digest(sources, w, DigestConfig(("a", "b"), LinkTarget("https://x.example", 1, "u", "t")), str(tmp_path / "out"), book)
+    assert {r["host"]: r["total"] for r in digest.hosts.collect()} == {"a": 3, "b": 0}
+    assert "[partial-report]" in digest.cover.first()["body"] and book.runs().first()["status"] == "done"
+    assert [(r["outcome"], r["errors"]) for r in book.cycles().collect()] == [("partial", 1)]
 
 
 def test_only_a_newline_ends_a_line(spark, tmp_path):
