@@ -18,7 +18,8 @@ from emberlog.functions.fingerprint import fingerprint, level_rank, short_finger
 from emberlog.functions.normalize import DEFAULT_PROFILE, EXTENDED_PROFILE, Rule, normalize
 from emberlog.functions.windows import Window, digest_window_at, digest_window_for, timestamp
 from emberlog.operators import filters, incidents as inc, patterns as pat, ranking, stats, totals
-from emberlog.plans import history, ledger, metrics
+from emberlog.operators.search import TemplateIndex
+from emberlog.plans import history, ledger, metrics, rollups
 from emberlog.plans.digest import DigestConfig, build_digest
 from emberlog.plans.report import cover_rows
 from emberlog.schema import ALERT_LEVELS, LOG_SCHEMA, MAX_EXAMPLES
@@ -678,7 +679,51 @@ def incident_browse(spark, folder):
     ).select("window_start", "host", "app", "fingerprint", "cnt")
 
 
+def slo_latency_sketch(spark, folder):
+    """From daily sketches that are stored and read again."""
+    path = f"{scratch_dir(spark)}/latency/{uuid.uuid4().hex}"
+    cycles = cycle_events(spark, folder).filter(F.col("outcome").isin("ok", "partial"))
+    metrics.latency_sketches(cycles).write.parquet(path)
+    return metrics.sketched_quantile(spark.read.parquet(path))
+
+
+def _rollup(spark, folder):
+    path = f"{scratch_dir(spark)}/rollup/{uuid.uuid4().hex}"
+    rollups.write_rollup(rollups.daily_rollup(_alerts(spark, folder), tz=ZONE), path)
+    return pat.since_day(spark.read.parquet(path), NOW - timedelta(days=20))
+
+
+def rollup_streams(spark, folder):
+    return rollups.records_and_streams(_rollup(spark, folder), "host", "app")
+
+
+def rollup_templates(spark, folder):
+    return rollups.templates_per_day(_rollup(spark, folder), "host")
+
+
+def _index(spark, folder):
+    index = TemplateIndex(spark, f"{scratch_dir(spark)}/index/{uuid.uuid4().hex}")
+    daily = _daily(spark, folder)
+    # in two updates, of which the second brings the middle day again
+    index.update(daily.filter(F.col("window_start") <= timestamp(MIDDLE)))
+    index.update(daily.filter(F.col("window_start") > timestamp(MIDDLE - timedelta(days=1))))
+    return index
+
+
+def template_search(spark, folder):
+    return _index(spark, folder).search("модуле <", NOW - timedelta(days=20)).select("window_start", "host", "app", "fingerprint", "cnt")
+
+
+def template_search_short(spark, folder):
+    return _index(spark, folder).search(" <").select("window_start", "host", "app", "fingerprint", "cnt")
+
+
 QUERIES: dict[str, Query] = {
+    "slo_latency_sketch": slo_latency_sketch,
+    "rollup_streams": rollup_streams,
+    "rollup_templates": rollup_templates,
+    "template_search": template_search,
+    "template_search_short": template_search_short,
     "read_jsonl": read_jsonl,
     "quarantine": quarantine,
     "union_sources": union_of_sources,

@@ -451,6 +451,18 @@ FROM logs WHERE host IN ('h1', 'h3') GROUP BY host, app, level""",
 AND event_time >= TIMESTAMP '2024-01-10 05:00:00' AND event_time < TIMESTAMP '2024-01-11 05:00:00'""",
     "stored_stream": _with(LOGS) + f"""SELECT {_LOG_COLS} FROM logs WHERE stream_id = (SELECT min(stream_id) FROM logs)
 AND event_time >= TIMESTAMP '2024-01-01 05:00:00' AND event_time < TIMESTAMP '2024-01-31 05:00:00'""",
+    # exact quantiles and counts: the sketches hold all values at this size
+    "slo_latency_sketch": _with("c AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, value AS seconds FROM events WHERE event_type NOT IN ('error', 'view'))") + """SELECT d.day, count(*) AS cycles, quantile_disc(c.seconds, 0.95) AS quantile
+FROM (SELECT DISTINCT day FROM c) AS d JOIN c ON c.day <= d.day AND c.day > d.day - INTERVAL 7 DAY GROUP BY d.day""",
+    "rollup_streams": _with(*BASE) + f"""SELECT host, app, count(*) AS records, count(DISTINCT nullif(stream_id, '')) AS streams FROM norm
+WHERE event_time >= TIMESTAMP '2024-01-10 05:00:00' GROUP BY host, app""",
+    "rollup_templates": _with(*DAILY) + f"""SELECT host, window_start, count(DISTINCT normalized_msg) AS templates,
+  count(DISTINCT normalized_msg) FILTER (window_start = first) AS new_templates
+FROM (SELECT host, window_start, normalized_msg, min(window_start) OVER (PARTITION BY host, normalized_msg) AS first
+  FROM inc WHERE window_start >= TIMESTAMP '2024-01-10 05:00:00') GROUP BY host, window_start""",
+    "template_search": _with(*DAILY) + f"""SELECT window_start, host, app, fingerprint, cnt FROM inc
+WHERE contains(normalized_msg, 'модуле <') AND window_start >= TIMESTAMP '2024-01-10 00:00:00'""",
+    "template_search_short": _with(*DAILY) + "SELECT window_start, host, app, fingerprint, cnt FROM inc WHERE contains(normalized_msg, ' <')",
     "incident_browse": _with(*DAILY) + f"""SELECT window_start, host, app, fingerprint, cnt FROM inc
 WHERE host = 'h2' AND level = 'critical' AND contains(normalized_msg, '<ip>') AND window_start >= {NOW} - INTERVAL 10 DAY""",
 }
