@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -41,9 +42,32 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_PART = "_part"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+class Staged:
+    """A staged table in two parts that can be read, and given up, one by one."""
+
+    def __init__(self, df: DataFrame, first: str):
+        """``first``: the condition of the rows of the first part."""
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.path = _written(df.withColumn(_PART, F.expr(first).cast("int")), _PART)
+
+    def part(self, first: bool) -> DataFrame:
+        """Rows of one part; only its folder is listed and read."""
+        path = f"{self.path}/{_PART}={int(first)}"
+        name = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not name.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(name):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def drop(self, first: bool) -> None:
+        """Give up one part, once nothing that is still to be computed reads it."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{_PART}={int(first)}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the scratch area and read it back.
 
@@ -54,12 +78,16 @@ def stage(df: DataFrame) -> DataFrame:
     shuffle files behind it are of no more use once it is written, so Spark is
     asked to remove them then.
     """
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df))
+
+
+def _written(df: DataFrame, *by: str) -> str:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/stage/{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.select("*").write.parquet(path)
+        df.select("*").write.partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+    return path

@@ -161,3 +161,15 @@ def test_daily_table_is_pruned_by_day(spark, make_logs, tmp_path):
     one = spark.read.parquet(str(tmp_path / "d")).filter("day = '2025-05-02'")
     assert one.count() == 1
     assert "PartitionFilters: [isnotnull(day" in one._jdf.queryExecution().toString()
+
+
+def test_parts_of_a_staged_table(spark):
+    from emberlog.session import Staged
+
+    df = spark.range(100).withColumn("name", F.concat(F.lit("n"), "id"))
+    both = Staged(df, "id % 3 = 0")
+    one, two = both.part(True), both.part(False)
+    assert one.columns == ["id", "name"] and one.count() == 34 and two.count() == 66
+    both.drop(True)
+    assert both.part(True).count() == 0 and two.count() == 66
+    assert Staged(df.limit(0), "id > 3").part(False).count() == 0
