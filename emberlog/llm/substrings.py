@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import ceil_div, stage
+from emberlog.session import Staged
 
 # workers need not be able to import this module
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -603,12 +604,16 @@ def remove_repeats(
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = ceil_div(total, BUCKET_BYTES)
-    blocks = stage(_blocks(rows, buckets, size))
-    texts = blocks.where("bucket = -1")
-    shared = blocks.where("bucket >= 0").groupBy("bucket").applyInPandas(_answer_shared, _ROWS)
-    sent = stage(texts.union(shared).groupBy("block").applyInPandas(_send_segments(buckets, size), _ROWS))
-    owners = sent.where("bucket >= 0").groupBy("bucket").applyInPandas(_answer_owners(size, buckets), _ROWS)
-    whole = texts.union(sent.where("bucket = -2")).union(owners)
+    # what a step alone has read is given up after it, so that only the texts,
+    # their marks and the narrow answers are there at the end
+    blocks = Staged(_blocks(rows, buckets, size), "bucket >= 0")
+    texts = blocks.part(False)
+    shared = blocks.part(True).groupBy("bucket").applyInPandas(_answer_shared, _ROWS)
+    sent = Staged(texts.union(shared).groupBy("block").applyInPandas(_send_segments(buckets, size), _ROWS), "bucket >= 0")
+    blocks.drop(True)
+    owners = stage(sent.part(True).groupBy("bucket").applyInPandas(_answer_owners(size, buckets), _ROWS))
+    sent.drop(True)
+    whole = texts.union(sent.part(False)).union(owners)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     out = whole.groupBy("block").applyInPandas(_cut(size, with_text), schema + (", kept binary" if with_text else ""))
     return out.withColumnRenamed("doc_id", id_col)
