@@ -608,9 +608,9 @@ def remove_repeats(
     # their marks and the narrow answers are there at the end
     blocks = Staged(_blocks(rows, buckets, size), "bucket >= 0")
     texts = blocks.part(False)
-    shared = blocks.part(True).groupBy("bucket").applyInPandas(_answer_shared, _ROWS)
-    sent = Staged(texts.union(shared).groupBy("block").applyInPandas(_send_segments(buckets, size), _ROWS), "bucket >= 0")
+    shared = stage(blocks.part(True).groupBy("bucket").applyInPandas(_answer_shared, _ROWS))
     blocks.drop(True)
+    sent = Staged(texts.union(shared).groupBy("block").applyInPandas(_send_segments(buckets, size), _ROWS), "bucket >= 0")
     owners = stage(sent.part(True).groupBy("bucket").applyInPandas(_answer_owners(size, buckets), _ROWS))
     sent.drop(True)
     whole = texts.union(sent.part(False)).union(owners)
