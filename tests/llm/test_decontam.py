@@ -1,3 +1,4 @@
+import pytest
 import random
 
 import numpy as np
@@ -116,3 +117,26 @@ def test_item_without_one_word(spark):
     assert [r["doc_id"] for r in decontam.drop_leaks(docs, bench).collect()] == [2]
     report = {r["doc_id"]: r for r in decontam.leak_report(docs, bench).collect()}
     assert (report[1]["items"], report[1]["least_distance"], report[1]["first_start"]) == ([7], 1, 0)
+
+
+@pytest.mark.parametrize("n", [5, 15, 30, 45, 59])
+def test_recall_of_the_walks(monkeypatch, n):
+    """Against the search that compares every place: passages with as many
+    edits as allowed, inside documents and at their ends."""
+    rng = random.Random(n)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(k, [rng.choice(vocabulary) for _ in range(n)]) for k in range(60)]
+    texts = []
+    for _, body in items * 3:
+        w = list(body)
+        for _ in range(decontam.allowed(n)):
+            i = rng.randrange(len(w))
+            w[i : i + rng.randrange(2)] = [rng.choice([*vocabulary, "other"])] * rng.randrange(2)
+        ends = [["x"] * rng.randrange(30) for _ in range(2)]
+        texts.append([*ends[0], *w, *ends[1]])
+    found = decontam.Index(items).leaks(texts)
+    monkeypatch.setattr(decontam.Walks, "alike", lambda self, places, low, high, of: np.ones(len(places), bool))
+    want = decontam.Index(items).leaks(texts)
+    total = sum(map(len, want))
+    lost = sum(x not in f for f, w in zip(found, want) for x in w)
+    assert total >= 170 and lost <= 0.01 * total and all(x in w for f, w in zip(found, want) for x in f)
