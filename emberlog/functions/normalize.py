@@ -156,7 +156,7 @@ def compile_profile(rules) -> list[tuple[str, str, tuple[str, ...]]]:
             groups = len(names) + len(re.findall(r"(?<!\\)\((?!\?)", rule.pattern))
             out.append((java, java_replacement(rule.replace, groups, names), rule.needs))
         except ValueError as e:
-            raise ValueError(f"rule #{i} ({rule.name!r}): {e}") from e
+            raise ValueError(f"profile entry {rule.name!r}, number {i + 1}: {e}") from e
     return out
 
 
