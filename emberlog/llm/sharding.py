@@ -2,30 +2,37 @@
 
 Documents with equal texts are linked. Each group of them is a star around its
 text, so a document's neighbours are counted by (text, shard) and never listed
-in pairs. Every round, the documents of a group move to the shard that holds
-most of the group and has room left, as far as the quotas allow; what stays
-apart in the end is cut. Documents without a link then fill the shards up, so
-that row counts differ by one at most (law ``rows``).
-
-The state of the propagation is one row per (text, shard): its size follows
-the linked texts, not the copies. Only tables of shards x buckets, which do
-not grow with the input, reach the driver.
+in pairs. Every round, the documents of a group want to move to a shard that
+holds more of the group. Moves from one shard to another are admitted against
+moves the other way, along cycles of shards, and into free room, so that full
+shards exchange members; what stays apart in the end is cut. Documents without
+a link then fill the shards up, so that row counts differ by one at most (law
+``rows``).
+
+The state of the propagation is one row per text whose group is still apart,
+with an entry per shard that holds a part of it: it follows the linked texts,
+not the copies. Only tables of shards x shards x powers of two, which do not
+grow with the input, reach the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import Counter
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import numbered, prefix_sums, stage, text_or_empty
 
 SHARDS = 24
-#: rounds at most; nearly all groups settle in two, one larger than a shard fills one a round
-ROUNDS = 16
-#: parts into which the demand of one size for a shard falls by hash
-BUCKETS = 64
-#: rounds without a move after which the propagation ends
-PATIENCE = 3
+#: rounds on end without progress after which the propagation ends; each of
+#: them draws ties anew
+PATIENCE = 4
+#: groups that fill less than this part of a shard may also move to smaller parts
+SMALL = 8
+#: growth of the sum of the squared parts that counts as none
+HARDLY = 1e-4
 
 
 def quotas(total: int, shards: int) -> list[int]:
@@ -33,71 +40,156 @@ def quotas(total: int, shards: int) -> list[int]:
     return [total // shards + (s < total % shards) for s in range(shards)]
 
 
-def _admitted(demand: DataFrame, room: list[int], turn: int = 0) -> tuple[DataFrame | None, bool]:
-    """Moves (key, source, target, m, ok) cut to the room of their targets, or
-    None if none is possible, and whether any was wanted.
-
-    Demand falls into buckets per target, by size (a power of two) and hash;
-    buckets are admitted in order, the largest sizes first, while they fit,
-    the first that does not in proportion."""
-    size = F.floor(F.log2(F.col("m").cast("double"))).cast("long")
-    rows = demand.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(BUCKETS)) - size * BUCKETS)
-    wanted = rows.groupBy("target", "bucket").agg(F.sum("m").alias("m")).collect()
-    shares, left = [], list(room)
-    for r in sorted(wanted, key=lambda r: (r["target"], r["bucket"])):
-        take = min(r["m"], left[r["target"]])
-        left[r["target"]] = left[r["target"]] - take if take == r["m"] else 0
-        if take:
-            shares.append((r["target"], r["bucket"], take, r["m"]))
-    if not shares:
-        return None, bool(wanted)
-    spark = demand.sparkSession
-    dealt = rows.join(spark.createDataFrame(shares, "target int, bucket long, take long, of long"), ["target", "bucket"])
-    whole = dealt.where("take = of").withColumn("ok", F.col("m"))
-    # one bucket per target: the shares of its rows are differences of running floors
-    upto = Window.partitionBy("target", "bucket").orderBy("key", "source").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum("m").over(upto).cast("decimal(19,0)")
-    part = dealt.where("take < of").withColumn(
-        "ok", (F.floor(end * F.col("take") / F.col("of")) - F.floor((end - F.col("m")) * F.col("take") / F.col("of"))).cast("long")
+def _cycle(left: Counter, shards: int) -> list[int] | None:
+    """Shards along which demand runs in a circle, the first one also last."""
+    after = {s: [t for t in range(shards) if left[s, t] > 0] for s in range(shards)}
+    for start in range(shards):
+        came, queue = {start: -1}, [start]
+        for at in queue:
+            for t in after[at]:
+                if t == start:
+                    path = [at]
+                    while came[path[-1]] >= 0:
+                        path.append(came[path[-1]])
+                    return [*reversed(path), start]
+                if t not in came:
+                    came[t] = at
+                    queue.append(t)
+    return None
+
+
+def flows(demand: dict[tuple[int, int], int], room: list[int]) -> Counter:
+    """How much of the demand (source, target) is met, with no shard above its
+    room: circles first, which leave all counts as they are, then moves into
+    room, each of which makes room where it came from."""
+    left, met, room = Counter(demand), Counter(), list(room)
+    while path := _cycle(left, len(room)):
+        pairs = list(zip(path, path[1:]))
+        x = min(left[e] for e in pairs)
+        for e in pairs:
+            left[e] -= x
+            met[e] += x
+    # no circle is left, so room travels against the demand and comes to rest
+    while moves := [(s, t) for (s, t), m in left.items() if m > 0 and room[t] > 0]:
+        for s, t in moves:
+            x = min(left[s, t], room[t])
+            left[s, t] -= x
+            met[s, t] += x
+            room[t] -= x
+            room[s] += x
+    return met
+
+
+def _wanted(state: DataFrame, quota: list[int], room: list[int], turn: int) -> DataFrame:
+    """Moves (key, source, target, m, size) that groups want.
+
+    In even rounds members go for the largest part of their group (by members,
+    ties by a hash). The largest part may stand in a full shard that has
+    nothing to give, so in odd rounds a group goes for its largest part in a
+    shard that has room for all the others, or, where none has, members go for
+    any part by hash; of a group that is not small beside a shard only upwards,
+    since cutting such a move would undo what has come together."""
+
+    def of(values: list[int], shard: Column) -> Column:
+        return F.get(F.array(*[F.lit(v).cast("long") for v in values]), shard)
+
+    ranked = F.transform("parts", lambda c: F.struct(
+        c["n"].alias("n"), F.xxhash64(F.col("key"), c["shard"], F.lit(turn)).alias("tie"), c["shard"].alias("shard")
+    ))
+    rows = state.select("key", ranked.alias("parts")).withColumn(
+        "total", F.aggregate("parts", F.lit(0).cast("long"), lambda s, c: s + c["n"])
     )
-    return whole.unionByName(part).drop("bucket", "take", "of"), True
+    fits = F.array_max(F.filter("parts", lambda o: F.col("total") - o["n"] <= of(room, o["shard"])))
+    rows = rows.withColumn("fits", fits if turn % 2 else F.lit(None).cast("struct<n:bigint,tie:bigint,shard:int>"))
 
+    def target(c: Column) -> Column:
+        above = F.filter("parts", lambda o: (o > c) & (o["n"] < of(quota, o["shard"])))
+        if turn % 2:
+            below = F.filter("parts", lambda o: o["tie"] > c["tie"])
+            above = F.when(F.col("total") * SMALL <= min(quota), below).otherwise(above)
+            above = F.transform(above, lambda o: F.struct(o["tie"].alias("tie"), o["shard"].alias("shard")))
+        return F.when(F.col("fits").isNull(), F.array_max(above)["shard"]).when(c != F.col("fits"), F.col("fits.shard"))
 
-def _moved(held: DataFrame, moves: DataFrame) -> DataFrame:
-    change = moves.select("key", F.explode(F.array(
-        F.struct(F.col("target").alias("shard"), F.col("ok").alias("n")),
-        F.struct(F.col("source").alias("shard"), (-F.col("ok")).alias("n")),
-    )).alias("c")).select("key", "c.shard", "c.n")
-    return stage(held.union(change).groupBy("key", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
+    moves = F.transform("parts", lambda c: F.struct(
+        c["shard"].alias("source"), target(c).alias("target"), c["n"].alias("m"),
+        F.floor(F.log2(c["n"].cast("double"))).cast("int").alias("size"),
+    ))
+    return rows.select("key", F.explode(moves).alias("v")).select("key", "v.*").where("target is not null")
 
 
-def propagate(held: DataFrame, quota: list[int]) -> DataFrame:
-    """(key, shard, n) after moving members of the groups towards each other.
+def _admitted(moves: DataFrame, room: list[int]) -> tuple[DataFrame, Counter]:
+    """Moves cut to what the shards can take (key, source, target, ok), and the
+    members moved by (source, target). Larger parts go first, parts of one size
+    (a power of two) by hash."""
+    moves = stage(moves)
+    sizes = moves.groupBy("source", "target", "size").agg(F.sum("m").alias("m"), F.count("*").alias("rows")).collect()
+    demand = Counter()
+    for r in sizes:
+        demand[r["source"], r["target"]] += r["m"]
+    met = flows(demand, room)
+    left, whole, part, cut_rows = Counter(met), [], [], 0
+    for r in sorted(sizes, key=lambda r: -r["size"]):
+        e = (r["source"], r["target"])
+        take = min(r["m"], left[e])
+        left[e] -= take
+        if take == r["m"]:
+            whole.append((*e, r["size"]))
+        elif take:
+            part.append((*e, r["size"], take))
+            cut_rows += r["rows"]
+    spark, on = moves.sparkSession, ["source", "target", "size"]
+    dealt = moves.join(spark.createDataFrame(whole, "source int, target int, size int"), on)
+    dealt = dealt.select("key", "source", "target", F.col("m").alias("ok"))
+    if part:
+        some = moves.join(spark.createDataFrame(part, "source int, target int, size int, take long"), on)
+        some = prefix_sums(some, on, F.struct("key"), "m", "before", cut_rows)
+        ok = F.least(F.col("m"), F.col("take") - F.col("before"))
+        dealt = dealt.union(some.select("key", "source", "target", ok.alias("ok")).where("ok > 0"))
+    return dealt, met
 
-    A member moves only to a shard with more members of its group than its
-    own, or as many and a smaller hash, and only where there is room.
-    """
-    shards = len(quota)
-    held = stage(held)
-    idle = 0
-    for turn in range(ROUNDS):
-        used = {r["shard"]: r["n"] for r in held.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        room = [quota[s] - used.get(s, 0) for s in range(shards)]
-        has_room = F.col("shard").isin(*[s for s in range(shards) if room[s] > 0]) if max(room) > 0 else F.lit(False)
-        rank = F.struct("n", F.xxhash64("key", "shard").alias("tie"), "shard")
-        best = held.where(has_room).groupBy("key").agg(F.max(rank).alias("best"))
-        # groups in one piece have nowhere to go
-        apart = held.join(best, "key").where(rank < F.col("best"))
-        moves = apart.select("key", F.col("shard").alias("source"), F.col("best.shard").alias("target"), F.col("n").alias("m"))
-        moves, wanted = _admitted(moves, room, turn)
-        if not wanted:
-            break
-        idle = idle + 1 if moves is None else 0
-        if idle == PATIENCE:
+
+def _moved(state: DataFrame, moves: DataFrame) -> DataFrame:
+    # at most one entry per shard
+    of = moves.groupBy("key").agg(F.collect_list(F.struct("source", "target", "ok")).alias("moves"))
+
+    def change(c: Column, end: str) -> Column:
+        return F.aggregate(F.filter("moves", lambda v: v[end] == c["shard"]), F.lit(0).cast("long"), lambda s, v: s + v["ok"])
+
+    parts = F.transform("parts", lambda c: F.struct(
+        c["shard"].alias("shard"), (c["n"] + change(c, "target") - change(c, "source")).alias("n")
+    ))
+    after = F.when(F.col("moves").isNull(), F.col("parts")).otherwise(F.filter(parts, lambda c: c["n"] > 0))
+    return stage(state.join(of, "key", "left").select("key", after.alias("parts")))
+
+
+def propagate(held: DataFrame, quota: list[int]) -> DataFrame:
+    """(key, shard, n) after moving members of the groups towards each other,
+    until the sum of the squared parts of the groups hardly grows any more.
+    Rounds read and write only the groups that are still apart."""
+    used = _used(held)
+    state = stage(held.groupBy("key").agg(F.collect_list(F.struct("shard", "n")).alias("parts")))
+    square = F.aggregate("parts", F.lit(0.0), lambda s, c: s + c["n"].cast("double") * c["n"])
+    whole, turn, idle = [], 0, 0
+    while idle < PATIENCE:
+        whole.append(state.where(F.size("parts") == 1))
+        state = state.where(F.size("parts") > 1)
+        before = state.agg(F.sum(square)).first()[0]
+        if before is None:
             break
-        if moves is not None:
-            held = _moved(held, moves)
-    return held
+        room = [q - used[s] for s, q in enumerate(quota)]
+        moves, met = _admitted(_wanted(state, quota, room, turn), room)
+        state = _moved(state, moves)
+        for (s, t), m in met.items():
+            used[s] -= m
+            used[t] += m
+        idle = 0 if state.agg(F.sum(square)).first()[0] > before * (1 + HARDLY) else idle + 1
+        turn += 1
+    parts = reduce(DataFrame.union, whole, state)
+    return stage(parts.select("key", F.explode("parts").alias("p")).select("key", "p.shard", "p.n"))
+
+
+def _used(held: DataFrame) -> Counter:
+    return Counter({r["shard"]: r["n"] for r in held.groupBy("shard").agg(F.sum("n").alias("n")).collect()})
 
 
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
@@ -154,20 +246,29 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def _levelled(held: DataFrame, quota: list[int]) -> DataFrame:
-    """The start with no shard above its quota: the excess of a shard is dealt
-    to shards with room, in proportion. Hashing keeps it small, if there is any."""
-    while True:
-        used = {r["shard"]: r["n"] for r in held.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        over = {s: used.get(s, 0) - quota[s] for s in range(len(quota)) if used.get(s, 0) > quota[s]}
-        if not over:
-            return held
-        source = next(iter(over))
-        room = [max(0, quota[s] - used.get(s, 0)) for s in range(len(quota))]
-        target = max(range(len(quota)), key=lambda s: room[s])
-        want = min(over[source], room[target])
-        # groups of the shard in the order of their hash, cut at what has to go
-        moves = held.where(F.col("shard") == source).select(
-            "key", F.col("shard").alias("source"), F.lit(target).alias("target"), F.col("n").alias("m")
-        )
-        moves, _ = _admitted(moves, [want if s == target else 0 for s in range(len(quota))])
-        held = _moved(held, moves)
+    """The start with no shard above its quota: the excess of a shard, the
+    first of its members by hash, is dealt to shards with room."""
+    used = _used(held)
+    over = {s: used[s] - q for s, q in enumerate(quota) if used[s] > q}
+    if not over:
+        return held
+    room = {s: q - used[s] for s, q in enumerate(quota) if used[s] < q}
+    spans = []
+    for s, excess in over.items():
+        low = 0
+        while low < excess:
+            t = next(iter(room))
+            x = min(excess - low, room[t])
+            spans.append((s, t, low, low + x))
+            low, room[t] = low + x, room[t] - x
+            if not room[t]:
+                del room[t]
+    places = stage(prefix_sums(held, ["shard"], F.struct("key"), "n", "before", held.count()))
+    dealt = places.join(held.sparkSession.createDataFrame(spans, "shard int, target int, low long, high long"), "shard")
+    ok = F.least(F.col("before") + F.col("n"), F.col("high")) - F.greatest("before", "low")
+    moves = dealt.withColumn("ok", ok).where("ok > 0")
+    change = moves.select("key", F.explode(F.array(
+        F.struct(F.col("target").alias("shard"), F.col("ok").alias("n")),
+        F.struct(F.col("shard"), (-F.col("ok")).alias("n")),
+    )).alias("c")).select("key", "c.shard", "c.n")
+    return stage(held.union(change).groupBy("key", "shard").agg(F.sum("n").alias("n")).where("n > 0"))

@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -46,6 +47,40 @@ def test_groups_stay_together_under_quotas(spark):
     assert cut <= 40
 
 
+@pytest.mark.parametrize("linked, size, most", [(0.8, 4, 0.0), (0.95, 4, 0.02), (1.0, 4, 0.05), (1.0, 2, 0.05)])
+def test_full_shards_exchange_members(spark, linked, size, most):
+    """Groups find together also where there is hardly any free room."""
+    n = 3000
+    texts = [(i, f"group {i // size}" if i < linked * n else f"own {i}") for i in range(n)]
+    rows = sharding.shard_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    check(rows, texts, 24)
+    body, home = dict(texts), defaultdict(set)
+    for r in rows:
+        home[body[r["doc_id"]]].add(r["shard"])
+    assert sum(len(s) > 1 for s in home.values()) <= most * linked * n / size
+
+
+def test_group_larger_than_all_but_two_shards(spark):
+    texts = [(i, "big") for i in range(2700)] + [(2700 + i, f"small {i // 4}") for i in range(300)]
+    rows = sharding.shard_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    check(rows, texts, 24)
+
+
+def test_flows_respect_room():
+    rng = random.Random(7)
+    for _ in range(200):
+        n = rng.randint(2, 6)
+        demand = {(s, t): rng.randint(0, 9) for s in range(n) for t in range(n) if s != t}
+        room = [rng.randint(0, 4) for _ in range(n)]
+        met = sharding.flows(demand, room)
+        assert all(0 <= m <= demand[e] for e, m in met.items())
+        gain = [sum(m for (_, t), m in met.items() if t == s) - sum(m for (o, _), m in met.items() if o == s) for s in range(n)]
+        assert all(g <= r for g, r in zip(gain, room))
+        # nothing that could still move stays: no pair both ways, no demand into room
+        left = {e: demand[e] - met[e] for e in demand}
+        assert not any(left[s, t] and (left[t, s] or gain[t] < room[t]) for s, t in left)
+
+
 @pytest.mark.parametrize("texts", [
     [], [(1, "a")], [(None, None), (None, ""), (1, None), (1, "x"), (1, "x"), (1, "x")], [(i, "same") for i in range(100)],
     [(7, f"t{i}") for i in range(60)],
