@@ -2,18 +2,18 @@
 
 Rules decide where they fit. Every other address is judged by the difference
 of two smoothed variable-order Markov models, trained on the addresses that
-the rules accept and reject. Characters fall into 32 classes and contexts have
-up to three of them, so a model never exceeds MODEL_ROWS rows, whatever the
-input: that is the bound under which it is broadcast.
+the rules accept and reject. All characters count; a context of up to five of
+them is used once it was seen MIN_CONTEXT times, so the models grow with the
+input.
 
 The models are kept as differences between orders: an address scores the sum
-of all entries it touches, so that scoring is one join and one sum.
+of all entries it touches, so that scoring is one join and one sum. The planner
+broadcasts the staged model while its measured size allows, and joins by a
+shuffle of (row, key) beyond.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +22,8 @@ from emberlog.llm.common import stage
 #: (rule, verdict); a rule is a host and the start of a path
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0./-"
-ORDER = 3
-#: 32 classes: grams of 1 to 4 classes, contexts of 1 to 3
-MODEL_ROWS = sum(32**k for k in range(1, ORDER + 2)) + sum(32**k for k in range(1, ORDER + 1))
+#: characters of the longest context
+ORDER = 5
 #: a context is used from this many sightings on
 MIN_CONTEXT = 4
 BETA = 4.0
@@ -50,89 +48,94 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def _classes(url: Column) -> Column:
-    """Classes of the characters after the scheme."""
+def _codes(url: Column) -> Column:
+    """Code points of the characters after the scheme, in lower case."""
     rest = F.lower(F.regexp_replace(F.coalesce(url, F.lit("")), r"(?s)^.*?://", ""))
-    plain = F.translate(rest, "123456789", "0" * 9)
-    chars = F.filter(F.split(plain, ""), lambda c: c != "")
+    return F.transform(F.filter(F.split(rest, ""), lambda c: c != ""), F.ascii)
 
-    def code(c: Column) -> Column:
-        at = F.instr(F.lit(ALPHABET), c)
-        return F.when(at > 0, at).otherwise(31)
 
-    return F.transform(chars, code)
+def _key(codes: Column, i: Column, first: int, last: int) -> Column:
+    """Key of the characters from ``first`` to ``last`` places before place
+    ``i``; zeros stand before the start. Contexts (``last`` 1) have keys of
+    their own."""
 
+    def at(back: int) -> Column:
+        return F.coalesce(F.when(i >= back, F.get(codes, i - back)), F.lit(0))
 
-def _keys(codes: Column, contexts: bool) -> Column:
-    """Keys of all grams (and contexts) of an address.
+    return F.xxhash64(F.lit(first if last == 0 else -first), *[at(k) for k in range(first, last - 1, -1)])
 
-    A key has a leading one, then five bits for every class, so that lengths
-    do not clash; contexts are negative."""
 
-    def at(i: Column, back: int) -> Column:
-        return F.coalesce(F.when(i >= back, F.get(codes, i - back)), F.lit(0))
+def _touched(codes: Column) -> Column:
+    """Keys of all grams and contexts of an address."""
 
-    def packed(i: Column, first: int, last: int) -> Column:
-        return reduce(lambda s, k: s * 32 + at(i, k), range(first, last - 1, -1), F.lit(1))
+    def of(_, i: Column) -> Column:
+        grams = [_key(codes, i, k, 0) for k in range(ORDER + 1)]
+        return F.array(*grams, *[_key(codes, i, k, 1) for k in range(1, ORDER + 1)])
+
+    return F.flatten(F.transform(codes, of))
+
+
+def _grams(codes: Column) -> Column:
+    """(level, key, context, lower) of all grams of an address; ``lower`` is
+    the gram without its first character."""
 
     def of(_, i: Column) -> Column:
-        grams = [packed(i, k, 0) for k in range(ORDER + 1)]
-        return F.array(*grams, *([-packed(i, k, 1) for k in range(1, ORDER + 1)] if contexts else []))
+        keys = [_key(codes, i, k, 0) for k in range(ORDER + 1)]
+        return F.array(*[F.struct(
+            F.lit(k).alias("level"), keys[k].alias("key"),
+            (_key(codes, i, k, 1) if k else F.lit(0).cast("long")).alias("context"),
+            (keys[k - 1] if k else F.lit(0).cast("long")).alias("lower"),
+        ) for k in range(ORDER + 1)])
 
     return F.flatten(F.transform(codes, of))
 
 
 def train(labelled: DataFrame, url: str = "url", accepted: str = "accepted") -> DataFrame:
-    """Model (key int, value double) from rows with a boolean verdict."""
+    """Model (key long, value double) from rows with a boolean verdict."""
     good = F.col(accepted)
-    # a column of its own: within the keys the classes would be made anew for each of them
-    codes = labelled.select(good.alias("good"), _classes(F.col(url)).alias("codes"))
-    grams = codes.select("good", F.explode(_keys(F.col("codes"), False)).alias("key"))
-    counts = stage(grams.groupBy("key").agg(
+    # a column of its own: within the keys the codes would be made anew for each of them
+    codes = labelled.select(good.alias("good"), _codes(F.col(url)).alias("codes"))
+    grams = codes.select("good", F.explode(_grams(F.col("codes"))).alias("g")).select("good", "g.*")
+    counts = stage(grams.groupBy("level", "key", "context", "lower").agg(
         F.count(F.when(F.col("good"), 1)).alias("a"), F.count(F.when(~F.col("good"), 1)).alias("r")
     ))
-    # level k holds keys in [32^(k+1), 2 * 32^(k+1))
-    level = [counts.where(F.col("key").between(32 ** (k + 1), 2 * 32 ** (k + 1) - 1)) for k in range(ORDER + 1)]
-    total = level[0].agg(F.sum("a"), F.sum("r")).first()
-    a, r = total[0] or 0, total[1] or 0
+    level = [counts.where(F.col("level") == k).drop("level") for k in range(ORDER + 1)]
+    a, r, kinds = level[0].agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("r"), F.lit(0)), F.count("*")).first()
+    # one more character than seen, for all others
     below = level[0].select(
-        "key", ((F.col("a") + 1) / (a + 32)).alias("pa"), ((F.col("r") + 1) / (r + 32)).alias("pr")
+        "key", ((F.col("a") + 1) / (a + kinds + 1)).alias("pa"), ((F.col("r") + 1) / (r + kinds + 1)).alias("pr")
     )
     model = below.select("key", F.log(F.col("pa") / F.col("pr")).alias("value"))
     for k in range(1, ORDER + 1):
-        # the last class of a key goes: its context, with the leading one
-        context = F.shiftright("key", 5)
         contexts = (
-            level[k].groupBy(context.alias("context")).agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"))
+            level[k].groupBy("context").agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"))
             .where(F.col("ca") + F.col("cr") >= MIN_CONTEXT)
         )
-        # the first class goes: the gram one order lower
-        lower = F.col("key") % (32**k) + 32**k
-        rows = (
-            level[k].withColumn("context", context).join(contexts, "context")
-            .withColumn("lower", lower).join(below.select(F.col("key").alias("lower"), "pa", "pr"), "lower")
-        )
         backed = F.log((F.col("cr") + BETA) / (F.col("ca") + BETA))
         pa = (F.col("a") + BETA * F.col("pa")) / (F.col("ca") + BETA)
         pr = (F.col("r") + BETA * F.col("pr")) / (F.col("cr") + BETA)
-        gain = F.log(pa / pr) - F.log(F.col("pa") / F.col("pr")) - backed
-        model = model.union(contexts.select((-F.col("context")).alias("key"), backed.alias("value")))
-        model = model.union(rows.select("key", gain.alias("value")))
-        below = rows.select("key", pa.alias("pa"), pr.alias("pr"))
+        rows = stage(
+            level[k].join(contexts, "context").join(below.withColumnRenamed("key", "lower"), "lower")
+            .select("key", "context", backed.alias("backed"), pa.alias("own_a"), pr.alias("own_r"), "pa", "pr")
+        )
+        gain = F.log(F.col("own_a") / F.col("own_r")) - F.log(F.col("pa") / F.col("pr")) - F.col("backed")
+        # every kept context has a gram
+        model = model.union(rows.groupBy("context").agg(F.max("backed")))
+        model = model.union(rows.select("key", gain))
+        below = rows.select("key", F.col("own_a").alias("pa"), F.col("own_r").alias("pr"))
     return stage(model)
 
 
 def scored(rows: DataFrame, model: DataFrame, url: str = "url") -> DataFrame:
     """All columns plus ``score``: log-likelihood difference per character."""
     keep = rows.columns
-    codes = rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__c", _classes(F.col(url)))
-    touched = codes.select("__row", *keep, F.size("__c").alias("__n"), F.explode_outer(_keys(F.col("__c"), True)).alias("__k"))
-    entries = F.broadcast(model.select(F.col("key").alias("__k"), F.col("value").alias("__v")))
-    # the rows of an address stand together: they are summed before the shuffle
-    return (
-        touched.join(entries, "__k", "left").groupBy("__row", "__n", *keep).agg(F.sum("__v").alias("__s"))
-        .select(*keep, F.coalesce(F.col("__s") / F.greatest("__n", F.lit(1)), F.lit(0.0)).alias("score"))
-    )
+    rows = stage(rows.withColumn("__row", F.monotonically_increasing_id()))
+    codes = rows.select("__row", _codes(F.col(url)).alias("__c"))
+    touched = codes.select("__row", F.size("__c").alias("__n"), F.explode(_touched(F.col("__c"))).alias("key"))
+    # after a broadcast the rows of an address stand together: they are summed before the shuffle
+    sums = touched.join(model, "key").groupBy("__row", "__n").agg(F.sum("value").alias("__s"))
+    score = F.coalesce(F.col("__s") / F.col("__n"), F.lit(0.0))
+    return rows.join(sums, "__row", "left").select(*keep, score.alias("score"))
 
 
 def threshold(rows: DataFrame) -> float:

@@ -49,16 +49,18 @@ def test_model_sums_to_the_backed_off_probability(spark):
     data = spark.createDataFrame(rows, "url string, accepted boolean")
     model = urls.train(data)
 
+    order = urls.ORDER
+
     def codes(u):
-        rest = u.split("://", 1)[1]
-        return [0] * 3 + [urls.ALPHABET.index(c) + 1 for c in rest]
+        return [0] * order + [ord(c) for c in u.split("://", 1)[1]]
 
     counts = {True: Counter(), False: Counter()}
     for u, side in rows:
         c = codes(u)
-        for i in range(3, len(c)):
-            for k in range(4):
+        for i in range(order, len(c)):
+            for k in range(order + 1):
                 counts[side][tuple(c[i - k : i + 1])] += 1
+    kinds = len({g for s in counts for g in counts[s] if len(g) == 1})
     ctx = {s: Counter() for s in counts}
     for s in counts:
         for g, n in counts[s].items():
@@ -67,17 +69,41 @@ def test_model_sums_to_the_backed_off_probability(spark):
     def prob(s, gram):
         k = len(gram) - 1
         if not k:
-            return (counts[s][gram] + 1) / (ctx[s][(1, ())] + 32)
+            return (counts[s][gram] + 1) / (ctx[s][(1, ())] + kinds + 1)
         lower = prob(s, gram[1:])
         if ctx[True][(k + 1, gram[:-1])] + ctx[False][(k + 1, gram[:-1])] < urls.MIN_CONTEXT:
             return lower
         return (counts[s][gram] + urls.BETA * lower) / (ctx[s][(k + 1, gram[:-1])] + urls.BETA)
 
-    for u in ("http://abab.net/x", "http://bbab.net/"):
+    for u in ("http://abab.net/x", "http://bbab.net/", "http://abba.net/x"):
         c = codes(u)
-        want = sum(math.log(prob(True, tuple(c[i - 3 : i + 1])) / prob(False, tuple(c[i - 3 : i + 1]))) for i in range(3, len(c)))
+        want = sum(math.log(prob(True, tuple(c[i - order : i + 1])) / prob(False, tuple(c[i - order : i + 1])))
+                   for i in range(order, len(c)))
         got = urls.scored(spark.createDataFrame([(u,)], "url string"), model).first()["score"]
-        assert abs(got - want / (len(c) - 3)) < 1e-9
+        assert abs(got - want / (len(c) - order)) < 1e-9
+
+
+def test_digits_and_signs_count(spark):
+    """Addresses that differ in digits or query signs only."""
+    rows = [(f"http://a.org/v{i % 7}?k=1", True) for i in range(70)] + [(f"http://a.org/v9{i % 7}&k:2", False) for i in range(70)]
+    model = urls.train(spark.createDataFrame(rows, "url string, accepted boolean"))
+    new = spark.createDataFrame([("http://a.org/v3?k=1",), ("http://a.org/v93&k:2",)], "url string")
+    got = {r["url"]: r["score"] for r in urls.scored(new, model).collect()}
+    assert got["http://a.org/v3?k=1"] > 0 > got["http://a.org/v93&k:2"]
+
+
+def test_shuffled_model_gives_the_same(spark):
+    rows = [(f"http://n{i}.org/fr/é{i}", i % 3 == 0) for i in range(60)]
+    data = spark.createDataFrame(rows, "url string, accepted boolean")
+    model = urls.train(data)
+    want = {r["url"]: r["score"] for r in urls.scored(data, model).collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["url"]: r["score"] for r in urls.scored(data, model).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got.keys() == want.keys() and all(abs(got[u] - want[u]) < 1e-9 for u in want)
 
 
 def test_empty(spark):
