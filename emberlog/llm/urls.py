@@ -132,10 +132,11 @@ def scored(rows: DataFrame, model: DataFrame, url: str = "url") -> DataFrame:
     rows = stage(rows.withColumn("__row", F.monotonically_increasing_id()))
     codes = rows.select("__row", _codes(F.col(url)).alias("__c"))
     touched = codes.select("__row", F.size("__c").alias("__n"), F.explode(_touched(F.col("__c"))).alias("key"))
-    # after a broadcast the rows of an address stand together: they are summed before the shuffle
-    sums = touched.join(model, "key").groupBy("__row", "__n").agg(F.sum("value").alias("__s"))
+    # a left join, as only the model may be broadcast: the planner takes the keys of an address for one row.
+    # Then the rows of an address stand together and are summed before the shuffle
+    sums = touched.join(model, "key", "left").groupBy("__row", "__n").agg(F.sum("value").alias("__s"))
     score = F.coalesce(F.col("__s") / F.col("__n"), F.lit(0.0))
-    return rows.join(sums, "__row", "left").select(*keep, score.alias("score"))
+    return rows.join(sums.hint("merge"), "__row", "left").select(*keep, score.alias("score"))
 
 
 def threshold(rows: DataFrame) -> float:
