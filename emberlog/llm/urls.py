@@ -24,6 +24,8 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 
 #: characters of the longest context
 ORDER = 5
+#: contexts from this length on are joined apart from the shorter ones
+LONG = 3
 #: a context is used from this many sightings on
 MIN_CONTEXT = 4
 BETA = 4.0
@@ -65,12 +67,12 @@ def _key(codes: Column, i: Column, first: int, last: int) -> Column:
     return F.xxhash64(F.lit(first if last == 0 else -first), *[at(k) for k in range(first, last - 1, -1)])
 
 
-def _touched(codes: Column) -> Column:
-    """Keys of all grams and contexts of an address."""
+def _touched(codes: Column, levels: range) -> Column:
+    """Keys of the grams and contexts of an address."""
 
     def of(_, i: Column) -> Column:
-        grams = [_key(codes, i, k, 0) for k in range(ORDER + 1)]
-        return F.array(*grams, *[_key(codes, i, k, 1) for k in range(1, ORDER + 1)])
+        grams = [_key(codes, i, k, 0) for k in levels]
+        return F.array(*grams, *[_key(codes, i, k, 1) for k in levels if k])
 
     return F.flatten(F.transform(codes, of))
 
@@ -91,7 +93,7 @@ def _grams(codes: Column) -> Column:
 
 
 def train(labelled: DataFrame, url: str = "url", accepted: str = "accepted") -> DataFrame:
-    """Model (key long, value double) from rows with a boolean verdict."""
+    """Model (level int, key long, value double) from rows with a boolean verdict."""
     good = F.col(accepted)
     # a column of its own: within the keys the codes would be made anew for each of them
     codes = labelled.select(good.alias("good"), _codes(F.col(url)).alias("codes"))
@@ -105,7 +107,7 @@ def train(labelled: DataFrame, url: str = "url", accepted: str = "accepted") ->
     below = level[0].select(
         "key", ((F.col("a") + 1) / (a + kinds + 1)).alias("pa"), ((F.col("r") + 1) / (r + kinds + 1)).alias("pr")
     )
-    model = below.select("key", F.log(F.col("pa") / F.col("pr")).alias("value"))
+    model = below.select(F.lit(0).alias("level"), "key", F.log(F.col("pa") / F.col("pr")).alias("value"))
     for k in range(1, ORDER + 1):
         contexts = (
             level[k].groupBy("context").agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"))
@@ -120,8 +122,8 @@ def train(labelled: DataFrame, url: str = "url", accepted: str = "accepted") ->
         )
         gain = F.log(F.col("own_a") / F.col("own_r")) - F.log(F.col("pa") / F.col("pr")) - F.col("backed")
         # every kept context has a gram
-        model = model.union(rows.groupBy("context").agg(F.max("backed")))
-        model = model.union(rows.select("key", gain))
+        model = model.union(rows.groupBy("context").agg(F.max("backed").alias("v")).select(F.lit(k), "context", "v"))
+        model = model.union(rows.select(F.lit(k), "key", gain))
         below = rows.select("key", F.col("own_a").alias("pa"), F.col("own_r").alias("pr"))
     return stage(model)
 
@@ -131,10 +133,17 @@ def scored(rows: DataFrame, model: DataFrame, url: str = "url") -> DataFrame:
     keep = rows.columns
     rows = stage(rows.withColumn("__row", F.monotonically_increasing_id()))
     codes = rows.select("__row", _codes(F.col(url)).alias("__c"))
-    touched = codes.select("__row", F.size("__c").alias("__n"), F.explode(_touched(F.col("__c"))).alias("key"))
-    # a left join, as only the model may be broadcast: the planner takes the keys of an address for one row.
-    # Then the rows of an address stand together and are summed before the shuffle
-    sums = touched.join(model, "key", "left").groupBy("__row", "__n").agg(F.sum("value").alias("__s"))
+
+    def values(levels: range, part: DataFrame) -> DataFrame:
+        keys = F.explode(_touched(F.col("__c"), levels)).alias("key")
+        # a left join, as only the model may be broadcast: the planner takes the keys of an address for one row
+        return codes.select("__row", F.size("__c").alias("__n"), keys).join(part, "key", "left").select("__row", "__n", "value")
+
+    # short contexts are few and touched by every address: a table of its own, small enough to be broadcast
+    short = stage(model.where(F.col("level") < LONG).select("key", "value"))
+    long = model.where(F.col("level") >= LONG).select("key", "value")
+    sums = values(range(LONG), short).union(values(range(LONG, ORDER + 1), long))
+    sums = sums.groupBy("__row", "__n").agg(F.sum("value").alias("__s"))
     score = F.coalesce(F.col("__s") / F.col("__n"), F.lit(0.0))
     return rows.join(sums.hint("merge"), "__row", "left").select(*keep, score.alias("score"))
 
