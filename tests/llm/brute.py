@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small tables."""
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -35,6 +36,31 @@ def licenses(text):
     return len(w), len(found), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in found}))
 
 
+def license_matches(texts, templates, percent):
+    """(labels, largest share) per text, from all alignments of all templates;
+    words weigh by their document frequency in the texts."""
+    split = [LICENSE_WORD.findall((t or "").translate(UPPER)) for t in texts]
+    df = Counter(w for words in split for w in set(words))
+    out = []
+    for words in split:
+        labels, best = set(), 0.0
+        for t in templates:
+            weight = {
+                w: max(1, round(1e6 * math.log((len(texts) + 1) / (df[w] + 1)))) for w in t.words if w
+            }
+            total = sum(weight[w] for w in t.words if w)
+            for at in range(-len(t.words), len(words)):
+                same = {
+                    p for p, w in enumerate(t.words) if w and 0 <= at + p < len(words) and words[at + p] == w
+                }
+                agreed = sum(weight[t.words[p]] for p in same)
+                if 100 * agreed >= percent * total and same >= set(t.key_places):
+                    labels.add(t.label)
+                    best = max(best, agreed / total)
+        out.append((labels, best))
+    return out
+
+
 def url(address, rules):
     """host, path, rule."""
     host = path = ""
