@@ -503,10 +503,19 @@ def alert_throttle_long(spark, folder):
     return pat.throttle_alerts(event_logs(spark, folder), timedelta(hours=12))
 
 
-def _streamed(spark, logs, transform):
+def _streamed(spark, logs, transform, cuts=(datetime(2024, 1, 11), datetime(2024, 1, 21))):
+    """Three runs over records that arrive in order of time, each going on
+    where the one before stopped. With the last, early records arrive once
+    more, days behind the watermark: they must not count."""
     base = f"{scratch_dir(spark)}/stream/{uuid.uuid4().hex}"
-    logs.write.parquet(f"{base}/in")
-    return drain(spark, f"{base}/in", transform, f"{base}/out", f"{base}/checkpoint")
+    at, (first, last) = F.col("event_time"), map(timestamp, cuts)
+    late = logs.where(at < timestamp(cuts[0] - timedelta(days=1)))
+    for rows in (
+        logs.where(at < first), logs.where((at >= first) & (at < last)), logs.where((at >= last) | at.isNull()).union(late),
+    ):
+        rows.write.mode("append").parquet(f"{base}/in")
+        out = drain(spark, f"{base}/in", transform, f"{base}/out", f"{base}/checkpoint")
+    return out
 
 
 def stream_incident_counts(spark, folder):
@@ -521,6 +530,21 @@ def stream_throttled_alerts(spark, folder):
     return _streamed(spark, event_logs(spark, folder), throttled_alerts)
 
 
+def stream_throttled_long(spark, folder):
+    return _streamed(spark, event_logs(spark, folder), lambda logs: throttled_alerts(logs, timedelta(hours=12)))
+
+
+def stream_handed_over(spark, folder):
+    """A stream that begins in the middle of the month with the stored history."""
+    logs = _alerts(spark, folder)
+    stored = _history(spark)
+    stored.update(inc.incidents(_before(logs)), Window(WINDOW.start, MIDDLE))
+    return _streamed(
+        spark, _after(logs), lambda rows: new_critical_alerts(rows, known=stored.current()),
+        (datetime(2024, 1, 19), datetime(2024, 1, 24)),
+    )
+
+
 # --- ledger ------------------------------------------------------------------
 
 def _without_nulls(runs: DataFrame) -> DataFrame:
@@ -802,6 +826,8 @@ QUERIES: dict[str, Query] = {
     "stream_incident_counts": stream_incident_counts,
     "stream_new_critical": stream_new_critical,
     "stream_throttled_alerts": stream_throttled_alerts,
+    "stream_throttled_long": stream_throttled_long,
+    "stream_handed_over": stream_handed_over,
     "run_status": run_status,
     "begin_run_actions": begin_run_actions,
     "completed_run": completed_run,

@@ -375,6 +375,10 @@ HAVING date_trunc('hour', event_time) + INTERVAL 1 HOUR <= (SELECT max(event_tim
     "stream_new_critical": _with(*BASE, _seen("norm")) + _new_criticals(7, ""),
     "stream_throttled_alerts": "SELECT host, app, fingerprint, alert_at FROM (WITH RECURSIVE "
     + ",\n".join((LOGS, _norm("logs"))) + ",\n" + _THROTTLE + ")",
+    "stream_throttled_long": "SELECT host, app, fingerprint, alert_at FROM (WITH RECURSIVE "
+    + ",\n".join((LOGS, _norm("logs"))) + ",\n" + _THROTTLE_LONG + ")",
+    "stream_handed_over": "SELECT * FROM (" + _with(*BASE, _seen("norm")) + _new_criticals(7, "")
+    + ") WHERE event_time >= TIMESTAMP '2024-01-16'",
     "run_status": _with(*RUNS) + NO_NULLS,
     "begin_run_actions": _with(*EARLY_RUNS) + """SELECT window_from, window_to,
   coalesce(run_id, md5(strftime(window_from, '%Y-%m-%d %H:%M:%S') || '|' || strftime(window_to, '%Y-%m-%d %H:%M:%S'))) AS run_id,

@@ -3,8 +3,10 @@ import uuid
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from emberlog.operators import patterns as pat
+from emberlog.operators.incidents import incidents
 from emberlog.streaming.alerts import new_critical_alerts, throttled_alerts
 from emberlog.streaming.ingest import incident_counts, merge_counts
 from emberlog.streaming.run import drain
@@ -65,6 +67,19 @@ def test_late_records_are_dropped(spark, make_logs, tmp_path):
     assert {r["window_start"].hour: r["cnt"] for r in got.collect()} == {0: 1, 5: 1, 10: 1}
 
 
+def test_a_new_stream_begins_with_what_is_known(spark, make_logs, tmp_path):
+    rows = records(60, 60 * 86400)
+    cut = T0 + timedelta(days=20)
+    old, new = [r for r in rows if r["event_time"] < cut], [r for r in rows if r["event_time"] >= cut]
+    # known records are no part of the stream, and a restart does not take them up again
+    known = incidents(make_logs(old)).select("host", "app", "fingerprint", "last_seen")
+    got = stream(spark, make_logs, tmp_path, split(new, 3), lambda df: new_critical_alerts(df, known=known))
+    want = pat.new_criticals(make_logs(rows)).select(*got.columns).where(F.col("event_time") >= F.lit(cut).cast("timestamp_ntz"))
+    assert sorted(got.collect()) == sorted(want.collect())
+    cold = stream(spark, make_logs, tmp_path, split(new, 1), new_critical_alerts)
+    assert cold.count() > got.count()
+
+
 @pytest.mark.parametrize("gap_days,alerts", [(6, 1), (8, 2)])
 def test_quiet_period_counts_from_the_last_record(spark, make_logs, tmp_path, gap_days, alerts):
     def at(day, level="critical"):
