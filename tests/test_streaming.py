@@ -69,7 +69,7 @@ def test_late_records_are_dropped(spark, make_logs, tmp_path):
 
 def test_a_new_stream_begins_with_what_is_known(spark, make_logs, tmp_path):
     rows = records(60, 60 * 86400)
-    cut = T0 + timedelta(days=20)
+    cut = T0 + timedelta(days=26)
     old, new = [r for r in rows if r["event_time"] < cut], [r for r in rows if r["event_time"] >= cut]
     # known records are no part of the stream, and a restart does not take them up again
     known = incidents(make_logs(old)).select("host", "app", "fingerprint", "last_seen")
