@@ -114,6 +114,17 @@ def quarantine(spark, folder):
     return jsonl.split_lines(e.select(value.alias("value"), "event_id")).quarantine.select("event_id")
 
 
+def long_lines(spark, folder):
+    """Lines of many times the length of a document, through JSON and back."""
+    path = f"{scratch_dir(spark)}/jsonl/{uuid.uuid4().hex}"
+    texts = {"stream_id": F.md5(F.concat(F.lit("d"), F.col("doc_id").cast("string"))), "msg": F.repeat("text", F.lit(40))}
+    long = spark.read.parquet(f"{folder}/documents.parquet").select(
+        *[texts.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in LOG_SCHEMA])
+    jsonl.as_jsonl(long).write.text(path)
+    return jsonl.read_jsonl(spark, path).records.select(
+        "stream_id", F.octet_length("msg").cast("long").alias("bytes"), F.md5("msg").alias("digest"))
+
+
 def _collected(spark, folder):
     return union_sources(spark, {
         "events": lambda: event_logs(spark, folder),
@@ -555,6 +566,15 @@ def run_status(spark, folder):
     return _without_nulls(_runs(spark, folder))
 
 
+def stored_runs(spark, folder):
+    """The ledger's own table after two appends."""
+    stored = ledger.RunLedger(spark, f"{scratch_dir(spark)}/ledger/{uuid.uuid4().hex}")
+    events, early = ledger_events(spark, folder), F.col("at") < timestamp(MIDDLE)
+    for part in (early, ~early):
+        stored.table.append(events.filter(part))
+    return _without_nulls(stored.runs())
+
+
 def begin_run_actions(spark, folder):
     return ledger.begin_actions(_windows(spark, folder), _runs_before_middle(spark, folder))
 
@@ -749,6 +769,7 @@ QUERIES: dict[str, Query] = {
     "template_search": template_search,
     "template_search_short": template_search_short,
     "read_jsonl": read_jsonl,
+    "long_lines": long_lines,
     "quarantine": quarantine,
     "union_sources": union_of_sources,
     "damaged_source": damaged_source,
@@ -829,6 +850,7 @@ QUERIES: dict[str, Query] = {
     "stream_throttled_long": stream_throttled_long,
     "stream_handed_over": stream_handed_over,
     "run_status": run_status,
+    "stored_runs": stored_runs,
     "begin_run_actions": begin_run_actions,
     "completed_run": completed_run,
     "recent_runs": recent_runs,

@@ -255,6 +255,8 @@ _THROTTLE_LONG = _THROTTLE.replace("a.s + 600000000", "a.s + 43200000000")
 
 SQL: dict[str, str] = {
     "read_jsonl": _with(LOGS) + f"SELECT {_LOG_COLS} FROM logs",
+    "long_lines": """SELECT md5('d' || doc_id) AS stream_id, strlen(coalesce(repeat(text, 40), ''))::BIGINT AS bytes,
+  md5(coalesce(repeat(text, 40), '')) AS digest FROM documents""",
     "quarantine": "SELECT event_id FROM events WHERE event_type <> 'error'",
     "union_sources": _with(LOGS, DOC_LOGS, TURN_LOGS) + """SELECT host, app, level, count(*) AS records,
   sum(strlen(msg))::BIGINT AS bytes FROM (SELECT * FROM logs UNION ALL SELECT * FROM doc_logs UNION ALL SELECT * FROM turn_logs)
@@ -380,6 +382,7 @@ HAVING date_trunc('hour', event_time) + INTERVAL 1 HOUR <= (SELECT max(event_tim
     "stream_handed_over": "SELECT * FROM (" + _with(*BASE, _seen("norm")) + _new_criticals(7, "")
     + ") WHERE event_time >= TIMESTAMP '2024-01-16'",
     "run_status": _with(*RUNS) + NO_NULLS,
+    "stored_runs": _with(*RUNS) + NO_NULLS,
     "begin_run_actions": _with(*EARLY_RUNS) + """SELECT window_from, window_to,
   coalesce(run_id, md5(strftime(window_from, '%Y-%m-%d %H:%M:%S') || '|' || strftime(window_to, '%Y-%m-%d %H:%M:%S'))) AS run_id,
   CASE WHEN status = 'done' THEN 'skip' WHEN status IS NOT NULL THEN 'resume' ELSE 'new' END AS action
