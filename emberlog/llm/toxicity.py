@@ -98,9 +98,10 @@ def _counted(rows: DataFrame, lexicon: set[str] | None) -> DataFrame:
                     words = _WORD.findall(fold(text))
                     counts[0 if toxic else 1].update(_terms(set(words)) if lexicon is None else _phrases(words, lexicon))
                 terms = list(counts[0].keys() | counts[1].keys())
-                yield pd.DataFrame({
-                    "term": terms, "a": [counts[0][t] for t in terms], "b": [counts[1][t] for t in terms]
-                })
+                if terms:  # the columns of an empty frame would not have the types named below
+                    yield pd.DataFrame({
+                        "term": terms, "a": [counts[0][t] for t in terms], "b": [counts[1][t] for t in terms]
+                    })
 
     parts = rows.select("text", "toxic").mapInPandas(task, "term string, a bigint, b bigint")
     return parts.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))

@@ -99,3 +99,13 @@ def test_matcher_against_plain_search(spark):
     for i, t in enumerate(texts):
         raw, hits = plain(t)
         assert got[i][1] == hits and abs(got[i][0] - raw) < 1e-9, (t, got[i], raw, hits)
+
+
+def test_counted_documents_without_a_term(spark, monkeypatch):
+    """Documents counted together may hold no phrase of the lexicon, or no word."""
+    docs, labels, _ = sample(spark)
+    docs = docs.union(spark.createDataFrame([(7000 + i, "..." + "!" * i, "x") for i in range(3)], docs.schema))
+    labels = labels.union(spark.createDataFrame([(7000 + i, 1, 0) for i in range(3)], labels.schema))
+    want = sorted(toxicity.score_toxicity(docs, labels).collect())
+    monkeypatch.setattr(toxicity, "COUNTED_DOCS", 1)
+    assert sorted(toxicity.score_toxicity(docs, labels).collect()) == want
