@@ -104,7 +104,7 @@ class Walks:
                 key = (key ^ embedded[self.places[:, t, p][None, :], row, walk]) * self.mix[p]
                 key ^= key >> np.uint64(29)
             out[:, t] = key
-        return out.reshape(rows, -1)
+        return out.reshape(rows, TABLES * WALKS)
 
     def alike(self, places: np.ndarray, low: np.ndarray, high: np.ndarray, items: np.ndarray) -> np.ndarray:
         """Rows of ``places`` (rows, width) in which some window of n columns,

@@ -140,3 +140,13 @@ def test_recall_of_the_walks(monkeypatch, n):
     total = sum(map(len, want))
     lost = sum(x not in f for f, w in zip(found, want) for x in w)
     assert total >= 170 and lost <= 0.01 * total and all(x in w for f, w in zip(found, want) for x in f)
+
+
+def test_places_without_a_window():
+    """A chunk at a text's start may put the item so far before it that no
+    window begins there; nor does any other place of the batch have one."""
+    items = [(1, "a a b b b a a b b a")]
+    index = decontam.Index([(k, decontam.words_of(t)) for k, t in items])
+    for text in ("b b a a a a a a", "b b a a a a a a a", "b b a b a b a b a b"):
+        want = leaks_of_any_length(text, items, decontam.words_of, decontam.allowed)
+        assert index.leaks([decontam.words_of(text)]) == [want]
