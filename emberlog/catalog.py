@@ -120,7 +120,8 @@ def long_lines(spark, folder):
     texts = {"stream_id": F.md5(F.concat(F.lit("d"), F.col("doc_id").cast("string"))), "msg": F.repeat("text", F.lit(40))}
     long = spark.read.parquet(f"{folder}/documents.parquet").select(
         *[texts.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in LOG_SCHEMA])
-    jsonl.as_jsonl(long).write.text(path)
+    # a line is 40 times its text, which repeats: as plain text the files would be many times the input
+    jsonl.as_jsonl(long).write.option("compression", "lz4").text(path)
     return jsonl.read_jsonl(spark, path).records.select(
         "stream_id", F.octet_length("msg").cast("long").alias("bytes"), F.md5("msg").alias("digest"))
 

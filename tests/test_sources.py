@@ -3,8 +3,10 @@ import gzip
 from datetime import datetime
 
 import pytest
+from conftest import FOLDER
 from pyspark.sql import functions as F
 
+from emberlog import catalog
 from emberlog.schema import LOG_SCHEMA
 from emberlog.sources import jsonl
 from emberlog.sources.collect import union_sources
@@ -173,3 +175,13 @@ def test_parts_of_a_staged_table(spark):
     both.drop(True)
     assert both.part(True).count() == 0 and two.count() == 66
     assert Staged(df.limit(0), "id > 3").part(False).count() == 0
+
+
+def test_long_lines_take_little_disk(spark, tmp_path, monkeypatch):
+    """Lines of 40 times a text are not 40 times the texts on disk."""
+    monkeypatch.setattr(catalog, "scratch_dir", lambda _: str(tmp_path))
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    texts = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    got = catalog.long_lines(spark, FOLDER).agg(F.count("*"), F.sum("bytes")).first()
+    assert tuple(got) == (docs.count(), 40 * texts)
+    assert 0 < sum(p.stat().st_size for p in tmp_path.rglob("*") if p.is_file()) < 4 * texts
